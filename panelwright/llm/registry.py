@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, mixing, token_store, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op3_token_counts": tokens.op3_token_counts,
+        "op4_token_store": token_store.op4_token_store,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
@@ -20,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.OP1_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op10_mix_sources": mixing.OP10_SQL,
     }
