@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, secrets, token_store, tokens
+from . import decontaminate, exact_dedup, mixing, near_dedup, secrets, token_store, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": tokens.op3_token_counts,
         "op4_token_store": token_store.op4_token_store,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op9_secrets": secrets.op9_secrets,
         "op10_mix_sources": mixing.op10_mix_sources,
