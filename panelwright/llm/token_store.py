@@ -19,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_path, stored
-from .tokens import PreTokens, text_rows, tokenizer, vocabulary_path
+from .common import maybe_broadcast, read_table, shared_path, stored
+from .tokens import PreTokens, split_text, text_rows, tokenizer, vocabulary_path
 
 END_ID = 1
 #: Least and most ids of a chunk but a document's last, and bits that the rolling hash must have zero: 512 ids on average.
 LEAST, MOST, BITS = 128, 2048, 9
-ROLL = 32
+#: A chunk that a task has not sent before, with a number that no other chunk row has.
+NEW = pa.list_(pa.struct([("cid", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))
 
 
 def _gear(n: int) -> np.ndarray:
@@ -80,10 +82,10 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
     """Slices of the batches and the chunks of each of their documents."""
     width = _width(path)
     size, end = int(width[2]), np.array([end_id], width).tobytes()
-    known = PreTokens(path, lambda e: np.array(e.ids, width).tobytes())
+    known = PreTokens(path, lambda ids: np.array(ids, width).tobytes())
     gear = _gear(max(tokenizer(path).get_vocab_size(), end_id + 1))
     for part, texts in text_rows(batches):
-        split = [t.split() for t in texts]
+        split = [split_text(t) for t in texts]
         known.learn(split)
         docs = [b"".join(map(known.__getitem__, words)) + end for words in split]
         known.forget_long() if max(map(len, texts), default=0) > 1 << 16 else None
@@ -110,28 +112,32 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = int(_width(tokenizer_path)[2])
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()  # of this task, in a bounded memory; whatever comes again is combined below
-        for _, found in _chunked(batches, tokenizer_path, end_id):
-            new = {}
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()  # bounded; whatever this or another task sends again is dropped below
+        at = TaskContext.get().partitionId() << 40
+        for part, found in _chunked(batches, tokenizer_path, end_id):
+            digests, lens, new = [], [], []
             for pieces in found:
-                for p in pieces:
-                    d = hashlib.sha256(p).digest()
+                digests.append([hashlib.sha256(p).digest() for p in pieces])
+                lens.append([len(p) // size for p in pieces])
+                new.append([])
+                for d, p in zip(digests[-1], pieces, strict=True):
                     if d not in sent:
-                        new[d] = p
                         sent.add(d)
+                        new[-1].append({"cid": at, "digest": d, "n": len(p) // size, "payload": p})
+                        at += 1
             if len(sent) > 1_000_000:
                 sent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([len(p) // size for p in new.values()], pa.int32()), pa.array(list(new.values()), pa.binary())], names=["digest", "n", "payload"])
-
-    def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _chunked(batches, tokenizer_path, end_id):
-            digests = [[hashlib.sha256(p).digest() for p in pieces] for pieces in found]
-            lens = [[len(p) // size for p in pieces] for pieces in found]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(sum, lens), pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lens, pa.list_(pa.int32())), pa.array(map(merkle, digests), pa.binary())], names=["doc_id", "n_tokens", "digests", "lens", "root"])
-
-    rows.mapInArrow(chunks, "digest binary, n int, payload binary").groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    loose = stored(rows.mapInArrow(recipes, f"doc_id {kind}, n_tokens long, digests array<binary>, lens array<int>, root binary"), "recipes")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(sum, lens), pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lens, pa.list_(pa.int32())), pa.array(map(merkle, digests), pa.binary()), pa.array(new, NEW)], names=["doc_id", "n_tokens", "digests", "lens", "root", "new"])
+
+    # texts are encoded once; what the tables below read from here are columns of files
+    encoded = stored(rows.mapInArrow(encode, f"doc_id {kind}, n_tokens long, digests array<binary>, lens array<int>, root binary, new array<struct<cid:long,digest:binary,n:int,payload:binary>>"), "encoded")
+    names = encoded.select(F.explode_outer(F.arrays_zip("new.cid", "new.digest")).alias("c")).select("c.*").toDF("cid", "digest").where("cid is not null")
+    again = stored(names.groupBy("digest").agg(F.min("cid").alias("first"), F.count("*").alias("n")).where("n > 1"), "again")
+    spare = stored(names.join(maybe_broadcast(again, 64), "digest").where("cid <> first").select("cid"), "spare")
+    chunks = encoded.select(F.explode_outer("new").alias("c")).select("c.*").where("cid is not null")
+    chunks.join(maybe_broadcast(spare, 16), "cid", "left_anti").drop("cid").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    loose = encoded.drop("new")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # all columns of the order but the wide ones are in the ranges: equal doc_ids may be split between two parts, in order
     ranged = stored(loose.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("root")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id()).mapInArrow(_placed, f"part int, pos long, doc_id {kind}, begin long, n_tokens long, digests array<binary>, lens array<int>, root binary"), "ranged")

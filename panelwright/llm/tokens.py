@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup on the map side.
 
-The tokenizer never joins text across ASCII white space, so a text's tokens are those of its white-space runs
-(pre-tokens) in turn. The first tier is a table of the corpus's frequent pre-tokens and their lengths, of fixed size,
+The tokenizer (word BPE, which drops white space) never joins text across ASCII white space, so a text's tokens are
+those of its white-space runs (pre-tokens) in turn. The first tier is a table of the corpus's frequent pre-tokens and their lengths, of fixed size,
 broadcast once. What it lacks is encoded by the library and kept in a bounded cache of the Python worker. Pre-tokens
 are never shuffled: to find the frequent ones each task sends its FREQUENT_PER_TASK most frequent, no matter how
 many rows it read. The table decides how fast a pre-token is counted, never its count.
@@ -9,11 +9,14 @@ many rows it read. The table decides how fast a pre-token is counted, never its
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ from .common import read_table
 
 FREQUENT, FREQUENT_PER_TASK = 1 << 16, 1 << 13
 #: Entries of a worker's cache; longer pre-tokens than LONG bytes are not kept.
-CACHE, LONG = 400_000, 64
+CACHE, LONG = 1_500_000, 64
 #: Rows that a worker handles at once.
 ROWS = 256
 
@@ -53,31 +56,84 @@ def text_rows(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int
             yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
 
 
+#: A run of Latin letters is one pre-token whatever stands around it, and so is one of these marks after it.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)").fullmatch
+#: Words encoded by one call of the library.
+JOINED = 128
+
+
+def split_text(text: bytes) -> list[bytes]:
+    """A text's pre-tokens. The tokenizer lower-cases; doing so for A-Z beforehand makes fewer of them, but could make special strings."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
 class PreTokens(dict):
-    """What `of` makes of the library's encoding, by pre-token: a fixed tier and a bounded one that starts afresh when it is full."""
+    """What `of` makes of the token ids of a pre-token: a fixed tier and a bounded one that starts afresh when it is full.
+
+    of(ids + more) must be of(ids) + of(more). ends says of each id whether a pre-token ends with it; with it, unknown words are encoded
+    many at a time.
+    """
 
     def __init__(self, path: str, of, fixed: dict | None = None):
         super().__init__(fixed or {})
-        self.path, self.of, self.fixed = path, of, fixed or {}
+        self.library, self.of, self.fixed, self.marks = tokenizer(path), of, fixed or {}, {}
+        self.ends = word_ends(path)
 
     def learn(self, split_texts: list[list[bytes]]) -> None:
-        new = set()
-        for words in split_texts:
-            new.update(words)
-        new.difference_update(self)
+        seen = set().union(*split_texts)
+        new = [w for w in seen if w not in self]
         if len(self) + len(new) > len(self.fixed) + CACHE:
             self.clear()
             self.update(self.fixed)
-            new = set().union(*split_texts).difference(self)
-        if new:
-            new = list(new)
-            self.update(zip(new, map(self.of, tokenizer(self.path).encode_batch_fast([x.decode() for x in new], add_special_tokens=False)), strict=True))
+            new = [w for w in seen if w not in self]
+        parts = {w: m for w in new if (m := WORD(w.decode()))} if self.ends is not None else {}
+        self.update(self._words(list({m[1] for m in parts.values()} - {""})))
+        for w, m in parts.items():
+            if m[2]:
+                self[w] = self[m[1].encode()] + self._mark(m[2])
+        rest = [w for w in new if w not in parts]
+        self.update(zip(rest, self._each([w.decode() for w in rest]), strict=True))
+
+    def _each(self, words: list[str]):
+        return [self.of(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+    def _mark(self, mark: str):
+        if mark not in self.marks:
+            self.marks[mark] = self._each([mark])[0]
+        return self.marks[mark]
+
+    def _words(self, words: list[str]):
+        words = [w for w in words if w.encode() not in self]
+        lines = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False) if lines else [], strict=True):
+            ids = e.ids
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(line):
+                yield from zip([w.encode() for w in line], self._each(line), strict=True)
+                continue
+            begin = 0
+            for w, stop in zip(line, stops.tolist(), strict=True):
+                yield w.encode(), self.of(ids[begin:stop])
+                begin = stop
 
     def forget_long(self) -> None:
         for x in [x for x in self if len(x) > LONG and x not in self.fixed]:
             del self[x]
 
 
+@cache
+def word_ends(path: str) -> np.ndarray | None:
+    """Whether each id ends a pre-token, if the tokenizer marks word ends, drops white space and lower-cases, as word BPE does; else None."""
+    with open(path, encoding="utf-8") as f:
+        suffix = json.load(f)["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    found = np.zeros(tokenizer(path).get_vocab_size(), bool)
+    for token, i in tokenizer(path).get_vocab().items():
+        found[i] = token.endswith(suffix)
+    return found
+
+
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", most: int = FREQUENT, per_task: int = FREQUENT_PER_TASK) -> list[bytes]:
     """The pre-tokens that the tasks' counts name most often, at most `most`. Every row is counted; a task keeps a bounded number of counters."""
 
@@ -85,7 +141,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", most: int = FREQ
         seen: Counter[bytes] = Counter()
         for _, texts in text_rows(batches):
             for t in texts:
-                seen.update(t.split())
+                seen.update(split_text(t))
             if len(seen) > 16 * per_task:
                 seen = Counter(dict(seen.most_common(4 * per_task)))
         top = [(w, n) for w, n in seen.most_common(per_task) if len(w) <= LONG]
@@ -109,7 +165,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = PreTokens(tokenizer_path, len, dict(zip(table.value[0].split(), table.value[1], strict=True)))
         for part, texts in text_rows(batches):
-            split = [t.split() for t in texts]
+            split = [split_text(t) for t in texts]
             known.learn(split)
             n = [sum(map(known.__getitem__, words)) for words in split]
             known.forget_long() if max(map(len, texts), default=0) > 1 << 16 else None
