@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, secrets, token_store, tokens, toxicity
+from . import decontaminate, exact_dedup, lm_score, mixing, near_dedup, secrets, token_store, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_lm_score": lm_score.op2_lm_score,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_token_store": token_store.op4_token_store,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
