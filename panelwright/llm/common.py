@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A table may be broadcast when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 48 << 20
 
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One or more of: space, tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -42,6 +45,12 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> D
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after telling the session to send rows to Python in small batches: texts are long, and a worker's memory is short."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z and nothing else changes. ASCII-only texts take the fast byte-wise lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, read_table, stored
+from .common import maybe_broadcast, read_table, small_batches, stored
 from .tokens import text_rows
 
 VOCABULARY, PAIRS, DISCOUNT = 1 << 14, 1 << 20, 0.5
@@ -212,6 +212,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     flat and so, scaled to no words, is the background: scores are 0. Repeated rows each count and each give a row; null ids are never targets.
     An empty table gives an empty result. Only the named columns are read.
     """
+    small_batches(docs)
     ids = targets.select(F.col(target_id).alias("__target")).where("__target is not null").distinct()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(maybe_broadcast(ids, 24), F.col("doc_id") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("target"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, read_table, stored
+from .common import maybe_broadcast, read_table, small_batches, stored
 from .graph import components
 from .tokens import text_rows
 
@@ -29,7 +29,7 @@ QUIET = 2
 U64 = np.uint64
 #: Multipliers of a shingle's words and of a band's bins.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -134,6 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have that of the equal texts with an id, else null, and are kept then. Ids are cast to long. Empty tables give empty
     results. Only the named columns are read.
     """
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(_signed(rows, size), "near-signed")
     equal = stored(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "near-equal")

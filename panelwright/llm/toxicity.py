@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_batches
 from .tokens import text_rows
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 6000, 40_000
@@ -279,6 +279,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spans are the runs of words whose chance of being toxic is over a half. Scores see the text alone. Null, empty and
     blank texts have the score of a text without toxic words. Repeated rows and null ids each give a row; an empty table gives none.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,6 +318,7 @@ def _spans(text: str, found: list[tuple[int, float]]) -> list[dict]:
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that the model does not call toxic. Texts are judged row by row."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
