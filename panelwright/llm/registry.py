@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, lm_score, mixing, near_dedup, secrets, token_store, tokens, toxicity
+from . import decontaminate, exact_dedup, lm_score, mixing, near_dedup, secrets, suffix_dedup, token_store, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_secrets": secrets.op9_secrets,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
