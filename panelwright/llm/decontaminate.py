@@ -79,6 +79,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Repeated rows each get their own, equal, result; rows that share an id but not the text are kept apart. Null ids
     are kept. An empty benchmark leaves every document clean. Only the named columns are read.
     """
+    return _contamination(docs, benchmark, id_col, text_col, item_col, item_text, window, gram).drop("th")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of docs, with all their columns, in which contamination() finds nothing."""
+    bad = _contamination(docs, benchmark, id_col, text_col, item_col, item_text, window, gram).where("contaminated")
+    bad = stored(bad.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "bench-bad")
+    return docs.join(maybe_broadcast(bad, 32), docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["__th"]), "left_anti")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, gram: int) -> DataFrame:
+    """contamination() and the hash of each row's text."""
     if gram > window:
         raise ValueError("gram must not exceed window")
     items = stored(benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.translate(F.col(item_text).cast("string"), UPPER, LOWER)).alias("w"), F.col(item_text).cast("string").alias("t")).withColumn("n", F.size("w")).where("n > 0"), "bench-items")
@@ -111,8 +123,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = stored(covered.alias("c").join(held.alias("i"), same(covered, held), "left").select(covered["doc_id"], covered["th"], "n_hit", "items"), "bench-found")
 
     every = rows.select("doc_id", F.xxhash64("text").alias("th"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = every.join(maybe_broadcast(found, 4096), same(every, found), "left").select(every["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = every.join(maybe_broadcast(found, 4096), same(every, found), "left").select(every["doc_id"], every["th"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "th", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
