@@ -158,6 +158,8 @@ SELECT count(*) FILTER (a > DATE '2000-12-31') AS r0, count(*) FILTER (e IS NULL
 t AS (SELECT CASE WHEN news_id LIKE '%17' THEN NULL ELSE source_file END AS f, CASE WHEN news_id LIKE '%17' THEN 0 ELSE 1 END AS hit, CASE WHEN news_id LIKE '%17' OR news_id LIKE '%3' THEN 0 ELSE 1 END AS same FROM s)""") + "SELECT count(*) AS sample_rows, round(avg(hit), 6) AS match_ratio, round(avg(hit), 6) AS date_match_ratio, round(avg(same), 6) AS title_match_ratio, count(DISTINCT f) AS source_files FROM t",
     "coverage_ratios": _M + "SELECT source_file, count(*) AS n, count(*) FILTER (is_mapped) AS mapped, round(avg(CAST(is_mapped AS INT)), 6) AS mapped_ratio, round(avg(CASE WHEN trim(ticker_raw) <> '' THEN 1 ELSE 0 END), 6) AS ticker_ratio, round(avg(CASE WHEN trim(coalesce(body, '')) <> '' THEN 1 ELSE 0 END), 6) AS body_ratio FROM mapped GROUP BY 1",
     "prompt_text": _with(NEWS) + "SELECT news_id, substr('Title: ' || title || CASE WHEN body IS NOT NULL THEN chr(10) || 'Body: ' || body WHEN news_id LIKE '%5' THEN chr(10) || 'Summary: summary_textrank' ELSE '' END, 1, 60) AS article FROM news",
+    "json_decode": """SELECT event_id, CASE WHEN event_id % 6 < 3 THEN event_type END AS source, CASE WHEN event_id % 6 < 3 THEN 'A' || event_id || '|B' END AS targets, CAST(NULL AS VARCHAR) AS event_type,
+  CASE WHEN event_id % 6 >= 3 THEN 'StructuredDecodeError' END AS error_type FROM events""",
     "shard_batches": _with(UNI, NEWS, MAPPED, PLAN) + "SELECT news_id, shard_id, rn AS row_number, batch_id, row_seed FROM planned",
     "shard_plan": _with(UNI, NEWS, MAPPED, PLAN, "months(shard_id) AS (VALUES ('1995-11'), ('1995-12'), ('1996-01'), ('1996-02'), ('1996-03'))") + "SELECT shard_id, count(news_id) AS rows, count(DISTINCT batch_id) AS batches FROM months LEFT JOIN planned USING (shard_id) GROUP BY 1",
     "mock_extract": _with(UNI, NEWS, MAPPED, PLAN, MOCK) + """SELECT news_id, CASE WHEN failed THEN 'failed' ELSE 'success' END AS status, CASE WHEN NOT failed THEN coalesce(nullif(source_company_name, ''), source_ticker) END AS extracted_source, CASE WHEN failed THEN '' ELSE t1 || '|' || t2 END AS extracted_targets, CASE WHEN NOT failed THEN event_type END AS event_type,
