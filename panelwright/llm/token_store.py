@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, read_table, shared_path, stored
+from .common import maybe_broadcast, read_table, shared_path, small_batches, stored
 from .tokens import PreTokens, split_text, text_rows, tokenizer, vocabulary_path
 
 END_ID = 1
@@ -82,12 +82,15 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
     """Slices of the batches and the chunks of each of their documents."""
     width = _width(path)
     size, end = int(width[2]), np.array([end_id], width).tobytes()
-    known = PreTokens(path, lambda ids: np.array(ids, width).tobytes())
+
+    def packed(ids: np.ndarray, stops: np.ndarray) -> list[bytes]:
+        data, stops = ids.astype(width).tobytes(), (stops * size).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    known = PreTokens(path, packed)
     gear = _gear(max(tokenizer(path).get_vocab_size(), end_id + 1))
     for part, texts in text_rows(batches):
-        split = [split_text(t) for t in texts]
-        known.learn(split)
-        docs = [b"".join(map(known.__getitem__, words)) + end for words in split]
+        docs = [b"".join(values) + end for values in known.values_of([split_text(t) for t in texts])]
         known.forget_long() if max(map(len, texts), default=0) > 1 << 16 else None
         ends = np.cumsum([len(d) // size for d in docs])
         data = b"".join(docs)
@@ -108,6 +111,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     rows are both stored. An empty table gives a store without documents. Only the named columns are read.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = int(_width(tokenizer_path)[2])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_batches
 
 FREQUENT, FREQUENT_PER_TASK = 1 << 16, 1 << 13
 #: Entries of a worker's cache; longer pre-tokens than LONG bytes are not kept.
@@ -58,8 +58,12 @@ def text_rows(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int
 
 #: A run of Latin letters is one pre-token whatever stands around it, and so is one of these marks after it.
 WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)").fullmatch
-#: Words encoded by one call of the library.
-JOINED = 128
+#: Words in one string for the library, and words in one call.
+JOINED, BATCH = 128, 1 << 16
+
+
+def piece_lengths(ids: np.ndarray, stops: np.ndarray) -> list[int]:
+    return np.diff(stops, prepend=0).tolist()
 
 
 def split_text(text: bytes) -> list[bytes]:
@@ -70,51 +74,64 @@ def split_text(text: bytes) -> list[bytes]:
 class PreTokens(dict):
     """What `of` makes of the token ids of a pre-token: a fixed tier and a bounded one that starts afresh when it is full.
 
-    of(ids + more) must be of(ids) + of(more). ends says of each id whether a pre-token ends with it; with it, unknown words are encoded
-    many at a time.
+    of(ids, stops) gives the values of the pieces of the array ids that end at stops; values add up as their ids are joined.
+    Words of letters are encoded many at a time, by word_tokenizer().
     """
 
     def __init__(self, path: str, of, fixed: dict | None = None):
         super().__init__(fixed or {})
         self.library, self.of, self.fixed, self.marks = tokenizer(path), of, fixed or {}, {}
-        self.ends = word_ends(path)
+        self.fast, self.ends = word_tokenizer(path)
 
-    def learn(self, split_texts: list[list[bytes]]) -> None:
-        seen = set().union(*split_texts)
-        new = [w for w in seen if w not in self]
+    def values_of(self, split_texts: list[list[bytes]]) -> list[list]:
+        """The values of each text's pre-tokens; unknown ones are encoded together."""
+        found = [list(map(self.get, words)) for words in split_texts]
+        holes = [(words, values, [i for i, v in enumerate(values) if v is None]) for words, values in zip(split_texts, found, strict=True) if None in values]
+        new = list({words[i] for words, _, at in holes for i in at})
         if len(self) + len(new) > len(self.fixed) + CACHE:
             self.clear()
             self.update(self.fixed)
-            new = [w for w in seen if w not in self]
-        parts = {w: m for w in new if (m := WORD(w.decode()))} if self.ends is not None else {}
-        self.update(self._words(list({m[1] for m in parts.values()} - {""})))
-        for w, m in parts.items():
-            if m[2]:
-                self[w] = self[m[1].encode()] + self._mark(m[2])
-        rest = [w for w in new if w not in parts]
+        self._learn(new)
+        for words, values, at in holes:
+            for i in at:
+                values[i] = self[words[i]]
+        return found
+
+    def _learn(self, new: list[bytes]) -> None:
+        words, marked, rest = [], [], []
+        if self.fast is None:
+            rest = new
+        else:
+            for w in new:
+                if w.isalpha():
+                    words.append(w)
+                elif m := WORD(w.decode()):
+                    marked.append((w, m[1].encode(), m[2]))
+                else:
+                    rest.append(w)
+            words += {core for _, core, _ in marked if core not in self}.difference(words)
+        for i in range(0, len(words), BATCH):
+            self._words(words[i : i + BATCH])
+        for w, core, mark in marked:
+            if mark:
+                self[w] = self[core] + self._mark(mark)
         self.update(zip(rest, self._each([w.decode() for w in rest]), strict=True))
 
     def _each(self, words: list[str]):
-        return [self.of(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        return self.of(np.array([i for x in found for i in x], np.int64), np.cumsum([len(x) for x in found], dtype=np.int64))
 
     def _mark(self, mark: str):
         if mark not in self.marks:
             self.marks[mark] = self._each([mark])[0]
         return self.marks[mark]
 
-    def _words(self, words: list[str]):
-        words = [w for w in words if w.encode() not in self]
+    def _words(self, words: list[bytes]) -> None:
         lines = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False) if lines else [], strict=True):
-            ids = e.ids
+        for line, e in zip(lines, self.fast.encode_batch_fast([b" ".join(x).decode().lower() for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(line):
-                yield from zip([w.encode() for w in line], self._each(line), strict=True)
-                continue
-            begin = 0
-            for w, stop in zip(line, stops.tolist(), strict=True):
-                yield w.encode(), self.of(ids[begin:stop])
-                begin = stop
+            self.update(zip(line, self.of(ids, stops) if len(stops) == len(line) else self._each([w.decode() for w in line]), strict=True))
 
     def forget_long(self) -> None:
         for x in [x for x in self if len(x) > LONG and x not in self.fixed]:
@@ -122,16 +139,25 @@ class PreTokens(dict):
 
 
 @cache
-def word_ends(path: str) -> np.ndarray | None:
-    """Whether each id ends a pre-token, if the tokenizer marks word ends, drops white space and lower-cases, as word BPE does; else None."""
+def word_tokenizer(path: str) -> tuple:
+    """For lower-case words of letters: the tokenizer without the steps that change nothing in them, and whether each id ends a word.
+
+    (None, None) unless the tokenizer normalises by NFC, white space and lower case, splits by a pattern and into bytes, and marks word ends.
+    """
     with open(path, encoding="utf-8") as f:
-        suffix = json.load(f)["model"].get("end_of_word_suffix")
-    if not suffix:
-        return None
-    found = np.zeros(tokenizer(path).get_vocab_size(), bool)
-    for token, i in tokenizer(path).get_vocab().items():
-        found[i] = token.endswith(suffix)
-    return found
+        spec = json.load(f)
+    suffix = spec["model"].get("end_of_word_suffix")
+    kinds = lambda part, name: [x["type"] for x in (spec.get(part) or {}).get(name, [])]
+    if not suffix or kinds("normalizer", "normalizers") != ["NFC", "Replace", "Lowercase"] or kinds("pre_tokenizer", "pretokenizers") != ["Split", "ByteLevel"]:
+        return None, None
+    from tokenizers import Tokenizer
+
+    to_bytes = spec["pre_tokenizer"]["pretokenizers"][1]
+    fast = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, to_bytes]}}))
+    ends = np.zeros(fast.get_vocab_size(), bool)
+    for token, i in fast.get_vocab().items():
+        ends[i] = token.endswith(suffix)
+    return fast, ends
 
 
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", most: int = FREQUENT, per_task: int = FREQUENT_PER_TASK) -> list[bytes]:
@@ -158,16 +184,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     count as the library takes them. Null counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids each give a row; an
     empty table gives none. Only the named columns are read.
     """
+    small_batches(docs)
     words = frequent_pretokens(docs, text_col, most=frequent)
     lengths = [len(x) for x in tokenizer(tokenizer_path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
     table = docs.sparkSession.sparkContext.broadcast((b" ".join(words), lengths))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = PreTokens(tokenizer_path, len, dict(zip(table.value[0].split(), table.value[1], strict=True)))
+        known = PreTokens(tokenizer_path, piece_lengths, dict(zip(table.value[0].split(), table.value[1], strict=True)))
         for part, texts in text_rows(batches):
-            split = [split_text(t) for t in texts]
-            known.learn(split)
-            n = [sum(map(known.__getitem__, words)) for words in split]
+            n = list(map(sum, known.values_of([split_text(t) for t in texts])))
             known.forget_long() if max(map(len, texts), default=0) > 1 << 16 else None
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
