@@ -116,16 +116,40 @@ def _groups(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
 
 
-def _by_document(numbers: np.ndarray, ids: np.ndarray, texts: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """One row a document with its values, packed."""
-    order = np.argsort(numbers, kind="stable")
-    n = numbers[order]
-    begin = _groups(n)
-    end = np.append(begin[1:], len(n))
-    values = [v[order] for v in values]
-    bodies = [b"".join(v[a:b].tobytes() for v in values) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    at = n[begin]
-    return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(texts[at], pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "th", "body"])
+class _Owned:
+    """Values of documents, gathered in a task and sent in one row to each of the owners that documents are dealt to."""
+
+    def __init__(self, owners: int):
+        self.owners, self.parts = owners, []
+
+    def add(self, number: np.ndarray, ids: np.ndarray, texts: np.ndarray, values: np.ndarray) -> None:
+        self.parts.append((values, ids[number], texts[number]))
+
+    def rows(self) -> pa.RecordBatch:
+        rows = []
+        if self.parts:
+            values, ids, texts = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+            owner = (((ids ^ texts).view(U64) * M1) >> U64(33)).astype(np.int64) % self.owners
+            order = np.lexsort((texts, ids, owner))
+            values, ids, texts, owner = values[order], ids[order], texts[order], owner[order]
+            ends = [*_groups(owner).tolist(), len(owner)]
+            rows = [(DONE, int(owner[a]), _packed(values[a:b], ids[a:b], texts[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
+        return _sent(rows)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All values of each document, in one row."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for owner, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            held.setdefault(owner, []).append(_unpacked(body, "u8", "i8", "i8"))
+    for parts in held.values():
+        values, ids, texts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((texts, ids))
+        values, ids, texts = values[order], ids[order], texts[order]
+        begin = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])))
+        ends = [*begin.tolist(), len(ids)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[begin]), pa.array(texts[begin]), pa.array([values[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "th", "body"])
 
 
 def _send_anchors(base: DataFrame, span: int, buckets: int) -> DataFrame:
@@ -178,14 +202,15 @@ def _send_anchors(base: DataFrame, span: int, buckets: int) -> DataFrame:
     return base.mapInArrow(send, _ROWS)
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Phase 1, where hashes meet: the anchors of each document that others have too; with a null doc_id, the hottest of all."""
+def _shared_anchors(batches: Iterator[pa.RecordBatch], most: int, owners: int) -> Iterator[pa.RecordBatch]:
+    """Phase 1, where hashes meet: the anchors that others have too, to their documents' owners; rows ANCHORS of the hottest of all."""
     held: dict[int, list] = {}
+    out = _Owned(owners)
     for batch in batches:
         for kind, bucket, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "body")), strict=True):
             h, number, ids, texts = _unpacked(body, "u8", "i4", "i8", "i8")
             if kind == DONE:
-                yield _by_document(number, ids, texts, h)
+                out.add(number, ids, texts, h)
             else:
                 held.setdefault(bucket, []).append((h, number, ids, texts))
     for found in held.values():
@@ -200,11 +225,12 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
         size = np.diff(np.append(begin, len(h)))
         m = np.repeat(weight > 1, size) & (number >= 0)
         if m.any():
-            yield _by_document(number[m], ids, texts, h[m])
+            out.add(number[m], ids, texts, h[m])
         hot = np.flatnonzero(weight > most)
         if len(hot):
             top = hot[np.argsort(-weight[hot], kind="stable")[:HOT_PER_BUCKET]]
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([h[begin[top]].tobytes()], pa.binary())], names=["doc_id", "th", "body"])
+            yield _sent([(ANCHORS, 0, h[begin[top]].tobytes())])
+    yield out.rows()
 
 
 def _surroundings(data: bytes, at: np.ndarray, span: int) -> np.ndarray:
@@ -286,7 +312,7 @@ def _send_suffixes(marked: DataFrame, span: int, splitters: np.ndarray, hot: np.
             for data, doc_id, th, shared in zip(texts, *(part.column(c).to_pylist() for c in ("doc_id", "th", "shared")), strict=True):
                 at, h, least = anchors(data, span)
                 short = h >> U64(64 - HASH_BITS)
-                m = np.isin(short, np.frombuffer(b"".join(shared), U64))
+                m = np.isin(short, np.frombuffer(shared, U64))
                 at, h, short = at[m], h[m], short[m]
                 # the windows of an anchor: those with its hash as their least that contain it; they are consecutive
                 place = at[:, None] - np.arange(before + 1)
@@ -313,17 +339,18 @@ def _windows(around: np.ndarray, span_of: np.ndarray, span: int) -> tuple[np.nda
     return row, j, digests[:, 0], digests[:, 1]
 
 
-def _earlier_windows(span: int):
+def _earlier_windows(span: int, owners: int):
     before = span - GRAM
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 2, where suffixes meet: for each document its anchors' places and bit masks of windows that an earlier one has."""
+        """Phase 2, where suffixes meet: anchors' places and bit masks of the windows that an earlier document has, to the owners."""
         held: dict[tuple[int, int], list] = {}
+        out = _Owned(owners)
         for batch in batches:
             for kind, bucket, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "body")), strict=True):
                 if kind == DONE:
                     number, at, masks, ids, texts = _unpacked(body, "i4", "u4", "u4", "i8", "i8")
-                    yield _by_document(number, ids, texts, np.column_stack([at, masks]))
+                    out.add(number, ids, texts, np.column_stack([at, masks]).view(U64)[:, 0])
                 else:
                     held.setdefault((kind, bucket), []).append(body)
         for (kind, _), bodies in held.items():
@@ -359,7 +386,8 @@ def _earlier_windows(span: int):
                 masks = _compare(around, span_of, doc, span) if len(order) else np.empty(0, np.uint32)
             m = masks > 0
             if m.any():
-                yield _by_document(number[m], ids, texts, np.column_stack([at[m], masks[m]]))
+                out.add(number[m], ids, texts, np.column_stack([at[m], masks[m]]).view(U64)[:, 0])
+        yield out.rows()
 
     return find
 
@@ -411,12 +439,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sent = stored(_send_anchors(base, span, buckets), "span-anchors")
     samples = np.sort(np.frombuffer(b"".join(bytes(r["body"]) for r in sent.where(f"kind = {SAMPLE}").limit(2000).collect()), np.int64))
     splitters = np.unique(samples[np.linspace(0, len(samples) - 1, buckets + 1).astype(int)[1:-1]]) if len(samples) else samples
-    shared = stored(sent.where(f"kind <> {SAMPLE}").repartition(buckets, "bucket").mapInArrow(lambda batches: _shared_anchors(batches, hot_docs), "doc_id long, th long, body binary"), "span-shared")
-    hot = np.frombuffer(b"".join(bytes(r["body"]) for r in shared.where("doc_id is null").collect()), U64)  # at most HOT_PER_BUCKET a bucket
-    lists = shared.where("doc_id is not null").groupBy("doc_id", "th").agg(F.collect_list("body").alias("shared"))
+    shared = stored(sent.where(f"kind <> {SAMPLE}").repartition(buckets, "bucket").mapInArrow(lambda batches: _shared_anchors(batches, hot_docs, buckets), _ROWS), "span-shared")
+    hot = np.frombuffer(b"".join(bytes(r["body"]) for r in shared.where(f"kind = {ANCHORS}").collect()), U64)  # at most HOT_PER_BUCKET a bucket
+    per_document = lambda rows: rows.repartition(buckets, "bucket").mapInArrow(_gathered, "doc_id long, th long, body binary")
+    lists = per_document(shared.where(f"kind = {DONE}")).withColumnRenamed("body", "shared")
     marked = base.join(lists.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "shared")
-    found = stored(_send_suffixes(marked, span, splitters, hot, buckets).repartition(buckets, "kind", "bucket").mapInArrow(_earlier_windows(span), "doc_id long, th long, body binary"), "span-found")
-    windows = found.groupBy("doc_id", "th").agg(F.collect_list("body").alias("windows"))
+    found = _send_suffixes(marked, span, splitters, hot, buckets).repartition(buckets, "kind", "bucket").mapInArrow(_earlier_windows(span, buckets), _ROWS)
+    windows = per_document(stored(found, "span-found")).withColumnRenamed("body", "windows")
     copy = maybe_broadcast(copies.select(F.col("doc_id").alias("copy_id"), F.col("th").alias("copy_th")), 32)
     whole = rows.join(windows.hint("merge"), ["doc_id", "th"], "left").join(copy, (F.col("doc_id") == F.col("copy_id")) & (F.col("th") == F.col("copy_th")), "left").select("doc_id", "text", "windows", F.col("copy_id").isNotNull().alias("copy"))
     bits = np.arange(span - GRAM + 1, dtype=np.uint32)
@@ -424,13 +453,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_rows(batches):
             out = []
-            for data, lists, copy in zip(texts, part.column("windows").to_pylist(), part.column("copy").to_pylist(), strict=True):
+            for data, mine, copy in zip(texts, part.column("windows").to_pylist(), part.column("copy").to_pylist(), strict=True):
                 if copy:
                     out.append((len(data), len(data), 1, b""))
-                elif not lists:
+                elif not mine:
                     out.append((len(data), 0, 0, data))
                 else:
-                    found = np.concatenate([np.frombuffer(x, np.uint32).reshape(-1, 2) for x in lists])
+                    found = np.frombuffer(mine, np.uint32).reshape(-1, 2)
                     row, j = np.nonzero(found[:, 1:] >> bits & np.uint32(1))
                     starts = np.bincount(found[row, 0].astype(np.int64) - j, minlength=len(data) + 1)
                     ends = np.concatenate([np.zeros(span, starts.dtype), starts[:-span]])
