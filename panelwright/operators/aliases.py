@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import text
 
+from .joins import dimension
+
 #: Corporate suffixes, lower case; a parameter of the functions below.
 SUFFIXES = ["co", "company", "corp", "corporation", "group", "holding", "holdings", "inc", "incorporated", "llc", "ltd", "limited", "nv", "plc", "sa", "the"]
 #: Aliases are few (a handful for each company); above this many the contains-join refuses to send them to every task.
@@ -55,14 +57,15 @@ class MappingConfig:
 
 def mapped_by_code(news: DataFrame, universe: DataFrame, legacy: dict[str, str]) -> DataFrame:
     """Adds source_ticker and mapping_method from the row's code: a ticker, else a price ticker, else a former ticker. Empty codes map to
-    nothing. Of universe rows with the same key the last ticker wins. The three tables are the size of the universe and joined by broadcast
-    if Spark finds them small."""
+    nothing. Of universe rows with the same key the last ticker wins. The tables are no larger than the universe and are broadcast if that is
+    small, so that rows without a code, often very many, do not meet in one task."""
     spark = news.sparkSession
     pick = lambda key: universe.select(text.key(key).alias("k"), F.col("ticker")).where("k <> ''").groupBy("k").agg(F.max("ticker").alias("ticker"))
     former = spark.createDataFrame([(k.strip().upper(), v) for k, v in legacy.items() if k.strip()], "k string, ticker string")
     out = news.withColumn("__key", text.key("ticker_raw"))
     for name, table in (("t", pick("ticker")), ("p", pick("price_ticker")), ("l", former)):
-        out = out.join(table.select(F.col("k").alias(f"__{name}k"), F.col("ticker").alias(f"__{name}")), F.col("__key") == F.col(f"__{name}k"), "left").drop(f"__{name}k")
+        side = table.select(F.col("k").alias(f"__{name}k"), F.col("ticker").alias(f"__{name}"))
+        out = out.join(F.broadcast(side) if name == "l" else dimension(side), F.col("__key") == F.col(f"__{name}k"), "left").drop(f"__{name}k")
     method = F.when(F.col("__t").isNotNull(), "ticker_raw").when(F.col("__p").isNotNull(), "price_ticker").when(F.col("__l").isNotNull(), "legacy_ticker")
     return out.withColumn("source_ticker", F.coalesce("__t", "__p", "__l")).withColumn("mapping_method", method).drop("__key", "__t", "__p", "__l")
 
@@ -98,14 +101,14 @@ def mapped_by_text(news: DataFrame, aliases: DataFrame, config: MappingConfig) -
     body = text.normalized_alias(text.joined(config.text_columns))
     rank = F.when(F.col("source_ticker").isNull(), first_alias(F.when(F.col("source_ticker").isNull(), body), probes, config.whole_words))
     found = probes.select(F.col("rank").alias("__rank"), F.col("ticker").alias("__ticker"))
-    out = news.withColumn("__r", rank).join(found, F.col("__r") == F.col("__rank"), "left")
+    out = news.withColumn("__r", rank).join(F.broadcast(found), F.col("__r") == F.col("__rank"), "left")
     return out.withColumn("mapping_method", F.when(F.col("__ticker").isNotNull() & F.col("source_ticker").isNull(), "alias_text").otherwise(F.col("mapping_method"))).withColumn("source_ticker", F.coalesce("source_ticker", "__ticker")).drop("__r", "__rank", "__ticker")
 
 
 def finished(news: DataFrame, universe: DataFrame, version: str) -> DataFrame:
     """Adds the company's attributes (empty if it is not in the universe), confidence and is_mapped."""
     company = universe.groupBy(F.col("ticker").alias("__t")).agg(F.max("price_ticker").alias("source_price_ticker"), F.max("company_name").alias("source_company_name"))
-    out = news.join(company, F.col("source_ticker") == F.col("__t"), "left").drop("__t")
+    out = news.join(dimension(company), F.col("source_ticker") == F.col("__t"), "left").drop("__t")
     mapped = F.col("source_ticker").isNotNull() & (F.col("source_ticker") != "")
     method = F.coalesce("mapping_method", F.lit("none"))
     return out.withColumns(

@@ -48,7 +48,7 @@ def features(daily: DataFrame, index: DataFrame) -> DataFrame:
             "oc_return": _log_ratio(F.col("close"), F.col("open")),
         }
     )
-    out = rows.join(market_returns(index), "date", "left")
+    out = rows.join(F.broadcast(market_returns(index)), "date", "left")  # a row a trading day
     complete = F.lit(True)
     for c in REQUIRED:
         complete = complete & F.col(c).isNotNull()

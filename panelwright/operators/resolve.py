@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import text
 
+from .joins import dimension
+
 
 @dataclass(frozen=True)
 class ResolverConfig:
@@ -39,7 +41,7 @@ def resolved(targets: DataFrame, aliases: DataFrame, config: ResolverConfig | No
     rows = targets.withColumn("input_target", raw).withColumn("__norm", text.normalized_alias("input_target")).withColumn("__k", F.when(F.lit(config.allow_ticker) & (F.col("input_target") != ""), F.upper("input_target")))
     by_ticker = ticker_dimension(aliases).select(F.col("k").alias("__tk"), F.struct("ticker", "price_ticker", "company_name").alias("__t"))
     by_alias = alias_dimension(aliases, config.alias_min_length).select(F.col("alias_normalized").alias("__an"), "companies", F.col("c").alias("__a"))
-    out = rows.join(by_ticker, F.col("__k") == F.col("__tk"), "left").join(by_alias, F.col("__norm") == F.col("__an"), "left")
+    out = rows.join(dimension(by_ticker), F.col("__k") == F.col("__tk"), "left").join(dimension(by_alias), F.col("__norm") == F.col("__an"), "left")
     n = F.coalesce("companies", F.lit(0))
     empty, ticker = (F.col("input_target") == "") | ((F.col("__norm") == "") & F.col("__t").isNull()), F.col("__t").isNotNull()
     match = F.when(empty, "").when(ticker, "exact_ticker").when(n == 1, "exact_alias").when(n > 1, "ambiguous_alias").otherwise("no_match")
