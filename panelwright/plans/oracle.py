@@ -72,7 +72,7 @@ aliases AS (SELECT ticker, price_ticker, company_name, cik, alias, alias_normali
   SELECT *, row_number() OVER (PARTITION BY ticker, alias_normalized ORDER BY pos, company_name) AS rn FROM (SELECT *, {_norm('alias')} AS alias_normalized FROM made) WHERE alias_normalized <> '') WHERE rn = 1)"""
 PLAN = """planned AS (SELECT *, rn // 16 AS batch_id, 7 + rn AS row_seed FROM (
   SELECT *, substr(published_date, 1, 7) AS shard_id, row_number() OVER (PARTITION BY substr(published_date, 1, 7) ORDER BY published_date, news_id) - 1 AS rn
-  FROM mapped WHERE is_mapped AND source_ticker <> '' AND published_date BETWEEN '1995-11-01' AND '1996-03-31'))"""
+  FROM mapped WHERE is_mapped AND source_ticker <> '' AND published_date BETWEEN '1995-01-01' AND '2001-12-31'))"""
 #: Both mock targets of each row, found by name; s2 is a ticker, the numbered names are aliases, nobody is neither.
 MOCK = """mock AS (SELECT *, ['Supplier#000000001', 's2', 'Supplier#000000003', 'nobody'][row_seed % 4 + 1] AS t1, ['Supplier#000000001', 's2', 'Supplier#000000003', 'nobody'][(row_seed + 1) % 4 + 1] AS t2,
   ['partnership', 'other', 'product_launch'][row_seed % 3 + 1] AS event_type, news_id IN ('n17', 'n33', 'n400') AS failed FROM planned),
@@ -80,7 +80,7 @@ found AS (SELECT *, CASE t1 WHEN 's2' THEN 'S2' WHEN 'nobody' THEN '' WHEN 'Supp
 _M = _with(UNI, NEWS, MAPPED)
 _F = _with(TICKS, PX, IX, MKT, RET, FEAT)
 _CHECK = """results AS (SELECT * FROM mock WHERE shard_id <> '1996-03' AND NOT (shard_id = '1996-01' AND batch_id > 1)),
-months(shard_id) AS (VALUES ('1995-11'), ('1995-12'), ('1996-01'), ('1996-02'), ('1996-03')),
+months AS (SELECT strftime(m, '%Y-%m') AS shard_id FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m)),
 state AS (SELECT m.shard_id, coalesce(p.n, 0) AS rows, coalesce(p.b, 0) AS batches, coalesce(r.n, 0) AS processed, coalesce(r.s, 0) AS success, coalesce(r.f, 0) AS failure, coalesce(r.b, 0) AS batches_done
   FROM months m LEFT JOIN (SELECT shard_id, count(*) AS n, count(DISTINCT batch_id) AS b FROM planned GROUP BY 1) p USING (shard_id)
   LEFT JOIN (SELECT shard_id, count(*) AS n, count(*) FILTER (NOT failed) AS s, count(*) FILTER (failed) AS f, count(DISTINCT batch_id) AS b FROM results GROUP BY 1) r USING (shard_id)),
@@ -157,11 +157,11 @@ SELECT count(*) FILTER (a > DATE '2000-12-31') AS r0, count(*) FILTER (e IS NULL
     "lineage_check": _with(NEWS, """s AS (SELECT * FROM news ORDER BY sha256('7:' || news_id), news_id LIMIT 200),
 t AS (SELECT CASE WHEN news_id LIKE '%17' THEN NULL ELSE source_file END AS f, CASE WHEN news_id LIKE '%17' THEN 0 ELSE 1 END AS hit, CASE WHEN news_id LIKE '%17' OR news_id LIKE '%3' THEN 0 ELSE 1 END AS same FROM s)""") + "SELECT count(*) AS sample_rows, round(avg(hit), 6) AS match_ratio, round(avg(hit), 6) AS date_match_ratio, round(avg(same), 6) AS title_match_ratio, count(DISTINCT f) AS source_files FROM t",
     "coverage_ratios": _M + "SELECT source_file, count(*) AS n, count(*) FILTER (is_mapped) AS mapped, round(avg(CAST(is_mapped AS INT)), 6) AS mapped_ratio, round(avg(CASE WHEN trim(ticker_raw) <> '' THEN 1 ELSE 0 END), 6) AS ticker_ratio, round(avg(CASE WHEN trim(coalesce(body, '')) <> '' THEN 1 ELSE 0 END), 6) AS body_ratio FROM mapped GROUP BY 1",
-    "prompt_text": _with(NEWS) + "SELECT news_id, substr('Title: ' || title || CASE WHEN body IS NOT NULL THEN chr(10) || 'Body: ' || body WHEN news_id LIKE '%5' THEN chr(10) || 'Summary: summary_textrank' ELSE '' END, 1, 60) AS article FROM news",
+    "prompt_text": _with(NEWS) + "SELECT news_id, substr('Title: ' || title || CASE WHEN body IS NOT NULL THEN chr(10) || 'Body: ' || body WHEN news_id LIKE '%5' THEN chr(10) || 'Summary: summary_textrank' ELSE '' END, 1, 4000) AS article FROM news",
     "json_decode": """SELECT event_id, CASE WHEN event_id % 6 < 3 THEN event_type END AS source, CASE WHEN event_id % 6 < 3 THEN 'A' || event_id || '|B' END AS targets, CAST(NULL AS VARCHAR) AS event_type,
   CASE WHEN event_id % 6 >= 3 THEN 'StructuredDecodeError' END AS error_type FROM events""",
     "shard_batches": _with(UNI, NEWS, MAPPED, PLAN) + "SELECT news_id, shard_id, rn AS row_number, batch_id, row_seed FROM planned",
-    "shard_plan": _with(UNI, NEWS, MAPPED, PLAN, "months(shard_id) AS (VALUES ('1995-11'), ('1995-12'), ('1996-01'), ('1996-02'), ('1996-03'))") + "SELECT shard_id, count(news_id) AS rows, count(DISTINCT batch_id) AS batches FROM months LEFT JOIN planned USING (shard_id) GROUP BY 1",
+    "shard_plan": _with(UNI, NEWS, MAPPED, PLAN, "months AS (SELECT strftime(m, '%Y-%m') AS shard_id FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m))") + "SELECT shard_id, count(news_id) AS rows, count(DISTINCT batch_id) AS batches FROM months LEFT JOIN planned USING (shard_id) GROUP BY 1",
     "mock_extract": _with(UNI, NEWS, MAPPED, PLAN, MOCK) + """SELECT news_id, CASE WHEN failed THEN 'failed' ELSE 'success' END AS status, CASE WHEN NOT failed THEN coalesce(nullif(source_company_name, ''), source_ticker) END AS extracted_source, CASE WHEN failed THEN '' ELSE t1 || '|' || t2 END AS extracted_targets, CASE WHEN NOT failed THEN event_type END AS event_type,
   CASE WHEN failed THEN '' ELSE array_to_string([x FOR x IN [r1, r2] IF x <> '' AND x <> source_ticker], '|') END AS resolved_target_tickers, CASE WHEN NOT failed AND (r1 = '' OR r2 = '') THEN 'nobody' ELSE '' END AS unresolved_targets FROM found""",
     "mock_failures": _with(UNI, NEWS, MAPPED, PLAN, MOCK) + "SELECT news_id, shard_id, 'ClientError' AS error_type, 'mock failure of ' || news_id AS error_message FROM found WHERE failed",
@@ -176,13 +176,13 @@ t AS (SELECT CASE WHEN news_id LIKE '%17' THEN NULL ELSE source_file END AS f, C
     "static_graph": _with(_SPLITS) + "SELECT DISTINCT split, CAST(o_custkey % 30 AS VARCHAR) AS source_ticker, o_orderpriority AS target_ticker FROM orders JOIN splits ON strftime(o_orderdate, '%Y-%m-%d') BETWEEN split_start AND split_end WHERE partition = 'train'",
     "graph_stats": _with(EV, _graph("CAST(count(*) AS DOUBLE)", 5), "g AS (SELECT graph_date, count(*) AS edges, count(DISTINCT source_ticker) AS sources FROM graph GROUP BY 1), v AS (SELECT graph_date, count(DISTINCT x) AS nodes FROM (SELECT graph_date, source_ticker AS x FROM graph UNION ALL SELECT graph_date, target_ticker FROM graph) GROUP BY 1)")
     + "SELECT graph_date, nodes, edges, sources, round(edges / sources, 6) AS avg_out_degree, round(edges / (nodes * (nodes - 1)), 6) AS density FROM g JOIN v USING (graph_date)",
-    "price_graph_topk": _with(TICKS, PX, IX, MKT, RET, """r AS (SELECT date, ticker, ret_1 FROM ret WHERE date <= '1996-06-30'),
+    "price_graph_topk": _with(TICKS, PX, IX, MKT, RET, """r AS (SELECT date, ticker, ret_1 FROM ret),
 cal AS (SELECT date, row_number() OVER (ORDER BY date) AS day FROM (SELECT DISTINCT date FROM r)),
 snap AS (SELECT max(date) AS graph_date, max(day) AS graph_day FROM cal GROUP BY substr(date, 1, 7)),
 w AS (SELECT graph_date, day, ticker, ret_1 FROM r JOIN cal USING (date) JOIN snap ON day <= graph_day AND day > graph_day - 60 WHERE ret_1 IS NOT NULL),
 c AS (SELECT a.graph_date, a.ticker AS source_ticker, b.ticker AS target_ticker, round(abs(CASE WHEN stddev_samp(a.ret_1) * stddev_samp(b.ret_1) > 0 THEN covar_samp(a.ret_1, b.ret_1) / (stddev_samp(a.ret_1) * stddev_samp(b.ret_1)) END), 6) AS weight
   FROM w a JOIN w b ON a.graph_date = b.graph_date AND a.day = b.day AND a.ticker <> b.ticker GROUP BY ALL HAVING count(*) >= 30)""") + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_date, source_ticker ORDER BY weight DESC, target_ticker) AS rank FROM c WHERE weight IS NOT NULL) WHERE rank <= 10",
-    "snapshot_asof": _with(TICKS, PX, "g AS (SELECT max(date) AS graph_date FROM px WHERE substr(date, 6, 2) IN ('03', '06', '09', '12') GROUP BY substr(date, 1, 7))") + "SELECT d.date AS as_of_date, max(graph_date) AS graph_date FROM (SELECT DISTINCT date FROM px) d LEFT JOIN g ON graph_date <= d.date GROUP BY 1",
+    "snapshot_asof": _with(TICKS, PX, "g AS (SELECT max(date) AS graph_date FROM px GROUP BY substr(date, 1, 7))") + "SELECT d.date AS as_of_date, max(graph_date) AS graph_date FROM (SELECT DISTINCT date FROM px) d LEFT JOIN g ON graph_date <= d.date GROUP BY 1",
     "rank_ic": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, SCORES, IC) + "SELECT * FROM ics",
     "rank_ic_summary": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, SCORES, IC) + "SELECT substr(date, 1, 4) AS year, count(*) AS days, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, round(avg(rank_ic), 6) AS rank_ic_mean, round(stddev_samp(rank_ic), 6) AS rank_ic_std, round(avg(rank_ic) / stddev_samp(rank_ic), 6) AS rank_ic_ir FROM ics GROUP BY 1",
     "topk_portfolio": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, SCORES, PORTFOLIO) + "SELECT * FROM ports",
