@@ -78,3 +78,18 @@ def coverage(news: DataFrame, by: str = "source_file") -> DataFrame:
     """Rows, mapped rows and shares of codes and bodies by source."""
     share = lambda c: F.round(F.avg((text.strip(text.or_empty(c)) != "").cast("int")), 6)
     return news.groupBy(by).agg(F.count("*").alias("n"), F.count_if(protocol.true("is_mapped")).alias("mapped"), F.round(F.avg(protocol.true("is_mapped").cast("int")), 6).alias("mapped_ratio"), share("ticker_raw").alias("ticker_ratio"), share("body").alias("body_ratio"))
+
+
+def yearly(news: DataFrame) -> DataFrame:
+    """Rows and mapped rows of each year and source, with what each source adds to the years the others have too."""
+    return news.groupBy(F.substring("published_date", 1, 4).alias("year"), "source_file").agg(F.count("*").alias("n"), F.count_if(protocol.true("is_mapped")).alias("mapped"))
+
+
+def news_share(samples: DataFrame) -> DataFrame:
+    """How many samples of each split have news, and how much."""
+    return samples.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg(F.col("has_mapped_news").cast("int")), 6).alias("news_ratio"), F.sum("mapped_news_count_1d").alias("news"), F.max("mapped_news_count_1d").alias("most"))
+
+
+def count_distribution(samples: DataFrame) -> DataFrame:
+    """Samples by their number of news."""
+    return samples.groupBy("mapped_news_count_1d").agg(F.count("*").alias("n"))

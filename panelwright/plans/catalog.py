@@ -182,6 +182,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "stage_gate": lambda t: sampling.gate(_feasibility(t)).select("source_mapping_ratio", "valid_target_ratio", "can_enter"),
     "lineage_check": _lineage,
     "coverage_ratios": lambda t: sampling.coverage(_mapped(t)),
+    "yearly_counts": lambda t: sampling.yearly(_mapped(t)),
+    "news_share": lambda t: sampling.news_share(_samples(t)),
+    "news_count_distribution": lambda t: sampling.count_distribution(_samples(t)),
     "prompt_text": lambda t: t.news().withColumns({c: F.when(F.col("news_id").endswith("5"), c) for c in text.SUMMARIES}).select("news_id", text.article().alias("article")),
     "json_decode": _json,
     "shard_batches": lambda t: shards.planned(_mapped(t), RUN).select("news_id", "shard_id", "row_number", "batch_id", "row_seed"),

@@ -157,6 +157,9 @@ SELECT count(*) FILTER (a > DATE '2000-12-31') AS r0, count(*) FILTER (e IS NULL
     "lineage_check": _with(NEWS, """s AS (SELECT * FROM news ORDER BY sha256('7:' || news_id), news_id LIMIT 200),
 t AS (SELECT CASE WHEN news_id LIKE '%17' THEN NULL ELSE source_file END AS f, CASE WHEN news_id LIKE '%17' THEN 0 ELSE 1 END AS hit, CASE WHEN news_id LIKE '%17' OR news_id LIKE '%3' THEN 0 ELSE 1 END AS same FROM s)""") + "SELECT count(*) AS sample_rows, round(avg(hit), 6) AS match_ratio, round(avg(hit), 6) AS date_match_ratio, round(avg(same), 6) AS title_match_ratio, count(DISTINCT f) AS source_files FROM t",
     "coverage_ratios": _M + "SELECT source_file, count(*) AS n, count(*) FILTER (is_mapped) AS mapped, round(avg(CAST(is_mapped AS INT)), 6) AS mapped_ratio, round(avg(CASE WHEN trim(ticker_raw) <> '' THEN 1 ELSE 0 END), 6) AS ticker_ratio, round(avg(CASE WHEN trim(coalesce(body, '')) <> '' THEN 1 ELSE 0 END), 6) AS body_ratio FROM mapped GROUP BY 1",
+    "yearly_counts": _M + "SELECT substr(published_date, 1, 4) AS year, source_file, count(*) AS n, count(*) FILTER (is_mapped) AS mapped FROM mapped GROUP BY ALL",
+    "news_share": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, BN, SAMPLES) + "SELECT split, count(*) AS n, round(avg(CAST(has_mapped_news AS INT)), 6) AS news_ratio, CAST(sum(mapped_news_count_1d) AS BIGINT) AS news, max(mapped_news_count_1d) AS most FROM samples GROUP BY 1",
+    "news_count_distribution": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, BN, SAMPLES) + "SELECT mapped_news_count_1d, count(*) AS n FROM samples GROUP BY 1",
     "prompt_text": _with(NEWS) + "SELECT news_id, substr('Title: ' || title || CASE WHEN body IS NOT NULL THEN chr(10) || 'Body: ' || body WHEN news_id LIKE '%5' THEN chr(10) || 'Summary: summary_textrank' ELSE '' END, 1, 4000) AS article FROM news",
     "json_decode": """SELECT event_id, CASE WHEN event_id % 6 < 3 THEN event_type END AS source, CASE WHEN event_id % 6 < 3 THEN 'A' || event_id || '|B' END AS targets, CAST(NULL AS VARCHAR) AS event_type,
   CASE WHEN event_id % 6 >= 3 THEN 'StructuredDecodeError' END AS error_type FROM events""",
