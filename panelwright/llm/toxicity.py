@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import read_table, small_batches
 from .tokens import text_rows
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 6000, 40_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 4500, 40_000
 #: Word beginnings that are features, by length, beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: Log-likelihood ratio statistic and share of toxic documents from which a feature marks toxic words; most features of a model.
@@ -85,16 +85,23 @@ def _unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 def _marks(rows: list[tuple[list[str], int]]) -> set[str]:
     """Features that mark toxic documents."""
+    n = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+    if not all(n):
+        return set()
+    p = n[1] / (n[0] + n[1])
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for words, y in rows:
-        counts[y].update({f for w in set(words) for f in features(w)})
-    n = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+        if y:
+            counts[1].update({f for w in set(words) for f in features(w)})
+    # even in no clean document, a feature in fewer toxic ones is not significant
+    hopeful = {f for f, t in counts[1].items() if 2 * t * math.log(1 / p) >= SIGNIFICANT}
+    for words, y in rows:
+        if not y:
+            counts[0].update({f for w in set(words) for f in features(w) if f in hopeful})
     found = {}
-    for f, t in counts[1].items():
-        c = counts[0][f]
-        rate = (t / max(n[1], 1)) / max(t / max(n[1], 1) + c / max(n[0], 1), 1e-12)
-        if rate >= SHARE and n[0]:
-            p = n[1] / (n[0] + n[1])
+    for f in hopeful:
+        t, c = counts[1][f], counts[0][f]
+        if t / n[1] >= SHARE * (t / n[1] + c / n[0]):
             g = 2 * (t * math.log(t / (p * (t + c))) + (c * math.log(c / ((1 - p) * (t + c))) if c else 0))
             if g >= SIGNIFICANT:
                 found[f] = g
@@ -246,7 +253,9 @@ def _fit_score(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 def train(sample: list[tuple[str, int]]) -> Model:
     """A model of (text, label) rows. Without rows of both labels, or marks of toxic ones, all texts score the share of label 1."""
-    rows = [([w.strip(STRIP) for w in words_of(text)], y) for text, y in sample]
+    one: dict[str, str] = {}  # each word once in memory
+    rows = [([one.setdefault(w, w) for w in (x.strip(STRIP) for x in words_of(text))], y) for text, y in sample]
+    del one
     marks = _marks(rows)
     share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
     base = [math.log(share / (1 - share)), 0.0, 0.0]
@@ -254,15 +263,25 @@ def train(sample: list[tuple[str, int]]) -> Model:
         return Model({}, -5.0, [[0.0, 0.0], [0.0, 0.0]], base)
     number = {f: i for i, f in enumerate(sorted(marks), 1)}
     wide = 1 + len(BEGINNINGS)
-    marked, plain = [], []
+    marked, plain, seen = [], [], 0
+    step = 1 + sum(len(words) for words, _ in rows) // (SEGMENT * SEGMENTS // 3)
     for words, y in rows:
-        ids = [[number.get(f, 0) for f in features(w)] for w in words]
-        ids = np.array([x + [0] * (wide - len(x)) for x in ids], np.int32).reshape(-1, wide)
+        ids = np.zeros((len(words), wide), np.int32)
+        for i, w in enumerate(words):
+            for k, f in enumerate(features(w)):
+                if f in number:
+                    ids[i, k] = number[f]
         tags = (ids.any(1) & (y == 1)).astype(np.int8)
         for i in range(0, len(words) - SEGMENT + 1, SEGMENT):
             part = ids[i : i + SEGMENT], tags[i : i + SEGMENT]
-            (marked if part[0].any() else plain).append(part)
-    chosen = marked[:: max(1, len(marked) * 3 // (2 * SEGMENTS))] + plain[:: max(1, len(plain) * 3 // SEGMENTS)]
+            if part[0].any():
+                marked.append(part)
+            else:  # segments without features are all alike; every step-th is enough
+                seen += 1
+                if seen % step == 0:
+                    plain.append((part[0].copy(), part[1].copy()))
+    chosen = marked[:: max(1, len(marked) * 3 // (2 * SEGMENTS))] + plain
+    del rows
     if not marked:
         return Model({}, -5.0, [[0.0, 0.0], [0.0, 0.0]], base)
     weights, bias, pairs = _fit_field(np.stack([c[0] for c in chosen]), np.stack([c[1] for c in chosen]), len(number))
