@@ -71,7 +71,7 @@ def signature(shingles: np.ndarray, log2: int = BINS_LOG2) -> np.ndarray:
     left, j = np.flatnonzero(~full), 0
     while len(left):
         j += 1
-        source = (_mixed((left.astype(U64) + U64(1)) * ODD[0] + U64(j) * ODD[1]) >> U64(64 - log2)).astype(np.int64)
+        source = (_mixed((left.astype(U64) + U64(1)) * ODD[0] + U64(j * int(ODD[1]) % (1 << 64))) >> U64(64 - log2)).astype(np.int64)
         hit = full[source]
         out[left[hit]] = out[source[hit]]
         left = left[~hit]
