@@ -134,7 +134,7 @@ def pair_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
         for block, mine in found.items():
             yield _sent([(block, *_block(*_merged(np.concatenate([x[0] for x in mine]), np.concatenate([x[1] for x in mine]))))])
 
-    return stored(docs.select("text", "target").mapInArrow(count, _COUNTS).repartition(blocks, "block").mapInArrow(merge, _COUNTS), "lm-pairs")
+    return stored(docs.select("text", "target").mapInArrow(count, _COUNTS).repartitionById(blocks, F.col("block")).mapInArrow(merge, _COUNTS), "lm-pairs")
 
 
 @dataclass
