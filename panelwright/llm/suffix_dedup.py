@@ -33,8 +33,8 @@ from .tokens import text_rows
 SPAN, GRAM = 50, 20
 #: An anchor in so many documents is sent window by window; most of such anchors that a task names.
 HOT, HOT_PER_BUCKET = 20_000, 256
-#: Anchors a task holds before it sends them, and splitter samples it gives.
-FLUSH, SAMPLES = 2_000_000, 256
+#: Anchors a task holds before it sends them, surroundings before it sends them, those compared at once, and splitter samples of a task.
+FLUSH, HELD, COMPARED, SAMPLES = 1_000_000, 200_000, 20_000, 256
 U64, HASH_BITS = np.uint64, 48
 M1, M2, M3, M4 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _ROWS = "kind int, bucket int, body binary"
@@ -321,7 +321,7 @@ def _send_suffixes(marked: DataFrame, span: int, splitters: np.ndarray, hot: np.
                 lo, hi = mine.argmax(1), before - mine[:, ::-1].argmax(1)
                 held.append((_surroundings(data, at, span), np.column_stack([lo, hi]).astype(np.uint8), np.full(len(at), docs.add(doc_id, th), np.int64), at, np.isin(short, hot)))
                 n += len(at)
-                if n > FLUSH // 4:
+                if n > HELD:
                     yield flush()
         if n:
             yield flush()
@@ -379,11 +379,15 @@ def _earlier_windows(span: int, owners: int):
                 differs = np.zeros(len(order) - 1, bool)
                 for k in keys:
                     differs |= k[order][1:] != k[order][:-1]
-                group = np.cumsum(np.append(0, differs))
-                size = np.bincount(group)
-                order = order[size[group] > 1]  # a suffix alone has nothing to share
-                around, span_of, number, at, doc = around[order], span_of[order], number[order], at[order], doc[order]
-                masks = _compare(around, span_of, doc, span) if len(order) else np.empty(0, np.uint32)
+                begin = np.append(0, np.flatnonzero(differs) + 1)
+                size = np.diff(np.append(begin, len(order)))
+                masks = np.zeros(len(order), np.uint32)
+                # whole groups at a time, about COMPARED rows; a suffix alone has nothing to share
+                turn = (np.cumsum(size) - 1) // COMPARED
+                for t in np.unique(turn).tolist():
+                    some = order[np.repeat((turn == t) & (size > 1), size)]
+                    if len(some):
+                        masks[some] = _compare(around[some], span_of[some], doc[some], span)
             m = masks > 0
             if m.any():
                 out.add(number[m], ids, texts, np.column_stack([at[m], masks[m]]).view(U64)[:, 0])
@@ -439,12 +443,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sent = stored(_send_anchors(base, span, buckets), "span-anchors")
     samples = np.sort(np.frombuffer(b"".join(bytes(r["body"]) for r in sent.where(f"kind = {SAMPLE}").limit(2000).collect()), np.int64))
     splitters = np.unique(samples[np.linspace(0, len(samples) - 1, buckets + 1).astype(int)[1:-1]]) if len(samples) else samples
-    shared = stored(sent.where(f"kind <> {SAMPLE}").repartition(buckets, "bucket").mapInArrow(lambda batches: _shared_anchors(batches, hot_docs, buckets), _ROWS), "span-shared")
+    shared = stored(sent.where(f"kind <> {SAMPLE}").repartitionById(buckets, F.col("bucket")).mapInArrow(lambda batches: _shared_anchors(batches, hot_docs, buckets), _ROWS), "span-shared")
     hot = np.frombuffer(b"".join(bytes(r["body"]) for r in shared.where(f"kind = {ANCHORS}").collect()), U64)  # at most HOT_PER_BUCKET a bucket
-    per_document = lambda rows: rows.repartition(buckets, "bucket").mapInArrow(_gathered, "doc_id long, th long, body binary")
+    per_document = lambda rows: rows.repartitionById(buckets, F.col("bucket")).mapInArrow(_gathered, "doc_id long, th long, body binary")
     lists = per_document(shared.where(f"kind = {DONE}")).withColumnRenamed("body", "shared")
     marked = base.join(lists.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "shared")
-    found = _send_suffixes(marked, span, splitters, hot, buckets).repartition(buckets, "kind", "bucket").mapInArrow(_earlier_windows(span, buckets), _ROWS)
+    found = _send_suffixes(marked, span, splitters, hot, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(_earlier_windows(span, buckets), _ROWS)
     windows = per_document(stored(found, "span-found")).withColumnRenamed("body", "windows")
     copy = maybe_broadcast(copies.select(F.col("doc_id").alias("copy_id"), F.col("th").alias("copy_th")), 32)
     whole = rows.join(windows.hint("merge"), ["doc_id", "th"], "left").join(copy, (F.col("doc_id") == F.col("copy_id")) & (F.col("th") == F.col("copy_th")), "left").select("doc_id", "text", "windows", F.col("copy_id").isNotNull().alias("copy"))
