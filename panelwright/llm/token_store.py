@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, read_table, shared_path, small_batches, stored
-from .tokens import PreTokens, split_text, text_rows, tokenizer, vocabulary_path
+from .tokens import CACHE, pretokens, split_text, text_rows, tokenizer, vocabulary_path
 
 END_ID = 1
 #: Least and most ids of a chunk but a document's last, and bits that the rolling hash must have zero: 512 ids on average.
 LEAST, MOST, BITS = 128, 2048, 9
+#: Cache size where workers do nothing else, as in the query.
+ALONE = 1_200_000
 #: A chunk that a task has not sent before, with a number that no other chunk row has.
 NEW = pa.list_(pa.struct([("cid", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))
 
@@ -78,7 +81,7 @@ def _width(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int, cache_size: int = CACHE) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of the batches and the chunks of each of their documents."""
     width = _width(path)
     size, end = int(width[2]), np.array([end_id], width).tobytes()
@@ -87,11 +90,10 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
         data, stops = ids.astype(width).tobytes(), (stops * size).tolist()
         return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
-    known = PreTokens(path, packed)
+    known = pretokens(path, width, packed, size=cache_size)
     gear = _gear(max(tokenizer(path).get_vocab_size(), end_id + 1))
     for part, texts in text_rows(batches):
         docs = [b"".join(values) + end for values in known.values_of([split_text(t) for t in texts])]
-        known.forget_long() if max(map(len, texts), default=0) > 1 << 16 else None
         ends = np.cumsum([len(d) // size for d in docs])
         data = b"".join(docs)
         begin, found = 0, []
@@ -104,7 +106,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Itera
         yield part, found
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, cache_size: int = CACHE) -> None:
     """Encodes every row of docs into a new store at path.
 
     Null texts are empty: their only id is the end id. Rows that share an id stand in the order of their ids' digests; equal
@@ -119,7 +121,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()  # bounded; whatever this or another task sends again is dropped below
         at = TaskContext.get().partitionId() << 40
-        for part, found in _chunked(batches, tokenizer_path, end_id):
+        for part, found in _chunked(batches, tokenizer_path, end_id, cache_size):
             digests, lens, new = [], [], []
             for pieces in found:
                 digests.append([hashlib.sha256(p).digest() for p in pieces])
@@ -230,14 +232,28 @@ def _powers(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def combined_crc32(crcs: list[list[int]], n_bytes: list[list[int]]) -> np.ndarray:
-    """CRC-32 of each list's parts joined, from the parts' own CRCs and lengths."""
-    distinct = np.unique(np.array([n for x in n_bytes for n in x], np.int64))
-    power = dict(zip(distinct.tolist(), _powers(distinct).tolist(), strict=True))
-    out = np.array([x[0] if x else 0 for x in crcs], np.uint32)
-    for j in range(1, max(map(len, crcs), default=0)):
-        live = np.array([i for i, x in enumerate(crcs) if len(x) > j])
-        out[live] = _times(out[live], np.array([power[n_bytes[i][j]] for i in live], np.uint32)) ^ np.array([crcs[i][j] for i in live], np.uint32)
+@cache
+def _shifts() -> np.ndarray:
+    """x to the power 8 * 4 * n for chunks of n ids."""
+    return _powers(4 * np.arange(MOST + 1))
+
+
+def combined_crc32(crcs: np.ndarray, lens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """CRC-32 of each document's chunks joined, from the chunks' CRCs and numbers of ids; offsets say where documents begin, and the end.
+
+    Neighbours are joined in pairs until a document has one part left, all documents at once.
+    """
+    crc, shift, size = crcs.astype(np.uint32), _shifts()[lens], np.diff(offsets)
+    while size.max(initial=0) > 1:
+        doc = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(crc)) - np.repeat(np.cumsum(size) - size, size)
+        left = np.flatnonzero((place % 2 == 0) & (place + 1 < size[doc]))
+        crc[left] = _times(crc[left], shift[left + 1]) ^ crc[left + 1]
+        shift[left] = _times(shift[left], shift[left + 1])
+        stay = place % 2 == 0
+        crc, shift, size = crc[stay], shift[stay], (size + 1) // 2
+    out = np.zeros(len(size), np.uint32)
+    out[size == 1] = crc
     return out
 
 
@@ -261,20 +277,24 @@ def read_store(spark: SparkSession, path: str, width: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(p) // size for p in payloads], pa.int32()), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
 
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload").mapInArrow(sums, "digest binary, n int, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes").select("part", "pos", "doc_id", "start", "n_tokens", "digests")
+    recipes = spark.read.parquet(f"{path}/recipes").select("part", "pos", "doc_id", "start", "n_tokens", "digests", "lens")
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    named = recipes.select("part", "pos", F.posexplode("digests").alias("seq", "digest"))
-    lists = named.join(chunks, "digest", "left").groupBy("part", "pos").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc"))).alias("chunks"))
-    whole = recipes.drop("digests").join(lists, ["part", "pos"])
+    named = recipes.select("part", "pos", F.posexplode(F.arrays_zip("digests", "lens")).alias("seq", "c")).select("part", "pos", "seq", F.col("c.digests").alias("digest"), F.col("c.lens").alias("planned"))
+    lists = named.join(chunks, "digest", "left").groupBy("part", "pos").agg(F.array_sort(F.collect_list(F.struct("seq", "planned", "n", "crc"))).alias("chunks"))
+    whole = recipes.drop("digests", "lens").join(lists, ["part", "pos"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("chunks").to_pylist()
-            n = [[c["n"] for c in x] for x in lists]
-            if any(None in x for x in n) or [sum(x) for x in n] != b.column("n_tokens").to_pylist():
+            lists = b.column("chunks")
+            parts = lists.flatten()
+            offsets = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            lens, crcs = parts.field("n"), parts.field("crc")
+            ok = not lens.null_count and lens.to_pylist() == parts.field("planned").to_pylist()
+            n = np.diff(np.append(0, np.cumsum(lens.to_numpy(zero_copy_only=False)))[offsets]) if ok else None
+            if not ok or n.tolist() != b.column("n_tokens").to_pylist():
                 raise ValueError("a recipe names a chunk that is missing or of another length")
-            crc = combined_crc32([[c["crc"] for c in x] for x in lists], [[4 * m for m in x] for x in n])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(map(sum, n), pa.int64()), pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            crc = combined_crc32(crcs.to_numpy(zero_copy_only=False), lens.to_numpy(zero_copy_only=False), offsets)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(n.astype(np.int64)), pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return whole.select("doc_id", "start", "n_tokens", "chunks").mapInArrow(documents, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
@@ -293,12 +313,13 @@ def read_ids(spark: SparkSession, path: str, width: str, doc_ids: DataFrame) ->
     return lists.mapInArrow(joined, f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def token_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Writes docs to a new store in the shared folder and returns what read_store() finds there."""
+def token_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, cache_size: int = CACHE) -> DataFrame:
+    """Writes docs to a new store in the shared folder and returns what read_store() finds there. cache_size: pre-tokens a worker remembers
+    in each of two generations, some 170 bytes each; it decides the speed only."""
     path = shared_path(docs.sparkSession, "token-store")
-    write_store(docs, path, tokenizer_path, id_col, text_col, end_id)
+    write_store(docs, path, tokenizer_path, id_col, text_col, end_id, cache_size)
     return read_store(docs.sparkSession, path, _width(tokenizer_path))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store(read_table(spark, sf_dir, "documents"), vocabulary_path())
+    return token_store(read_table(spark, sf_dir, "documents"), vocabulary_path(), cache_size=ALONE)

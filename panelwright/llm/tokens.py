@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import read_table, small_batches
 
 FREQUENT, FREQUENT_PER_TASK = 1 << 16, 1 << 13
-#: Entries of a worker's cache; longer pre-tokens than LONG bytes are not kept.
-CACHE, LONG = 1_500_000, 64
+#: Entries of a generation of a worker's cache; longer pre-tokens than LONG bytes are not kept.
+CACHE, LONG = 250_000, 64
 #: Rows that a worker handles at once.
 ROWS = 256
 
@@ -56,8 +56,11 @@ def text_rows(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int
             yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
 
 
-#: A run of Latin letters is one pre-token whatever stands around it, and so is one of these marks after it.
-WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)").fullmatch
+#: ASCII marks, a run of Latin letters, ASCII marks. Each of the three runs is a pre-token whatever stands around the whole; an
+#: apostrophe before letters may join them, so it does not count as a mark there.
+WORD = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
+#: How special strings begin, which the library takes as they are.
+SPECIAL = b"<|"
 #: Words in one string for the library, and words in one call.
 JOINED, BATCH = 128, 1 << 16
 
@@ -68,19 +71,20 @@ def piece_lengths(ids: np.ndarray, stops: np.ndarray) -> list[int]:
 
 def split_text(text: bytes) -> list[bytes]:
     """A text's pre-tokens. The tokenizer lower-cases; doing so for A-Z beforehand makes fewer of them, but could make special strings."""
-    return (text if b"<|" in text else text.lower()).split()
+    return (text if SPECIAL in text else text.lower()).split()
 
 
 class PreTokens(dict):
-    """What `of` makes of the token ids of a pre-token: a fixed tier and a bounded one that starts afresh when it is full.
+    """What `of` makes of the token ids of a pre-token: a fixed tier and a bounded one of two generations.
 
     of(ids, stops) gives the values of the pieces of the array ids that end at stops; values add up as their ids are joined.
     Words of letters are encoded many at a time, by word_tokenizer().
     """
 
-    def __init__(self, path: str, of, fixed: dict | None = None):
+    def __init__(self, path: str, of, fixed: dict | None = None, size: int = CACHE):
         super().__init__(fixed or {})
-        self.library, self.of, self.fixed, self.marks = tokenizer(path), of, fixed or {}, {}
+        self.size = size
+        self.library, self.of, self.fixed, self.marks, self.old = tokenizer(path), of, fixed or {}, {}, {}
         self.fast, self.ends = word_tokenizer(path)
 
     def values_of(self, split_texts: list[list[bytes]]) -> list[list]:
@@ -88,13 +92,20 @@ class PreTokens(dict):
         found = [list(map(self.get, words)) for words in split_texts]
         holes = [(words, values, [i for i, v in enumerate(values) if v is None]) for words, values in zip(split_texts, found, strict=True) if None in values]
         new = list({words[i] for words, _, at in holes for i in at})
-        if len(self) + len(new) > len(self.fixed) + CACHE:
+        if len(self) + len(new) > len(self.fixed) + self.size:
+            self.old = dict(self)
             self.clear()
             self.update(self.fixed)
+        if self.old:  # words of the generation before come along as they are met
+            self.update((w, v) for w in new if (v := self.old.get(w)) is not None)
+            new = [w for w in new if w not in self]
         self._learn(new)
         for words, values, at in holes:
             for i in at:
                 values[i] = self[words[i]]
+        for w in new:
+            if len(w) > LONG:
+                del self[w]
         return found
 
     def _learn(self, new: list[bytes]) -> None:
@@ -105,16 +116,18 @@ class PreTokens(dict):
             for w in new:
                 if w.isalpha():
                     words.append(w)
-                elif m := WORD(w.decode()):
-                    marked.append((w, m[1].encode(), m[2]))
+                elif SPECIAL not in w and (m := WORD(w.decode())):
+                    marked.append((w, m[1], m[2].encode(), m[3]))
                 else:
                     rest.append(w)
-            words += {core for _, core, _ in marked if core not in self}.difference(words)
+            words += {core for _, _, core, _ in marked if core not in self}.difference(words)
         for i in range(0, len(words), BATCH):
             self._words(words[i : i + BATCH])
-        for w, core, mark in marked:
-            if mark:
-                self[w] = self[core] + self._mark(mark)
+        for w, before, core, after in marked:
+            value = self[core]
+            if before:
+                value = self._mark(before) + value
+            self[w] = value + self._mark(after) if after else value
         self.update(zip(rest, self._each([w.decode() for w in rest]), strict=True))
 
     def _each(self, words: list[str]):
@@ -123,6 +136,8 @@ class PreTokens(dict):
 
     def _mark(self, mark: str):
         if mark not in self.marks:
+            if len(self.marks) > 1 << 16:
+                self.marks.clear()
             self.marks[mark] = self._each([mark])[0]
         return self.marks[mark]
 
@@ -133,9 +148,20 @@ class PreTokens(dict):
             stops = np.flatnonzero(self.ends[ids]) + 1
             self.update(zip(line, self.of(ids, stops) if len(stops) == len(line) else self._each([w.decode() for w in line]), strict=True))
 
-    def forget_long(self) -> None:
-        for x in [x for x in self if len(x) > LONG and x not in self.fixed]:
-            del self[x]
+
+#: Of this worker, by tokenizer and kind of value: tasks that follow one another in a worker go on with what it knows.
+_KNOWN: dict[tuple[str, str], PreTokens] = {}
+
+
+def pretokens(path: str, kind: str, of, fixed: dict | None = None, size: int = CACHE) -> PreTokens:
+    if (path, kind) not in _KNOWN:
+        _KNOWN[path, kind] = PreTokens(path, of)
+    known = _KNOWN[path, kind]
+    known.size = size
+    if fixed is not None and known.fixed.keys() != fixed.keys():
+        known.fixed = fixed
+        known.update(fixed)
+    return known
 
 
 @cache
@@ -150,6 +176,8 @@ def word_tokenizer(path: str) -> tuple:
     kinds = lambda part, name: [x["type"] for x in (spec.get(part) or {}).get(name, [])]
     if not suffix or kinds("normalizer", "normalizers") != ["NFC", "Replace", "Lowercase"] or kinds("pre_tokenizer", "pretokenizers") != ["Split", "ByteLevel"]:
         return None, None
+    if not all(t["content"].startswith(SPECIAL.decode()) for t in spec.get("added_tokens", [])):
+        return None, None
     from tokenizers import Tokenizer
 
     to_bytes = spec["pre_tokenizer"]["pretokenizers"][1]
@@ -190,10 +218,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     table = docs.sparkSession.sparkContext.broadcast((b" ".join(words), lengths))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = PreTokens(tokenizer_path, piece_lengths, dict(zip(table.value[0].split(), table.value[1], strict=True)))
+        known = pretokens(tokenizer_path, "lengths", piece_lengths, dict(zip(table.value[0].split(), table.value[1], strict=True)))
         for part, texts in text_rows(batches):
             n = list(map(sum, known.values_of([split_text(t) for t in texts])))
-            known.forget_long() if max(map(len, texts), default=0) > 1 << 16 else None
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -6,7 +6,7 @@ import pytest
 from panelwright.llm import token_store
 from panelwright.llm.tokens import token_counts, tokenizer, vocabulary_path
 
-TEXTS = ["Hello, World's  end\tit's", None, "", " \n", "a\x1cb\x1d c\x85d e f", "<|endoftext|>x <|startoftext|> y<|END", "ΑΣ ΑΣ' Straße É é ́x", "tea" * 5000, "word " * 4000 + "last", "日本語 テキスト 123 4½ ²", "İ ı ſ K", "hello, world's", "word " * 3000]
+TEXTS = ["Hello, World's  end\tit's", None, "", " \n", "a\x1cb\x1d c\x85d e f", "<|endoftext|>x <|startoftext|> y<|END", "ΑΣ ΑΣ' Straße É é ́x", "tea" * 5000, "word " * 4000 + "last", "日本語 テキスト 123 4½ ²", "İ ı ſ K", "hello, world's", "word " * 3000, "'super ('tis \"quoted\", 's' don't' (it's) ##x## <|startoftext|> <|x <|startoftext|>. -a- ÿ- $ª", "word, ###word ### " * 40]
 
 
 @pytest.fixture
@@ -75,3 +75,13 @@ def test_cuts_follow_content():
         for x in leaves[:n]:
             tree.add(x)
         assert tree.root() == token_store.merkle(leaves[:n])
+
+
+def test_combined_crcs():
+    r = np.random.default_rng(2)
+    sizes = [1, 2, 3, 7, 1, 120, 0, 64]
+    lens = r.integers(1, token_store.MOST + 1, sum(sizes))
+    parts = [r.integers(0, 49000, n).astype("<u4").tobytes() for n in lens]
+    offsets = np.append(0, np.cumsum(sizes))
+    got = token_store.combined_crc32(np.array([zlib.crc32(p) for p in parts]), lens, offsets)
+    assert got.tolist() == [zlib.crc32(b"".join(parts[a:b])) for a, b in zip(offsets, offsets[1:])]
