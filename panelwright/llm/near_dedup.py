@@ -4,8 +4,9 @@ One hash of each word shingle serves for all of a signature: its high bits name
 Empty bins borrow from bins that a fixed sequence of random bins names (optimal densification), so sets that share 80 %
 of their shingles agree in about 80 % of the bins, whatever their size. Bands of bins are hashed to buckets. In each
 bucket all members are compared with one centre, so a bucket of n gives n - 1 pairs; pairs are confirmed on
-the whole shingle sets. Buckets whose members are not yet all connected are gone through again with other centres,
-until rounds in a row find nothing new. Documents with equal sets are one node from the start.
+the whole shingle sets. Buckets whose members are not yet all connected are gone through again with other centres while
+that finds many links. What is still apart then is settled exactly: members of such buckets are joined on the rarest of their shingles, of
+which two sets this alike must share one. Documents with equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, read_table, small_batches, stored
@@ -24,8 +25,8 @@ from .graph import components
 from .tokens import text_rows
 
 BINS_LOG2, ROWS = 7, 4
-#: Rounds with other centres that must find no new link before the search ends.
-QUIET = 2
+#: Other centres are tried as long as one pair in so many is a link; the exact join takes what is left.
+FRUITFUL = 4
 U64 = np.uint64
 #: Multipliers of a shingle's words and of a band's bins.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
@@ -124,6 +125,36 @@ def _linked(edges: DataFrame, rows: DataFrame, size: int, percent: int) -> DataF
     return edges.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(confirm, "a long, b long")
 
 
+def _rarest_shared(left: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of left (node, component) in different components that may share `percent` of their joint shingles; no such pair is missed.
+
+    Sets of m and n shingles this alike have at least percent / 100 * max(m, n) in common. So, with all shingles in one order, they meet in
+    the first m - ceil(percent / 100 * m) + 1 and n - ceil(percent / 100 * n) + 1. The order is from rare to frequent: text that a whole family
+    shares comes last. Shingles of one set only have their place in the order but need no row.
+    """
+    texts = rows.join(maybe_broadcast(left, 24), rows["doc_id"] == left["node"], "left_semi").dropDuplicates(["doc_id"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Words()
+        for part, found in text_rows(batches):
+            for i, t in zip(part.column("doc_id").to_pylist(), found, strict=True):
+                s = shingle_set(t, hashes, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(np.full(len(s), len(s), np.int64)), pa.array(s.view(np.int64))], names=["node", "n", "shingle"])
+
+    all_of = stored(texts.mapInArrow(spread, "node long, n long, shingle long"), "near-shingles")
+    common = stored(all_of.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "near-common")
+    met = all_of.join(maybe_broadcast(common, 24), "shingle")
+    by = Window.partitionBy("node")
+    met = met.withColumn("at", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "shingle")))
+    first = met.where(F.expr(f"at <= n - (({percent} * n + 99) div 100) + 1"))
+    first = stored(first.join(maybe_broadcast(left, 24), "node").select("shingle", "node", "n", "at", "component"), "near-first")
+    x, y = (first.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "component")]) for side in "xy")
+    # in common are at most what comes before the shared shingle in both, the shingle, and what comes after it in both
+    most = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    near = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most))
+    return x.join(y, "shingle").where(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -147,24 +178,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = stored(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
     links = stored(_linked(tested, rows, size, percent), "near-links")
     labels = components(links)
-    turn = quiet = 0
-    while quiet < QUIET:
+    turn, fruitful = 0, True
+    while True:
         turn += 1
         here = members.select("key", "node").join(maybe_broadcast(labels, 24), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         here = stored(here, "near-here")
         mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("centre"), F.col("component").alias("of"))).alias("c")).where("lo < hi").select("key", "c.centre", "c.of")
-        pairs = here.join(mixed, "key").where("component <> of").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        apart = stored(here.join(mixed, "key"), "near-apart")
+        if not fruitful or apart.isEmpty():
+            break
+        pairs = apart.where("component <> of").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if new.isEmpty():
-            quiet += 1
-            continue
-        found = stored(_linked(new, rows, size, percent), "near-links")
         tested = tested.unionByName(new)
-        if found.isEmpty():
-            quiet += 1
-            continue
-        quiet, links = 0, links.unionByName(found)
-        labels = components(links)
+        found = stored(_linked(new, rows, size, percent), "near-links")
+        n = found.count()
+        fruitful = n > 0 and n * FRUITFUL >= new.count()
+        if n:
+            links = links.unionByName(found)
+            labels = components(links)
+    left = stored(apart.select("node", "component").distinct(), "near-left")
+    if not left.isEmpty():
+        rest = stored(_rarest_shared(left, rows, size, percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        labels = components(links.unionByName(stored(_linked(rest, rows, size, percent), "near-links")))
     out = named.join(maybe_broadcast(labels, 24), "node", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -48,6 +48,25 @@ def test_matches_brute_force(spark, seed, size):
     assert got == brute(rows, size)
 
 
+def test_pairs_in_a_family_just_below_the_bound(spark):
+    """2,000 documents share 300 of 350 shingles (similarity 0.75); 200 pairs among them share 12 to 15 more (0.804 to 0.818)."""
+    r = random.Random(5)
+    template = " ".join(f"t{i}" for i in range(303))
+    order = r.sample(range(2000), 2000)
+    pairs = [tuple(sorted(order[2 * i : 2 * i + 2])) for i in range(200)]
+    same = {i: (k, 12 + k % 4) for k, p in enumerate(pairs) for i in p}
+    rows = []
+    for i in range(2000):
+        k, n = same.get(i, (0, 0))
+        rows.append((i, " ".join([template, *(f"p{k}x{j}" for j in range(n)), *(f"u{i}x{j}" for j in range(50 - n))])))
+    for (_, s), (_, t) in ((rows[a], rows[b]) for a, b in pairs[:8]):
+        a, b = shingles(s, 4), shingles(t, 4)
+        assert 0.80 <= len(a & b) / len(a | b) <= 0.82
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), size=4).collect()}
+    want = {i: i for i in range(2000)} | {b: a for a, b in pairs}
+    assert got == want
+
+
 def test_odd_rows(spark):
     long = "x y z " * 30_000
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (None, "one two"), (None, "alone here"), (7, long), (8, long.upper()), (8, long.upper()), (9, "a b")]
