@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from .common import maybe_broadcast, stored
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """node, component for every node of a forest of edges (node, parent), at most one a node: the root that parents lead to, itself included.
+
+    Each round a node skips to its parent's parent, so a path of length n takes about log n rounds and a star one. Rows of a
+    round are the nodes that have a parent; a parent of very many is met by a join that can be split.
+    """
+    now = stored(parents.select("node", "parent"), "graph-parents")
+    while True:
+        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+        near = stored(now.join(maybe_broadcast(up, 24), "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")), "graph-parents")
+        now = near.select("node", "parent")
+        if near.where("moved").isEmpty():
+            every = now.unionByName(now.select(F.col("parent").alias("node"), "parent").distinct())
+            return stored(every.select("node", F.col("parent").alias("component")), "graph-labels")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that can be reached) for every node of edges (a, b); direction and repetition are of no matter.
 
