@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, read_table, shared_path, small_batches, stored
-from .tokens import CACHE, pretokens, split_text, text_rows, tokenizer, vocabulary_path
+from .tokens import pretokens, split_texts, text_parts, tokenizer, vocabulary_path
 
 END_ID = 1
 #: Least and most ids of a chunk but a document's last, and bits that the rolling hash must have zero: 512 ids on average.
 LEAST, MOST, BITS = 128, 2048, 9
-#: Cache size where workers do nothing else, as in the query.
-ALONE = 1_200_000
+#: Pre-tokens that a worker remembers in each of two generations, some 200 bytes each; it decides the speed only.
+KNOWN = 600_000
+#: Digests of sent chunks that a task remembers: some 25 MB.
+SENT = 200_000
 #: A chunk that a task has not sent before, with a number that no other chunk row has.
 NEW = pa.list_(pa.struct([("cid", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))
 
@@ -81,7 +83,7 @@ def _width(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int, cache_size: int = CACHE) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of the batches and the chunks of each of their documents."""
     width = _width(path)
     size, end = int(width[2]), np.array([end_id], width).tobytes()
@@ -90,14 +92,18 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int, cache_si
         data, stops = ids.astype(width).tobytes(), (stops * size).tolist()
         return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
-    known = pretokens(path, width, packed, size=cache_size)
+    known = pretokens(path, width, packed, size=KNOWN)
     gear = _gear(max(tokenizer(path).get_vocab_size(), end_id + 1))
-    for part, texts in text_rows(batches):
-        docs = [b"".join(values) + end for values in known.values_of([split_text(t) for t in texts])]
-        ends = np.cumsum([len(d) // size for d in docs])
-        data = b"".join(docs)
-        begin, found = 0, []
-        for cuts in cut_points(np.frombuffer(data, width), ends, gear):
+    for part, texts in text_parts(batches):
+        words, at, n = split_texts(texts)
+        values = [*known.values_of(words), end]
+        at = np.insert(at, np.cumsum(n), len(words))  # the end id is a word after each text's last
+        lens = np.array(list(map(len, values)), np.int64) // size
+        begins, each = np.cumsum(lens) - lens, lens[at]
+        upto = np.cumsum(each)
+        ids = np.frombuffer(b"".join(values), width)[np.arange(int(upto[-1])) + np.repeat(begins[at] - upto + each, each)]
+        data, begin, found = ids.tobytes(), 0, []
+        for cuts in cut_points(ids, upto[np.cumsum(n + 1) - 1], gear):
             pieces = []
             for c in cuts:
                 pieces.append(data[begin * size : c * size])
@@ -106,7 +112,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int, cache_si
         yield part, found
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, cache_size: int = CACHE) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encodes every row of docs into a new store at path.
 
     Null texts are empty: their only id is the end id. Rows that share an id stand in the order of their ids' digests; equal
@@ -121,7 +127,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()  # bounded; whatever this or another task sends again is dropped below
         at = TaskContext.get().partitionId() << 40
-        for part, found in _chunked(batches, tokenizer_path, end_id, cache_size):
+        for part, found in _chunked(batches, tokenizer_path, end_id):
             digests, lens, new = [], [], []
             for pieces in found:
                 digests.append([hashlib.sha256(p).digest() for p in pieces])
@@ -132,7 +138,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
                         sent.add(d)
                         new[-1].append({"cid": at, "digest": d, "n": len(p) // size, "payload": p})
                         at += 1
-            if len(sent) > 1_000_000:
+            if len(sent) > SENT:
                 sent.clear()
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(sum, lens), pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lens, pa.list_(pa.int32())), pa.array(map(merkle, digests), pa.binary()), pa.array(new, NEW)], names=["doc_id", "n_tokens", "digests", "lens", "root", "new"])
 
@@ -300,8 +306,10 @@ def read_store(spark: SparkSession, path: str, width: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, width: str, doc_ids: DataFrame) -> DataFrame:
-    """doc_id and ids (array of int) of the documents that doc_ids names, put together from their chunks."""
-    wanted = spark.read.parquet(f"{path}/recipes").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    """doc_id and ids (array of int) of the documents that doc_ids names, put together from their chunks. A null id names the documents
+    without one; an id that several rows have gives each of them."""
+    recipes, names = spark.read.parquet(f"{path}/recipes"), doc_ids.select(F.col("doc_id").alias("__id")).distinct()
+    wanted = recipes.join(names, recipes["doc_id"].eqNullSafe(names["__id"]), "left_semi")
     named = wanted.select("part", "pos", "doc_id", F.posexplode("digests").alias("seq", "digest")).join(spark.read.parquet(f"{path}/chunks"), "digest")
     lists = named.groupBy("part", "pos", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("chunks")).select("doc_id", F.col("chunks.payload").alias("payloads"))
 
@@ -313,13 +321,14 @@ def read_ids(spark: SparkSession, path: str, width: str, doc_ids: DataFrame) ->
     return lists.mapInArrow(joined, f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def token_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, cache_size: int = CACHE) -> DataFrame:
-    """Writes docs to a new store in the shared folder and returns what read_store() finds there. cache_size: pre-tokens a worker remembers
-    in each of two generations, some 170 bytes each; it decides the speed only."""
+def token_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """Writes docs to a new store in the shared folder and returns what read_store() finds there; nulls, repeats and empty tables as in
+    write_store()."""
     path = shared_path(docs.sparkSession, "token-store")
-    write_store(docs, path, tokenizer_path, id_col, text_col, end_id, cache_size)
+    write_store(docs, path, tokenizer_path, id_col, text_col, end_id)
     return read_store(docs.sparkSession, path, _width(tokenizer_path))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store(read_table(spark, sf_dir, "documents"), vocabulary_path(), cache_size=ALONE)
+    """token_store() of documents; nulls, repeats and empty tables as there."""
+    return token_store(read_table(spark, sf_dir, "documents"), vocabulary_path())

@@ -3,8 +3,8 @@
 The tokenizer (word BPE, which drops white space) never joins text across ASCII white space, so a text's tokens are
 those of its white-space runs (pre-tokens) in turn. The first tier is a table of the corpus's frequent pre-tokens and their lengths, of fixed size,
 broadcast once. What it lacks is encoded by the library and kept in a bounded cache of the Python worker. Pre-tokens
-are never shuffled: to find the frequent ones each task sends its FREQUENT_PER_TASK most frequent, no matter how
-many rows it read. The table decides how fast a pre-token is counted, never its count.
+are never shuffled: to find the frequent ones each task makes one row of its FREQUENT_PER_TASK most frequent, and such rows are merged,
+MERGED at a time, until few are left for the driver. The table decides how fast a pre-token is counted, never its count.
 """
 
 from __future__ import annotations
@@ -18,16 +18,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, small_batches
 
-FREQUENT, FREQUENT_PER_TASK = 1 << 16, 1 << 13
+FREQUENT, FREQUENT_PER_TASK, MERGED = 1 << 16, 1 << 13, 64
 #: Entries of a generation of a worker's cache; longer pre-tokens than LONG bytes are not kept.
 CACHE, LONG = 250_000, 64
-#: Rows that a worker handles at once.
-ROWS = 256
+#: Rows, and bytes of text, that a worker handles at once.
+ROWS, BYTES = 256, 4 << 20
 
 
 @cache
@@ -69,9 +70,29 @@ def piece_lengths(ids: np.ndarray, stops: np.ndarray) -> list[int]:
     return np.diff(stops, prepend=0).tolist()
 
 
-def split_text(text: bytes) -> list[bytes]:
-    """A text's pre-tokens. The tokenizer lower-cases; doing so for A-Z beforehand makes fewer of them, but could make special strings."""
-    return (text if SPECIAL in text else text.lower()).split()
+def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with their texts, empty for null: about `most` bytes of text, or one row."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(column), "")
+        turn = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        begin = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for a, b in zip(begin, begin[1:], strict=False):
+            yield batch.slice(a, b - a), texts.slice(a, b - a)
+
+
+def split_texts(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of the texts, the number among them of each pre-token in turn, and how many each text has.
+
+    The tokenizer lower-cases; doing so for A-Z beforehand makes fewer of them, but could make special strings.
+    """
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, SPECIAL.decode()), texts, pc.ascii_lower(texts)))
+    flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty string there
+    if not some.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[some], minlength=len(n))
+        flat = flat.filter(pa.array(some))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False), n
 
 
 class PreTokens(dict):
@@ -87,22 +108,21 @@ class PreTokens(dict):
         self.library, self.of, self.fixed, self.marks, self.old = tokenizer(path), of, fixed or {}, {}, {}
         self.fast, self.ends = word_tokenizer(path)
 
-    def values_of(self, split_texts: list[list[bytes]]) -> list[list]:
-        """The values of each text's pre-tokens; unknown ones are encoded together."""
-        found = [list(map(self.get, words)) for words in split_texts]
-        holes = [(words, values, [i for i, v in enumerate(values) if v is None]) for words, values in zip(split_texts, found, strict=True) if None in values]
-        new = list({words[i] for words, _, at in holes for i in at})
-        if len(self) + len(new) > len(self.fixed) + self.size:
-            self.old = dict(self)
+    def values_of(self, words: list[bytes]) -> list:
+        """The values of distinct pre-tokens; unknown ones are encoded together."""
+        found = list(map(self.get, words))
+        holes = [i for i, v in enumerate(found) if v is None]
+        if len(self) + len(holes) > len(self.fixed) + self.size:
+            self.old = {w: v for w, v in self.items() if w not in self.fixed} if self.fixed else dict(self)
             self.clear()
             self.update(self.fixed)
+        new = [words[i] for i in holes]
         if self.old:  # words of the generation before come along as they are met
             self.update((w, v) for w in new if (v := self.old.get(w)) is not None)
             new = [w for w in new if w not in self]
         self._learn(new)
-        for words, values, at in holes:
-            for i in at:
-                values[i] = self[words[i]]
+        for i in holes:
+            found[i] = self[words[i]]
         for w in new:
             if len(w) > LONG:
                 del self[w]
@@ -191,18 +211,40 @@ def word_tokenizer(path: str) -> tuple:
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", most: int = FREQUENT, per_task: int = FREQUENT_PER_TASK) -> list[bytes]:
     """The pre-tokens that the tasks' counts name most often, at most `most`. Every row is counted; a task keeps a bounded number of counters."""
 
+    def sent(seen: Counter, n: int) -> pa.RecordBatch:
+        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:n]
+        return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in top]], pa.list_(pa.binary())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["words", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        for _, texts in text_rows(batches):
-            for t in texts:
-                seen.update(split_text(t))
+        for _, texts in text_parts(batches):
+            words, at, _ = split_texts(texts)
+            for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True):
+                if len(w) <= LONG:
+                    seen[w] += n
             if len(seen) > 16 * per_task:
                 seen = Counter(dict(seen.most_common(4 * per_task)))
-        top = [(w, n) for w, n in seen.most_common(per_task) if len(w) <= LONG]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+        yield sent(seen, per_task)
+
+    def merged(rows) -> Counter:
+        seen: Counter[bytes] = Counter()
+        for words, counts in rows:
+            for w, n in zip(words, counts, strict=True):
+                seen[bytes(w)] += n
+            if len(seen) > 4 * most:
+                seen = Counter(dict(seen.most_common(2 * most)))
+        return seen
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield sent(merged(x for b in batches for x in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True)), most)
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r["word"]) for r in found.select("word").collect()]
+    kind = "words array<binary>, counts array<long>"
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, kind)
+    tasks = found.rdd.getNumPartitions()
+    while tasks > MERGED:
+        tasks = -(-tasks // MERGED)
+        found = found.repartition(tasks).mapInArrow(merge, kind)
+    return [w for w, _ in sorted(merged(found.collect()).items(), key=lambda x: (-x[1], x[0]))[:most]]  # at most MERGED rows
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, frequent: int = FREQUENT) -> DataFrame:
@@ -219,9 +261,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pretokens(tokenizer_path, "lengths", piece_lengths, dict(zip(table.value[0].split(), table.value[1], strict=True)))
-        for part, texts in text_rows(batches):
-            n = list(map(sum, known.values_of([split_text(t) for t in texts])))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        for part, texts in text_parts(batches):
+            words, at, n = split_texts(texts)
+            upto = np.append(0, np.cumsum(np.array(known.values_of(words), np.int64)[at]))
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(upto[ends] - upto[ends - n])], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
@@ -229,4 +273,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts() of documents; nulls, repeats and empty tables as there."""
     return token_counts(read_table(spark, sf_dir, "documents"), vocabulary_path())
