@@ -1,243 +1,272 @@
 """Cross-entropy difference of two matched word bigram models.
 
-The target model is counted from the target documents, the background model from all. Both have the same vocabulary (the
-`vocabulary` most frequent words of all documents, other words are one unknown word), the same order, the same absolute discount, and
-background counts are scaled to as many words as the target has, so that the discount weighs alike. A document's score is the mean
-over its words of the difference of the models' log probabilities: how much better the target model foresees it.
-
-Counts cover every word of every row. Tasks count pairs of word numbers in arrays and send them as compressed blocks by hash of the
-pair; blocks are merged where they meet. The models that scoring needs have a fixed size: numbers for each word of the
-vocabulary, and the `pairs` most frequent pairs. Rarer pairs are scored by the discounted mass of the first word and the second's
-share of all words, so every word of a document has a probability.
+The target model is counted from the target documents, the background model from all. Both have the same vocabulary (every word of any
+document), the same order and the same smoothing: a word's probability after another is (k c(a, b) + MU share(b)) / (k c(a) + MU), share(b) being
+(k c(b) + 1) / (k N + V). k is 1 for the target and, for the background, the target's words over all words, so that both models rest on as
+many words and the prior weighs alike. A document is scored by models that have not counted it: its own counts are taken
+off first. Its score is the mean over its words of the difference of the models' log probabilities: how much better the target model foresees it.
+
+Nothing is left out and no table of the corpus is held in one place, so what is counted grows with the input. Words and pairs are 64-bit keys, and each
+key has its place in one of many blocks:
+
+    1  Documents are dealt into groups. For each group and block, tasks send the distinct keys and their counts, packed and sorted.
+    2  Blocks add up what all groups sent and answer each group with the totals of its keys, in the order of the keys.
+    3  The texts of a group meet the answers of all blocks; the group finds its keys again, in order, and scores its documents.
+
+Sums of words and the size of the vocabulary, one row a block, are all that the driver sees.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import maybe_broadcast, read_table, small_batches, stored
-from .tokens import text_rows
-
-VOCABULARY, PAIRS, DISCOUNT = 1 << 14, 1 << 20, 0.5
-#: Entries at which a task sends or merges its counters.
-FLUSH = 1_000_000
-BLOCKS = 64
+from .tokens import split_runs, text_parts
+
+#: Words' worth of the share of all words in what follows a word.
+MU = 20.0
+#: Documents of a group, and bytes of text from which it is split.
+GROUP, GROUP_BYTES = 4096, 64 << 20
+#: Keys that a task holds before it sends them, and least number of blocks.
+FLUSH, BLOCKS = 6_000_000, 64
+U64 = np.uint64
 #: ASCII marks and white space separate words; A-Z become a-z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
 
 
-def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+#: The key of a text's beginning; as those of pairs it is odd, while keys of words are even.
+START = U64(0x5851F42D4C957F2D)
 
-    def send() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
 
-    for _, texts in text_rows(batches):
-        for t in texts:
-            seen.update(words_of(t))
-        if len(seen) > FLUSH:
-            yield send()
-    yield send()
-
-
-def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The `size` most frequent words of docs (text); of equally frequent ones the first by code point."""
-    counts = docs.select("text").mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
-def _pairs(texts: list[bytes], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """first * width + second of all pairs of the texts, the texts' lengths and the seconds. A text's first word follows the start."""
-    unknown, width = len(numbers), len(numbers) + 2
-    split = [words_of(t) for t in texts]
-    n = np.array([len(w) for w in split], np.int64)
-    total = int(n.sum())
-    get = numbers.get
-    ids = np.fromiter((x for w in split for x in map(get, w, [unknown] * len(w))), np.int64, total)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    begins = np.cumsum(n)[n > 0] - n[n > 0]
-    before[begins] = width - 1
-    return before * width + ids, n, ids
-
-
-def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts (two columns)."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first, axis=0) if len(first) else counts[:0]
+def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the distinct words of the texts, the number among them of each word in turn, the key of each word with the one before it, and how many
+    words each text has. A text's first word follows START."""
+    folded = pa.array([t.translate(FOLD) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
+    words, at, n = split_runs(folded)
+    key = _mixed(pd.util.hash_array(np.array([*words, b""], object), categorize=False)[:-1]) & ~U64(1)
+    mine = key[at]
+    before = np.empty_like(mine)
+    before[1:] = mine[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = START
+    return key, at, _mixed(before * U64(0x9E3779B97F4A7C15) + mine * U64(0xC2B2AE3D27D4EB4F)) | U64(1), n
+
 
+def _counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, how many there are with target, and how many in all."""
+    out, total = np.unique(keys, return_counts=True)
+    some, n = np.unique(keys[target], return_counts=True)
+    mine = np.zeros(len(out), np.int64)
+    mine[np.searchsorted(out, some)] = n
+    return out, mine, total
 
-def _block(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return zlib.compress(np.diff(keys, prepend=0).tobytes(), 1), zlib.compress(counts.tobytes(), 1)
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
-def _opened(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(np.frombuffer(zlib.decompress(keys), np.int64)), np.frombuffer(zlib.decompress(counts), np.int64).reshape(-1, 2)
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint32 if a.max(initial=0) < 1 << 32 else np.uint64)
 
-_COUNTS = "block int, keys binary, counts binary"
 
+def _message(group: list[int], block: list[int], width: list[int], body: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(block, pa.int32()), pa.array(width, pa.int32()), pa.array(body, pa.binary())], names=["part", "block", "width", "body"])
 
-def _sent(parts: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], names=["block", "keys", "counts"])
 
+def _spread_keys(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys by place of the byte, so that like bytes stand together."""
+    return np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.copy()
 
-def pair_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
-    """Counts of pairs in docs (text, target), in target documents and in all, as compressed blocks; a pair is in one block only."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    blocks = max(BLOCKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {w: i for i, w in enumerate(shared.value)}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def _keys_back(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(U64)[:, 0], dtype=U64)
 
-        def send() -> pa.RecordBatch:
-            keys, counts = _merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+
+def _requests(marked: DataFrame, bits: int) -> DataFrame:
+    """part, block, width, body: keys and counts (8 bytes of each key, width of each count) that the documents of a group have in a block."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        n_held = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal n_held
+            for part, found in held.items():
+                keys, mine, total = _added(*(np.concatenate([x[i] for x in found]) for i in range(3)))
+                edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits))
+                ends = [0, *edges.tolist(), len(keys)]
+                rows = []
+                for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+                    if j > i:
+                        t, a = _narrow(mine[i:j]), _narrow(total[i:j])
+                        wide = max(t.itemsize, a.itemsize)
+                        rows.append((b, wide, _packed(_spread_keys(keys[i:j]), t.astype(f"u{wide}"), a.astype(f"u{wide}"))))
+                yield _message([part] * len(rows), *([r[i] for r in rows] for i in range(3)))
             held.clear()
-            at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
-            return _sent([(b, *_block(keys[m], counts[m])) for b in range(blocks) if (m := at == b).any()])
-
-        for part, texts in text_rows(batches):
-            keys, n, _ = _pairs(texts, numbers)
-            mine = np.repeat(np.array(part.column("target").to_pylist(), bool), n)
-            keys, back, total = np.unique(keys, return_inverse=True, return_counts=True)
-            held.append((keys, np.column_stack([np.bincount(back, weights=mine, minlength=len(keys)).astype(np.int64), total])))
-            if sum(len(k) for k, _ in held) > 4 * FLUSH:
-                yield send()
-        if held:
-            yield send()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for b in batches:
-            for block, k, c in zip(*(b.column(x).to_pylist() for x in ("block", "keys", "counts")), strict=True):
-                mine = found.setdefault(block, [])
-                mine.append(_opened(k, c))
-                if len(mine) > 1 and sum(len(x[0]) for x in mine[1:]) > max(FLUSH, len(mine[0][0])):
-                    found[block] = [_merged(np.concatenate([x[0] for x in mine]), np.concatenate([x[1] for x in mine]))]
-        for block, mine in found.items():
-            yield _sent([(block, *_block(*_merged(np.concatenate([x[0] for x in mine]), np.concatenate([x[1] for x in mine]))))])
-
-    return stored(docs.select("text", "target").mapInArrow(count, _COUNTS).repartitionById(blocks, F.col("block")).mapInArrow(merge, _COUNTS), "lm-pairs")
-
-
-@dataclass
-class Models:
-    """Log probabilities of both models (columns target, background): of the kept pairs by key; else after[first] + word[second]."""
-
-    vocabulary: list[bytes]
-    keys: np.ndarray
-    known: np.ndarray
-    after: np.ndarray
-    word: np.ndarray
-
-
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS, discount: float = DISCOUNT) -> Models:
-    """Both models of docs (text, target). A model without words gives every word of the vocabulary the same share."""
-    words = vocabulary_of(docs, vocabulary)
-    blocks = pair_counts(docs, words)
-    width = len(words) + 2
-    step = 8  # of the frequency classes in an octave
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, classes = np.zeros((width, 2), np.int64), np.zeros((width, 2), np.int64), np.zeros(64 * step, np.int64)
-        for b in batches:
-            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                keys, counts = _opened(k, c)
-                for j in (0, 1):
-                    first[:, j] += np.bincount(keys // width, weights=counts[:, j], minlength=width).astype(np.int64)
-                    second[:, j] += np.bincount(keys % width, weights=counts[:, j], minlength=width).astype(np.int64)
-                classes += np.bincount((np.log2(counts[:, 1]) * step).astype(np.int64), minlength=len(classes))
-        rows = [(kind, i, int(a), int(b)) for kind, x in ((0, first), (1, second)) for i, (a, b) in enumerate(x.tolist()) if b] + [(2, i, int(n), 0) for i, n in enumerate(classes.tolist()) if n]
-        yield pa.RecordBatch.from_pylist([dict(zip(("kind", "i", "a", "b"), r, strict=True)) for r in rows], pa.schema([("kind", pa.int32()), ("i", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
-
-    sums = blocks.mapInArrow(totals, "kind int, i long, a long, b long").groupBy("kind", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()  # at most 2 rows a word of the vocabulary
-    first, second, classes = np.zeros((width, 2)), np.zeros((width, 2)), np.zeros(64 * step, np.int64)
-    for r in sums:
-        if r["kind"] == 2:
-            classes[r["i"]] = r["a"]
-        else:
-            (first, second)[r["kind"]][r["i"]] = r["a"], r["b"]
-    # the least class from which on there are no more than `pairs` pairs
-    least = int(np.argmax(np.cumsum(classes[::-1])[::-1] <= pairs)) if classes.sum() > pairs else 0
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for block, k, c in zip(*(b.column(x).to_pylist() for x in ("block", "keys", "counts")), strict=True):
-                keys, counts = _opened(k, c)
-                m = (np.log2(counts[:, 1]) * step).astype(np.int64) >= least
-                parts.append((block, *_block(keys[m], counts[m])))
-            yield _sent(parts)
-
-    found = [_opened(bytes(r["keys"]), bytes(r["counts"])) for r in blocks.mapInArrow(kept, _COUNTS).collect()]
-    keys = np.concatenate([k for k, _ in found]) if found else np.empty(0, np.int64)
-    order = np.argsort(keys)
-    keys, counts = keys[order], (np.concatenate([c for _, c in found]) if found else np.empty((0, 2)))[order].astype(float)
-    scale = np.array([1.0, second[:, 0].sum() / max(second[:, 1].sum(), 1)])
-    counts, first, second = counts * scale, first * scale, second * scale
-    # words: one added to each, so that a word the target lacks has a share
-    share = (second + 1) / (second + 1).sum(0)
-    share[width - 1] = 1  # the start is never a second word
-    taken = np.maximum(counts - discount, 0)
-    before = keys // width
-    used = np.column_stack([np.bincount(before, weights=taken[:, j], minlength=width) for j in (0, 1)])
-    rest = np.where(first > 0, (first - used) / np.maximum(first, 1e-300), 1.0)
-    rest = np.clip(rest, 1e-9, 1.0)
-    pair = taken / np.maximum(first[before], 1e-300) * (first[before] > 0) + rest[before] * share[keys % width]
-    return Models(words, keys, np.log(pair), np.log(rest), np.log(share))
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_id: str = "doc_id", vocabulary: int = VOCABULARY, pairs: int = PAIRS, discount: float = DISCOUNT) -> DataFrame:
+            n_held = 0
+
+        for batch, texts in text_parts(batches):
+            parts, target = batch.column("part").to_numpy(), np.array(batch.column("target").to_pylist(), bool)
+            key, at, pairs, n = keys_of(texts)
+            some = n > 0
+            of = np.concatenate([np.repeat(parts, n)] * 2 + [parts[some]])
+            marks = np.concatenate([np.repeat(target, n)] * 2 + [target[some]])
+            keys = np.concatenate([key[at], pairs, np.full(int(some.sum()), START)])
+            for part in np.unique(of).tolist():
+                m = of == part
+                found = _counted(keys[m], marks[m]) if not m.all() else _counted(keys, marks)
+                held.setdefault(part, []).append(found)
+                n_held += len(found[0])
+            if n_held > FLUSH:
+                yield from send()
+        yield from send()
+
+    return marked.mapInArrow(ask, "part long, block int, width int, body binary")
+
+
+def _added(keys: np.ndarray, mine: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    if not len(first):
+        return keys, mine, total
+    return keys[first], np.add.reduceat(mine[order], first), np.add.reduceat(total[order], first)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of each group's keys, in order; and per block the words of the target, all words and the distinct ones."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for part, block, wide, body in zip(*(b.column(c).to_pylist() for c in ("part", "block", "width", "body")), strict=True):
+            held.setdefault(block, []).append((part, wide, body))
+    for block, rows in held.items():
+        asked: dict[int, list] = {}
+        for part, wide, body in rows:
+            data = zstandard.decompress(body)
+            n = len(data) // (8 + 2 * wide)
+            mine, total = np.frombuffer(data, f"u{wide}", 2 * n, 8 * n).reshape(2, n).astype(np.int64)
+            asked.setdefault(part, []).append((_keys_back(data[: 8 * n]), mine, total))
+        rows.clear()
+        keys, mine, total = _added(*(np.concatenate([x[i] for found in asked.values() for x in found]) for i in range(3)))
+        words = keys & U64(1) == 0
+        yield _answer(-1, block, 8, b"", int(mine[words].sum()), int(total[words].sum()), int(words.sum()))
+        for part, found in asked.items():
+            own = found[0][0] if len(found) == 1 else np.unique(np.concatenate([x[0] for x in found]))
+            at = np.searchsorted(keys, own)
+            t, a = _narrow(mine[at]), _narrow(total[at])
+            wide = max(t.itemsize, a.itemsize)
+            yield _answer(part, block, wide, _packed(t.astype(f"u{wide}"), a.astype(f"u{wide}")), 0, 0, 0)
+
+
+_ANSWER = "part long, block int, width int, body binary, target_words long, words long, distinct_words long"
+
+
+def _answer(part: int, block: int, wide: int, body: bytes, *sums: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*_message([part], [block], [wide], [body]).columns, *(pa.array([x], pa.int64()) for x in sums)], names=["part", "block", "width", "body", "target_words", "words", "distinct_words"])
+
+
+def _own(doc: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """How often each item's document has it."""
+    _, back, n = np.unique(doc * most + at, return_inverse=True, return_counts=True)
+    return n[back]
+
+
+def _losses(texts: pa.Array, target: np.ndarray, answers: pa.Table, sums: tuple[int, int, int], mu: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text and its mean losses (columns target, background)."""
+    key, at, pairs, n = keys_of(texts)
+    pair, pair_at = np.unique(pairs, return_inverse=True)
+    every = np.unique(np.concatenate([key, pair, [START] if len(at) else []]).astype(U64))
+    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("block", "width", "body")), strict=True))
+    counts = [np.frombuffer(zstandard.decompress(body), f"u{wide}").reshape(2, -1).astype(np.float64) for _, wide, body in rows]
+    counts = np.concatenate(counts, axis=1) if counts else np.empty((2, 0))
+    if counts.shape[1] != len(every):
+        raise ValueError(f"{len(every)} keys were asked for and {counts.shape[1]} answered: the documents changed between two reads")
+    if not len(at):
+        return n, np.zeros((len(n), 2))
+    doc = np.repeat(np.arange(len(n)), n)
+    of_pair, of_word = counts[:, np.searchsorted(every, pair)], counts[:, np.searchsorted(every, key)]
+    own_pair, own_word = _own(doc, pair_at, len(pair)), _own(doc, at, len(key))
+    first = (np.cumsum(n) - n)[n > 0]
+    context, own_context = np.empty((2, len(at))), np.empty(len(at))
+    context[:, 1:], own_context[1:] = of_word[:, at[:-1]], own_word[:-1]
+    context[:, first], own_context[first] = counts[:, [np.searchsorted(every, START)]], 1
+    target_words, words, vocabulary = sums
+    logs = np.empty((2, len(at)))
+    for j, (k, total, off) in enumerate(((1.0, target_words, target[doc].astype(float)), (target_words / max(words, 1), words, np.ones(len(at))))):
+        share = (k * (of_word[j, at] - off * own_word) + 1) / (k * (total - off * n[doc]) + vocabulary)
+        logs[j] = np.log((k * (of_pair[j, pair_at] - off * own_pair) + mu * share) / (k * (context[j] - off * own_context) + mu))
+    mean = -np.add.reduceat(logs, first, axis=1) / n[n > 0]
+    out = np.zeros((len(n), 2))
+    out[n > 0] = mean.T
+    return n, out
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, target) with part, the group. Groups are ranges of ids, or of their hashes where ids are no whole numbers or too far apart; those with
+    very much text are split by hashes of id and text. Sizes are counted first."""
+    by_hash = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n)))
+    of: Column | None = F.coalesce(F.floor(F.col("doc_id") / GROUP), F.lit(-1)) if isinstance(docs.schema["doc_id"].dataType, IntegralType) else None
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    count = lambda of: stored(docs.groupBy(of.cast("long").alias("part")).agg(F.sum(length).alias("bytes"), F.count("*").alias("docs")), "lm-groups")
+    sizes = count(of) if of is not None else None
+    total = sizes.agg(F.count("*"), F.sum("docs")).first() if sizes is not None else (0, docs.count())
+    if sizes is None or total[0] > 16 + 2 * (total[1] or 0) // GROUP:
+        of = by_hash((total[1] or 0) // GROUP)
+        sizes = count(of)
+    large = stored(sizes.where(F.col("bytes") > GROUP_BYTES).select(F.col("part").alias("large"), F.ceil(F.col("bytes") / GROUP_BYTES).cast("long").alias("pieces")), "lm-large")
+    out = docs.withColumn("part", of.cast("long"))
+    if large.isEmpty():
+        return out
+    out = out.join(maybe_broadcast(large, 24), F.col("part") == F.col("large"), "left")
+    piece = F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("pieces", F.lit(1)))
+    return out.withColumn("part", F.when(F.col("pieces").isNull(), F.col("part")).otherwise(F.xxhash64("part", piece))).drop("large", "pieces")
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_id: str = "doc_id", mu: float = MU) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score for every row of docs; targets names the target documents by id.
 
-    Losses are mean negative log probabilities of a word, score is background_loss - target_loss. Texts without words, null ones
-    too, have null losses and score. Without target documents the target model is
-    flat and so, scaled to no words, is the background: scores are 0. Repeated rows each count and each give a row; null ids are never targets.
+    Losses are mean negative log probabilities of a word under models that have not counted the row itself; score is background_loss -
+    target_loss. Texts without words, null ones too, have null losses and score. Without target documents both models are flat and scores
+    are 0. Repeated rows each count and each give a row; a copy is not the row itself. Null ids are never targets.
     An empty table gives an empty result. Only the named columns are read.
     """
     small_batches(docs)
     ids = targets.select(F.col(target_id).alias("__target")).where("__target is not null").distinct()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = rows.join(maybe_broadcast(ids, 24), F.col("doc_id") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("target"))
-    models = train(marked, vocabulary, pairs, discount)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        numbers, width = {w: i for i, w in enumerate(m.vocabulary)}, len(m.vocabulary) + 2
-        for part, texts in text_rows(batches):
-            keys, n, second = _pairs(texts, numbers)
-            logs = m.after[keys // width] + m.word[second]
-            if len(m.keys):
-                at = np.minimum(np.searchsorted(m.keys, keys), len(m.keys) - 1)
-                hit = m.keys[at] == keys
-                logs[hit] = m.known[at[hit]]
-            ends = np.cumsum(n)
-            loss = np.array([-logs[e - k : e].mean(0) if k else (np.nan, np.nan) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]).reshape(-1, 2)
-            none = n == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (loss[:, 0], loss[:, 1], loss[:, 1] - loss[:, 0])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, target_loss double, background_loss double, score double")
+    grouped = _grouped(rows)
+    marked = grouped.join(maybe_broadcast(ids, 24), F.col("doc_id") == F.col("__target"), "left").select("part", "doc_id", "text", F.col("__target").isNotNull().alias("target"))
+    blocks = max(BLOCKS, 2 * rows.rdd.getNumPartitions())
+    bits = min(16, (blocks - 1).bit_length())
+    answers = stored(_requests(marked, bits).repartitionById(1 << bits, F.col("block")).mapInArrow(_answers, _ANSWER), "lm-answers")
+    sums = tuple(int(x or 0) for x in answers.agg(F.sum("target_words"), F.sum("words"), F.sum("distinct_words")).first())
+
+    def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        target = np.array(texts.column("target").to_pylist(), bool)
+        text = pa.chunked_array(texts.column("text").chunks, pa.string()).fill_null("").combine_chunks()
+        n, loss = _losses(text, target, answered, sums, mu)
+        none = n == 0
+        columns = [pa.array(x, pa.float64(), mask=none) for x in (loss[:, 0], loss[:, 1], loss[:, 1] - loss[:, 0])]
+        return pa.Table.from_arrays([texts.column("doc_id"), pa.array(n.astype(np.int64)), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    replies = answers.where("part is not null and body <> X''").select(F.col("part"), "block", "width", "body")
+    return marked.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, target_loss double, background_loss double, score double")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that labels call of quality 1 are the target."""
+    """Documents that labels call of quality 1 are the target; nulls, repeats and empty tables as in cross_entropy_difference()."""
     return cross_entropy_difference(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").where("quality = 1"))

@@ -85,7 +85,12 @@ def split_texts(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
     The tokenizer lower-cases; doing so for A-Z beforehand makes fewer of them, but could make special strings.
     """
-    lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, SPECIAL.decode()), texts, pc.ascii_lower(texts)))
+    return split_runs(pc.if_else(pc.match_substring(texts, SPECIAL.decode()), texts, pc.ascii_lower(texts)))
+
+
+def split_runs(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct runs of the texts between ASCII white space, the number among them of each run in turn, and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts)
     flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty string there
     if not some.all():

@@ -12,66 +12,74 @@ def words(text):
     return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
 
 
-def brute(rows, targets, vocabulary, pairs, discount):
-    """The same models in plain dictionaries."""
+def brute(rows, targets, mu=L.MU):
+    """The same models in plain dictionaries: of each row (id, text), the losses under models of all other rows."""
     docs = [(i, words(t)) for i, t in rows]
-    every = Counter(w for _, d in docs for w in d)
-    vocab = {w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]}
-    docs = [(i, [w if w in vocab else None for w in d]) for i, d in docs]
-    count = [Counter(), Counter()]
+    vocabulary = len({w for _, d in docs for w in d})
+    pairs, single = [Counter(), Counter()], [Counter(), Counter()]
     for i, d in docs:
-        for p in zip(["<s>", *d], d):
-            count[1][p] += 1
-            count[0][p] += i in targets
-    level = lambda n: int(math.log2(n) * 8)
-    classes = Counter(level(n) for n in count[1].values())
-    least = 0
-    while sum(n for c, n in classes.items() if c >= least) > pairs:
-        least += 1
-    kept = {p for p, n in count[1].items() if level(n) >= least}
-    total = [sum(c.values()) for c in count]
-    models = []
-    for c, k in zip(count, (1.0, total[0] / max(total[1], 1))):
-        second, first = Counter(), Counter()
-        for (a, b), n in c.items():
-            second[b] += n * k
-            first[a] += n * k
-        space = [*vocab, None]
-        # the start of a text has a place in the array of words, with nothing but the one that is added
-        share = {w: (second[w] + 1) / (sum(second.values()) + len(space) + 1) for w in space}
-        def prob(a, b, c=c, k=k, first=first, share=share):
-            if not first[a]:
-                return share[b]
-            used = sum(max(c[p] * k - discount, 0) for p in kept if p[0] == a)
-            rest = min(1, max(1e-9, 1 - used / first[a]))
-            own = max(c[a, b] * k - discount, 0) / first[a] if (a, b) in kept else 0
-            return own + rest * share[b]
-        models.append(prob)
-    out = {}
+        for j in (0, 1) if i in targets else (1,):
+            pairs[j].update(zip([None, *d], d))
+            single[j].update([None, *d] if d else [])
+    total = [sum(n for w, n in c.items() if w is not None) for c in single]
+    out = []
     for i, d in docs:
-        losses = [-sum(math.log(m(*p)) for p in zip(["<s>", *d], d)) / len(d) if d else None for m in models]
-        out[i] = (len(d), *losses, losses[1] - losses[0] if d else None)
+        own, mine = Counter(zip([None, *d], d)), Counter([None, *d])
+        losses = []
+        for j, k in enumerate((1.0, total[0] / max(total[1], 1))):
+            off = j == 1 or i in targets
+            def prob(a, b, j=j, k=k, off=off):
+                share = (k * (single[j][b] - off * mine[b]) + 1) / (k * (total[j] - off * len(d)) + vocabulary)
+                return (k * (pairs[j][a, b] - off * own[a, b]) + mu * share) / (k * (single[j][a] - off * mine[a]) + mu)
+            losses.append(-sum(math.log(prob(*p)) for p in zip([None, *d], d)) / len(d) if d else None)
+        out.append((i, len(d), *losses, losses[1] - losses[0] if d else None))
     return out
 
 
-@pytest.mark.parametrize(("vocabulary", "pairs"), [(1000, 10**6), (12, 25)])
-def test_matches_brute_force(spark, vocabulary, pairs):
-    r = random.Random(vocabulary)
+def rows_of(n=60):
+    r = random.Random(n)
     good, other = ["the", "Cat", "sat", "on", "mats", "élan"], ["buy", "now", "the", "cheap", "on", "x1"]
-    rows = [(i, r.choice([" ", ", ", ".\n"]).join(r.choice(good if i % 3 else other) for _ in range(r.randrange(30)))) for i in range(60)] + [(100, None), (101, ""), (102, "?!"), (103, "the cat " * 4000)]
-    targets = {i for i in range(60) if i % 3 and i % 2} | {100, 999}
-    docs = spark.createDataFrame([(*x, "w", 1.0) for x in rows], "doc_id long, text string, word string, score double").repartition(3)
-    marks = spark.createDataFrame([(i,) for i in [*targets, *targets, None]], "doc_id long")
-    got = {x["doc_id"]: tuple(x)[1:] for x in L.cross_entropy_difference(docs, marks, vocabulary=vocabulary, pairs=pairs).collect()}
-    want = brute(rows, targets, vocabulary, pairs, L.DISCOUNT)
-    assert got.keys() == want.keys()
-    for i, w in want.items():
-        assert got[i] == pytest.approx(w, abs=1e-9), i
-    if vocabulary == 1000:
-        mean = lambda k: sum(got[i][3] for i in range(60) if bool(i % 3) == k and got[i][0]) / 20
+    rows = [(i, r.choice([" ", ", ", ".\n"]).join(r.choice(good if i % 3 else other) for _ in range(r.randrange(30)))) for i in range(n)]
+    return [*rows, (100, None), (101, ""), (102, "?!"), (103, "the cat " * 4000), (7, "the cat sat twice"), (7, "the cat sat twice"), (None, "no id sat")]
+
+
+def same(got, want):
+    got, want = sorted(got, key=str), sorted(want, key=str)
+    assert len(got) == len(want)
+    key = lambda x: (str(x[0]), x[1], x[2] is None, round(x[2] or 0, 6))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9), (a, b)
+
+
+@pytest.mark.parametrize(("group", "most", "flush", "kind"), [(4096, 1 << 26, 10**6, "long"), (8, 300, 50, "long"), (8, 300, 50, "string")])
+def test_matches_brute_force(spark, monkeypatch, group, most, flush, kind):
+    """In one group, in many that are split and sent piece by piece, and with ids that are no numbers."""
+    for name, value in (("GROUP", group), ("GROUP_BYTES", most), ("FLUSH", flush)):
+        monkeypatch.setattr(L, name, value)
+    rows = rows_of()
+    name = (lambda i: i if i is None or kind == "long" else f"n{i}")
+    rows = [(name(i), t) for i, t in rows]
+    targets = {name(i) for i in range(60) if i % 3 and i % 2} | {name(100), name(999)}
+    docs = spark.createDataFrame([(*x, "w", 1.0, 5) for x in rows], f"doc_id {kind}, text string, part string, score double, target int").repartition(3)
+    marks = spark.createDataFrame([(i,) for i in [*targets, *targets, None]], f"doc_id {kind}")
+    got = [tuple(x) for x in L.cross_entropy_difference(docs, marks).collect()]
+    same(got, brute(rows, targets))
+    if kind == "long":
+        mean = lambda k: sum(x[4] for x in got if x[0] is not None and x[0] < 60 and x[0] != 7 and bool(x[0] % 3) == k and x[1]) / 20
         assert mean(True) > 0 > mean(False)
 
 
+def test_no_pair_is_left_out(spark):
+    """200,000 distinct pairs, most of them in one document only: every one counts, however rare."""
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 50021}" for j in range(200))) for i in range(1000)] + [(5000 + i, " ".join(f"w{(i * 7919 + j * j) % 50021}" for j in range(200))) for i in range(0, 1000, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    targets = set(range(0, 1000, 3))
+    got = [tuple(x) for x in L.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()]
+    want = brute(rows, targets)
+    same(got, want)
+    assert len({p for _, t in rows for p in zip(t.split(), t.split()[1:])}) > 150_000
+
+
 def test_without_targets_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b a"), (None, "a b"), (1, "a b a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
