@@ -1,17 +1,19 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Documents have labels, tokens do not: words and word beginnings that mark toxic documents significantly make the token labels
-that the field is trained on. At scoring, words without features are all alike, so the chain between two words with features
+Documents have labels, tokens do not, so the field is trained by expectation maximisation: no word of a clean document is toxic, and of a toxic
+document at least one is. Words with features that mark toxic documents very significantly begin as its toxic ones; then the field's own marginals, given
+that there is a toxic word, are the token labels that it is fitted to again. At scoring, words without features are all alike, so the chain between two words with features
 is a power of one matrix and forward-backward visits only words with features, exactly. The expected number of toxic
 words and the chance of any, from the marginals, give the document's score.
 
-Training reads at most MAX_TOXIC and MAX_CLEAN labelled documents of up to MAX_CHARS characters; everything else is over all rows and
-whole texts.
+Training takes at most MAX_TOXIC and MAX_CLEAN labelled documents of up to MAX_CHARS characters and MAX_FEATURES features, all their words, short texts
+and the ends of long ones too, and runs in one task. Everything else is over all rows and whole texts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 from .common import read_table, small_batches
 from .tokens import text_rows
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 4500, 40_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 6000, 40_000
 #: Word beginnings that are features, by length, beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: Log-likelihood ratio statistic and share of toxic documents from which a feature marks toxic words; most features of a model.
-SIGNIFICANT, SHARE, MAX_FEATURES = 24.0, 0.9, 20_000
-SEGMENT, SEGMENTS = 32, 6000
+#: Log-likelihood ratio statistic and share of toxic documents from which a feature is one of the model, and marks toxic words at first; most
+#: features of a model.
+FEATURE, SIGNIFICANT, MAX_FEATURES = (12.0, 0.8), (24.0, 0.9), 20_000
+#: Words of a training sequence, sequences at once, and steps of each fit.
+SEGMENT, AT_ONCE, FITS = 32, 4096, (60, 30)
 HELD_OUT_OF, HELD_OUT = 3, 1
 STRIP = "".join(map(chr, range(48))) + ":;<=>?@[\\]^_`{|}~ «»“”„‘’…¿¡"
 
@@ -59,15 +63,35 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """Texts and labels of the training documents, in the order of their ids' hashes; only ids that are not held out. Bounded, as the
-    module says."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """h, doc, text, y of the training documents: only ids that are not held out, one row an id. Bounded, as the module says. An id with both
+    labels is toxic; of rows that repeat an id the least text is taken."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     known = known.withColumn("h", F.xxhash64(F.col("id").cast("string")))
     picked = known.where("y = 1").orderBy("h", "id").limit(MAX_TOXIC).unionByName(known.where("y = 0").orderBy("h", "id").limit(MAX_CLEAN))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull() & (F.char_length("text") <= MAX_CHARS))
-    rows = texts.join(F.broadcast(picked), F.col("doc") == F.col("id")).select("h", "doc", "text", "y").collect()
-    return _unlike([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["h"], str(r["doc"]), r["text"]))][: MAX_TOXIC + MAX_CLEAN])
+    return texts.join(F.broadcast(picked), F.col("doc") == F.col("id")).groupBy("doc").agg(F.first("h").alias("h"), F.min("text").alias("text"), F.first("y").alias("y")).select("h", F.col("doc").cast("string").alias("doc"), "text", "y")
+
+
+def _ordered(rows: list[tuple]) -> list[tuple[str, int]]:
+    return _unlike([(text, y) for _, _, text, y in sorted(rows)])
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
+    """Texts and labels of the training documents, in the order of their ids' hashes."""
+    return _ordered([tuple(r) for r in labelled(docs, labels, id_col, text_col, label_col).collect()])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """train() on the training sample, in a task: the driver sees the model only."""
+    small_batches(docs)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("h", "doc", "text", "y")), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(_ordered(rows)))], pa.binary())], names=["model"])
+
+    found = labelled(docs, labels, id_col, text_col, label_col).repartition(1).mapInArrow(learn, "model binary").first()
+    return train([]) if found is None else pickle.loads(found["model"])
 
 
 def _unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -83,29 +107,29 @@ def _unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def _marks(rows: list[tuple[list[str], int]]) -> set[str]:
-    """Features that mark toxic documents."""
+def _marks(rows: list[tuple[list[str], int]]) -> dict[str, bool]:
+    """The model's features: those that mark toxic documents, and whether they do so very significantly."""
     n = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
     if not all(n):
-        return set()
+        return {}
     p = n[1] / (n[0] + n[1])
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for words, y in rows:
         if y:
             counts[1].update({f for w in set(words) for f in features(w)})
     # even in no clean document, a feature in fewer toxic ones is not significant
-    hopeful = {f for f, t in counts[1].items() if 2 * t * math.log(1 / p) >= SIGNIFICANT}
+    hopeful = {f for f, t in counts[1].items() if 2 * t * math.log(1 / p) >= FEATURE[0]}
     for words, y in rows:
         if not y:
             counts[0].update({f for w in set(words) for f in features(w) if f in hopeful})
     found = {}
     for f in hopeful:
         t, c = counts[1][f], counts[0][f]
-        if t / n[1] >= SHARE * (t / n[1] + c / n[0]):
-            g = 2 * (t * math.log(t / (p * (t + c))) + (c * math.log(c / ((1 - p) * (t + c))) if c else 0))
-            if g >= SIGNIFICANT:
-                found[f] = g
-    return set(sorted(found, key=lambda f: (-found[f], f))[:MAX_FEATURES])
+        g = 2 * (t * math.log(t / (p * (t + c))) + (c * math.log(c / ((1 - p) * (t + c))) if c else 0))
+        found[f] = g, t / n[1] / (t / n[1] + c / n[0])
+    passed = {f: x for f, x in found.items() if x[0] >= FEATURE[0] and x[1] >= FEATURE[1]}
+    best = sorted(passed, key=lambda f: (-passed[f][0], f))[:MAX_FEATURES]
+    return {f: passed[f][0] >= SIGNIFICANT[0] and passed[f][1] >= SIGNIFICANT[1] for f in best}
 
 
 def _logadd(a: np.ndarray) -> np.ndarray:
@@ -114,42 +138,73 @@ def _logadd(a: np.ndarray) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(-1, keepdims=True)))[..., 0]
 
 
-def _fit_field(ids: np.ndarray, y: np.ndarray, n_features: int, steps: int = 120) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum likelihood with a small ridge, by Adam. ids: (sequences, words, features of a word; 0 for none); y: labels."""
-    theta = np.zeros(n_features + 1 + 1 + 4)  # weights (0 unused), bias, label pairs
+@dataclass
+class _Sequences:
+    """Training sequences: features of each word (0 for none), which places are words, how many alike sequences each stands for, and its document."""
+
+    ids: np.ndarray
+    used: np.ndarray
+    weight: np.ndarray
+    doc: np.ndarray
+
+    def part(self, a: int, b: int) -> _Sequences:
+        return _Sequences(self.ids[a:b], self.used[a:b], self.weight[a:b], self.doc[a:b])
+
+
+def _expected(theta: np.ndarray, x: _Sequences, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic label at each word, and what the field expects of each of its statistics over all sequences."""
+    w = theta[: n_features + 1].copy()
+    w[0] = 0
+    pair, length = theta[-4:].reshape(2, 2), x.used.shape[1]
+    emit = np.zeros((*x.used.shape, 2))
+    emit[..., 1] = w[x.ids].sum(-1) + theta[-5]
+    a, b = np.zeros_like(emit), np.zeros_like(emit)
+    a[:, 0] = emit[:, 0]
+    for t in range(1, length):
+        a[:, t] = np.where(x.used[:, t, None], emit[:, t] + _logadd(a[:, t - 1][:, None, :] + pair.T[None]), a[:, t - 1])
+    for t in range(length - 2, -1, -1):
+        b[:, t] = np.where(x.used[:, t + 1, None], _logadd((emit[:, t + 1] + b[:, t + 1])[:, None, :] + pair[None]), b[:, t + 1])
+    z = _logadd(a[:, -1])
+    p = np.exp(a + b - z[:, None, None])[..., 1] * x.used
+    both = np.exp(a[:, :-1, :, None] + pair[None, None] + (emit + b)[:, 1:, None, :] - z[:, None, None, None]) * x.used[:, 1:, None, None]
+    return p, _statistics(p, both, x, n_features)
+
+
+def _statistics(p: np.ndarray, both: np.ndarray, x: _Sequences, n_features: int) -> np.ndarray:
+    """Sums over all words of toxic labels by feature (0 unused), of toxic labels, and of label pairs."""
+    out = np.zeros(n_features + 6)
+    heavy = p * x.weight[:, None]
+    out[: n_features + 1] = np.bincount(x.ids.ravel(), weights=np.repeat(heavy.ravel(), x.ids.shape[-1]), minlength=n_features + 1)
+    out[0], out[-5] = 0, heavy.sum()
+    out[-4:] = (both * x.weight[:, None, None, None]).sum((0, 1)).ravel()
+    return out
+
+
+def _parts(x: _Sequences) -> Iterator[tuple[int, _Sequences]]:
+    return ((i, x.part(i, i + AT_ONCE)) for i in range(0, len(x.weight), AT_ONCE))
+
+
+def _fit_field(x: _Sequences, y: np.ndarray, n_features: int, steps: int, theta: np.ndarray) -> np.ndarray:
+    """Maximum likelihood with a small ridge, by Adam, from theta on: weights (0 unused), bias, label pairs. y: chances of the toxic label."""
+    seen, n = np.zeros_like(theta), x.weight.sum()
+    for i, part in _parts(x):
+        q = np.stack([(1 - y[i : i + AT_ONCE]) * part.used, y[i : i + AT_ONCE]], -1)
+        seen += _statistics(q[..., 1], q[:, :-1, :, None] * q[:, 1:, None, :], part, n_features)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n, length = y.shape
-    seen = np.zeros_like(theta)
-    seen[: n_features + 1] = np.bincount(ids[y == 1].ravel(), minlength=n_features + 1)
-    seen[-5] = y.sum()
-    for i in range(2):
-        for j in range(2):
-            seen[-4 + 2 * i + j] = ((y[:, :-1] == i) & (y[:, 1:] == j)).sum()
-    seen[0] = 0
     for step in range(1, steps + 1):
-        w = theta[: n_features + 1].copy()
-        w[0] = 0
-        emit = np.zeros((n, length, 2))
-        emit[..., 1] = w[ids].sum(-1) + theta[-5]
-        pair = theta[-4:].reshape(2, 2)
-        a, b = np.zeros_like(emit), np.zeros_like(emit)
-        a[:, 0] = emit[:, 0]
-        for t in range(1, length):
-            a[:, t] = emit[:, t] + _logadd(a[:, t - 1][:, None, :] + pair.T[None])
-        for t in range(length - 2, -1, -1):
-            b[:, t] = _logadd((emit[:, t + 1] + b[:, t + 1])[:, None, :] + pair[None])
-        z = _logadd(a[:, -1])
-        p = np.exp(a + b - z[:, None, None])[..., 1]
-        want = np.zeros_like(theta)
-        want[: n_features + 1] = np.bincount(ids.ravel(), weights=np.repeat(p.ravel(), ids.shape[-1]), minlength=n_features + 1)
-        want[0] = 0
-        want[-5] = p.sum()
-        both = np.exp(a[:, :-1, :, None] + pair[None, None] + (emit + b)[:, 1:, None, :] - z[:, None, None, None]).sum((0, 1))
-        want[-4:] = both.ravel()
-        g = (seen - want) / n - 1e-4 * theta
+        g = (seen - sum(_expected(theta, part, n_features)[1] for _, part in _parts(x))) / n - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta += 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return theta[: n_features + 1], float(theta[-5]), theta[-4:].reshape(2, 2)
+        theta = theta + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return theta
+
+
+def _posterior(theta: np.ndarray, x: _Sequences, toxic: np.ndarray, n_features: int) -> np.ndarray:
+    """Chances of the toxic label given the documents' labels: none in clean documents; in toxic ones, of words with features, given that there is one."""
+    p = np.concatenate([_expected(theta, part, n_features)[0] for _, part in _parts(x)]) * x.ids.any(-1)
+    p[~toxic[x.doc]] = 0
+    none = np.ones(len(toxic))
+    np.multiply.at(none, x.doc, (1 - p).prod(1))
+    return np.minimum(p / np.maximum(1 - none, 1e-9)[x.doc][:, None], 1.0)
 
 
 class Tagger:
@@ -262,30 +317,38 @@ def train(sample: list[tuple[str, int]]) -> Model:
     if not marks:
         return Model({}, -5.0, [[0.0, 0.0], [0.0, 0.0]], base)
     number = {f: i for i, f in enumerate(sorted(marks), 1)}
+    strong = np.array([False, *(marks[f] for f in sorted(marks))])
     wide = 1 + len(BEGINNINGS)
-    marked, plain, seen = [], [], 0
-    step = 1 + sum(len(words) for words, _ in rows) // (SEGMENT * SEGMENTS // 3)
-    for words, y in rows:
-        ids = np.zeros((len(words), wide), np.int32)
+    found: list[np.ndarray] = []
+    lengths, weight, doc = [], [], []
+    alike: Counter[int] = Counter()
+    for k, (words, _) in enumerate(rows):
+        ids = np.zeros((-(-len(words) // SEGMENT) * SEGMENT, wide), np.int32)
         for i, w in enumerate(words):
-            for k, f in enumerate(features(w)):
+            for j, f in enumerate(features(w)):
                 if f in number:
-                    ids[i, k] = number[f]
-        tags = (ids.any(1) & (y == 1)).astype(np.int8)
-        for i in range(0, len(words) - SEGMENT + 1, SEGMENT):
-            part = ids[i : i + SEGMENT], tags[i : i + SEGMENT]
-            if part[0].any():
-                marked.append(part)
-            else:  # segments without features are all alike; every step-th is enough
-                seen += 1
-                if seen % step == 0:
-                    plain.append((part[0].copy(), part[1].copy()))
-    chosen = marked[:: max(1, len(marked) * 3 // (2 * SEGMENTS))] + plain
+                    ids[i, j] = number[f]
+        for i in range(0, len(words), SEGMENT):
+            part, n = ids[i : i + SEGMENT], min(SEGMENT, len(words) - i)
+            if part.any():
+                found.append(part)
+                lengths.append(n)
+                weight.append(1)
+                doc.append(k)
+            else:  # sequences without features are all alike but for their length
+                alike[n] += 1
     del rows
-    if not marked:
-        return Model({}, -5.0, [[0.0, 0.0], [0.0, 0.0]], base)
-    weights, bias, pairs = _fit_field(np.stack([c[0] for c in chosen]), np.stack([c[1] for c in chosen]), len(number))
-    model = Model({f: float(weights[i]) for f, i in number.items()}, bias, pairs.tolist(), base)
+    toxic = np.array([y == 1 for _, y in sample] + [False])
+    plain = sorted(alike)
+    ids = np.stack([*found, *(np.zeros((SEGMENT, wide), np.int32) for _ in plain)])
+    used = np.arange(SEGMENT) < np.array([*lengths, *plain])[:, None]
+    x = _Sequences(ids, used, np.array([*weight, *(alike[n] for n in plain)], float), np.array([*doc, *([len(sample)] * len(plain))]))
+    theta = np.zeros(len(number) + 6)
+    y = (strong[ids].any(-1) & toxic[x.doc][:, None]).astype(float)
+    for steps in FITS:
+        theta = _fit_field(x, y, len(number), steps, theta)
+        y = _posterior(theta, x, toxic, len(number))
+    model = Model({f: float(theta[i]) for f, i in number.items()}, float(theta[-5]), theta[-4:].reshape(2, 2).tolist(), base)
     tagger = Tagger(model)
     x = np.array([_evidence(tagger.marginals(words_of(text))) for text, _ in sample])
     model.score = _fit_score(x, np.array([y for _, y in sample], float))
@@ -336,7 +399,8 @@ def _spans(text: str, found: list[tuple[int, float]]) -> list[dict]:
 
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, that the model does not call toxic. Texts are judged row by row."""
+    """The rows of docs, with all their columns, that the model does not call toxic. Texts are judged row by row, so repeated rows and rows without an
+    id each by their own; null and empty texts have the score of a text without toxic words. An empty table gives none."""
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -350,6 +414,7 @@ def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity() of documents by a model of their labels; nulls, repeats and empty tables as there."""
     docs = read_table(spark, sf_dir, "documents")
-    model = train(training_sample(docs, read_table(spark, sf_dir, "labels")))
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
     return toxicity(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))

@@ -52,7 +52,7 @@ def test_each_stage_on_its_own_input(spark, folder):
         out.cache()
         got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
         if name == "toxicity":
-            model = toxicity.train(toxicity.training_sample(docs, spark.read.parquet(f"{path}/labels.parquet")))
+            model = toxicity.fit(docs, spark.read.parquet(f"{path}/labels.parquet"))
             want = {r["doc_id"] for r in toxicity.toxicity(docs, model).where("predicted = 0").collect()}
             assert all(("Nasty" in (t or "") or "Vile" in (t or "")) != (i in want) for i, t in rows)
             want = [x for x in rows if x[0] in want]

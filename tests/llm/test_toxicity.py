@@ -53,7 +53,7 @@ def trained(spark):
     rows = corpus(1500, 4)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t, _ in rows], "doc_id long, text string, score string, y int")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    return rows, docs, T.train(T.training_sample(docs, labels)), labels
+    return rows, docs, T.fit(docs, labels), labels
 
 
 def test_held_out_documents(spark, trained):
@@ -90,3 +90,39 @@ def test_odd_rows(spark, trained):
         plain = T.train(sample)
         assert all(0 < r["score"] < 1 for r in T.toxicity(odd, plain).collect())
     assert T.training_sample(docs, labels.limit(0)) == []
+
+
+def test_short_texts_train_too(spark):
+    """400 texts of 10 and 11 words, half of them with a toxic word: shorter than any training sequence."""
+    r = random.Random(2)
+    plain = [f"{a}{b}" for a in "klmnoprst" for b in "aeiou"]
+    rows = [(i, [r.choice(plain) for _ in range(10)]) for i in range(400)]
+    for i, w in rows[::2]:
+        w.insert(r.randrange(10), "vile" if i % 4 else "grim")
+    model = T.train([(" ".join(w), int(i % 2 == 0)) for i, w in rows[:300]])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows[300:]], "doc_id long, text string")
+    assert all(x["predicted"] == int(x["doc_id"] % 2 == 0) for x in T.toxicity(docs, model).collect())
+
+
+def test_a_labelled_id_in_very_many_rows(spark):
+    docs = spark.range(60_000).selectExpr("7 as doc_id", "concat('row ', id % 50) as text").unionByName(spark.createDataFrame([(6, "vile"), (8, "x y")], "doc_id int, text string"))
+    labels = spark.createDataFrame([(7, 0), (6, 1), (8, 0), (8, 1)], "doc_id long, toxic int")
+    assert T.labelled(docs, labels).count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (6, 7, 8))
+
+
+def test_tokens_are_labelled_by_what_documents_say():
+    """A word that stands in toxic documents only together with others that explain them gains less than those."""
+    r = random.Random(3)
+    plain = [f"{a}{b}" for a in "klmnoprst" for b in "aeiou"]
+    rows = []
+    for i in range(1200):
+        w = [r.choice(plain) for _ in range(40)]
+        if i % 3 == 0:
+            w[r.randrange(40)] = r.choice(["vile", "grim"])
+            if i % 2:
+                w[r.randrange(40)] = "also"
+        elif i % 20 == 1:
+            w[r.randrange(40)] = "also"
+        rows.append((" ".join(w), int(i % 3 == 0)))
+    model = T.train(rows)
+    assert min(model.weights["vile"], model.weights["grim"]) > model.weights.get("also", 0.0) + 1
