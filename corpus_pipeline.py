@@ -10,7 +10,7 @@ from panelwright.llm.common import read_table, stored
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject. It learns from labelled rows of these documents that are not held out."""
-    return toxicity.drop_toxic(docs, toxicity.train(toxicity.training_sample(docs, read_table(spark, sf_dir, "labels"))))
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
