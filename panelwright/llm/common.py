@@ -20,8 +20,10 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. spark.checkpoint.dir where the cluster names one; else, as in tests, a temporary one."""
+    """The folder that all executors see: spark.checkpoint.dir, which a cluster must name. In a single process, as in tests, a temporary one will do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="panelwright-")
         spark.conf.set("spark.checkpoint.dir", named)
@@ -40,7 +42,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted size is small; otherwise as it is, for a shuffle join. df should be cheap to count."""
+    """df with a broadcast hint if its counted size is small; otherwise as it is, for a shuffle join. df should be cheap to count.
+    row_bytes is what a row takes in the hash table of the join, some 96 for two numbers."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 

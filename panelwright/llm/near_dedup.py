@@ -101,7 +101,7 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
 def _texts_of(nodes: DataFrame, named: DataFrame, rows: DataFrame) -> DataFrame:
     """nodes (node, ...) with the text of each: once, or as often as its row is repeated."""
     who = stored(nodes.join(named.where("uid = node").select("node", F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "node"), "near-nodes")
-    return rows.join(maybe_broadcast(who, 40), (rows["th"] == F.col("__th")) & rows["doc_id"].eqNullSafe(F.col("__id"))).select(*nodes.columns, "text")
+    return rows.join(maybe_broadcast(who, 128), (rows["th"] == F.col("__th")) & rows["doc_id"].eqNullSafe(F.col("__id"))).select(*nodes.columns, "text")
 
 
 def _linked(edges: DataFrame, named: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -168,13 +168,13 @@ def _rarest_shared(left: DataFrame, named: DataFrame, rows: DataFrame, size: int
     texts = _texts_of(left, named, rows).dropDuplicates(["node"])
     all_of = stored(texts.mapInArrow(spread, "node long, component long, n long, shingle long"), "near-shingles")
     common = stored(all_of.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("mixed")).where("df > 1"), "near-common")
-    met = all_of.join(maybe_broadcast(common, 24), "shingle")
+    met = all_of.join(maybe_broadcast(common, 96), "shingle")
     by = Window.partitionBy("node")
     met = met.withColumn("at", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "shingle")))
     n = F.col("n")
     first = stored(met.where(F.col("mixed") & (F.col("at") <= n - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1)).select("shingle", "node", "n", "at", "component"), "near-first")
     sizes = first.groupBy("shingle", "component").agg(F.count("*").alias("rows")).groupBy("shingle").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
-    first = stored(first.join(maybe_broadcast(stored(sizes.select("shingle", F.col("top.component").alias("main")), "near-mains"), 24), "shingle").withColumn("other", F.col("component") != F.col("main")).drop("main"), "near-first")
+    first = stored(first.join(maybe_broadcast(stored(sizes.select("shingle", F.col("top.component").alias("main")), "near-mains"), 96), "shingle").withColumn("other", F.col("component") != F.col("main")).drop("main"), "near-first")
     small, large = (first.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "component", "other")]) for side in "xy")
     small = small.where(F.col("at_x") <= F.col("n_x") - _least(F.col("n_x"), F.col("n_x"), percent) + 1)
     m, n = F.col("n_x"), F.col("n_y")
@@ -190,17 +190,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     signed = stored(_signed(rows, size).withColumn("uid", F.monotonically_increasing_id()), "near-signed")
     equal = stored(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("uid").alias("same"), F.count("*").alias("n")).where("n > 1").select("digest", "least", "same"), "near-equal")
-    named = signed.join(maybe_broadcast(equal, 64), "digest", "left").withColumn("node", F.when(F.col("digest").isNotNull(), F.coalesce("same", "uid"))).withColumn("least", F.coalesce("least", "doc_id")).drop("same")
+    named = signed.join(maybe_broadcast(equal, 128), "digest", "left").withColumn("node", F.when(F.col("digest").isNotNull(), F.coalesce("same", "uid"))).withColumn("least", F.coalesce("least", "doc_id")).drop("same")
 
     keyed = named.where("uid = node").select("node", F.explode_outer("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    members = stored(keyed.join(maybe_broadcast(shared, 24), "key"), "near-members")
+    members = stored(keyed.join(maybe_broadcast(shared, 96), "key"), "near-members")
     stars = stored(_stars(members), "near-pairs")
     labels = roots(stored(_linked(stars, named, rows, size, percent), "near-links").toDF("node", "parent"))
 
-    here = stored(members.join(maybe_broadcast(labels, 24), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-here")
+    here = stored(members.join(maybe_broadcast(labels, 96), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-here")
     mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = stored(here.join(maybe_broadcast(stored(mixed, "near-mixed"), 16), "key", "left_semi").select("node", "component").distinct(), "near-left")
+    left = stored(here.join(maybe_broadcast(stored(mixed, "near-mixed"), 96), "key", "left_semi").select("node", "component").distinct(), "near-left")
     if not left.isEmpty():
         tested = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = stored(_rarest_shared(left, named, rows, size, percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
@@ -212,7 +212,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     whose = labels.join(named.where("uid = node").select("node", "least"), "node")
     names = whose.groupBy("component").agg(F.min("least").alias("component_id"))
     names = stored(whose.select("node", "component").join(names, "component").select("node", "component_id", F.lit(True).alias("linked")), "near-names")
-    out = named.join(maybe_broadcast(names, 24), "node", "left")
+    out = named.join(maybe_broadcast(names, 96), "node", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).when(F.col("linked"), F.col("component_id")).otherwise(F.col("least"))
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -236,7 +236,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs that near_duplicates keeps, with all their columns: one document of each component. Rows without an id stay. Of
     rows that repeat an id with other texts each is judged by its own text; with the same text they stay or go together."""
     lost = stored(_judged(docs, id_col, text_col, size, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__lost"), F.col("th").alias("__lost_text")).distinct(), "near-lost")
-    return docs.join(maybe_broadcast(lost, 32), (docs[id_col].cast("long") == lost["__lost"]) & (F.xxhash64(docs[text_col].cast("string")) == lost["__lost_text"]), "left_anti")
+    return docs.join(maybe_broadcast(lost, 96), (docs[id_col].cast("long") == lost["__lost"]) & (F.xxhash64(docs[text_col].cast("string")) == lost["__lost_text"]), "left_anti")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
