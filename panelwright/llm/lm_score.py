@@ -34,9 +34,9 @@ from .tokens import split_runs, text_parts
 #: Words' worth of the share of all words in what follows a word.
 MU = 20.0
 #: Documents of a group, and bytes of text from which it is split.
-GROUP, GROUP_BYTES = 4096, 64 << 20
+GROUP, GROUP_BYTES = 2048, 32 << 20
 #: Keys that a task holds before it sends them, and least number of blocks.
-FLUSH, BLOCKS = 6_000_000, 64
+FLUSH, BLOCKS = 2_000_000, 64
 U64 = np.uint64
 #: ASCII marks and white space separate words; A-Z become a-z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -185,34 +185,41 @@ def _own(doc: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
     return n[back]
 
 
-def _losses(texts: pa.Array, target: np.ndarray, answers: pa.Table, sums: tuple[int, int, int], mu: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text and its mean losses (columns target, background)."""
-    key, at, pairs, n = keys_of(texts)
-    pair, pair_at = np.unique(pairs, return_inverse=True)
-    every = np.unique(np.concatenate([key, pair, [START] if len(at) else []]).astype(U64))
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, U64)
+
+
+def _losses(texts: pa.Table, answers: pa.Table, sums: tuple[int, int, int], mu: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a group's texts, the words of each text and its mean losses (columns target, background)."""
+    slices = [(batch, *keys_of(text)) for batch, text in text_parts(texts.to_batches(), most=1 << 20)]
+    every = _distinct([_distinct([key, pairs, np.full(int(n.any()), START)]) for _, key, _, pairs, n in slices])
     rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("block", "width", "body")), strict=True))
-    counts = [np.frombuffer(zstandard.decompress(body), f"u{wide}").reshape(2, -1).astype(np.float64) for _, wide, body in rows]
-    counts = np.concatenate(counts, axis=1) if counts else np.empty((2, 0))
+    counts = [np.frombuffer(zstandard.decompress(body), f"u{wide}").reshape(2, -1) for _, wide, body in rows]
+    counts = np.concatenate(counts, axis=1) if counts else np.empty((2, 0), np.uint32)
     if counts.shape[1] != len(every):
         raise ValueError(f"{len(every)} keys were asked for and {counts.shape[1]} answered: the documents changed between two reads")
+    for batch, key, at, pairs, n in slices:
+        yield batch, n, _slice_losses(key, at, pairs, n, np.array(batch.column("target").to_pylist(), bool), every, counts, sums, mu)
+
+
+def _slice_losses(key: np.ndarray, at: np.ndarray, pairs: np.ndarray, n: np.ndarray, target: np.ndarray, every: np.ndarray, counts: np.ndarray, sums: tuple[int, int, int], mu: float) -> np.ndarray:
+    out = np.zeros((len(n), 2))
     if not len(at):
-        return n, np.zeros((len(n), 2))
+        return out
+    pair, pair_at = np.unique(pairs, return_inverse=True)
     doc = np.repeat(np.arange(len(n)), n)
-    of_pair, of_word = counts[:, np.searchsorted(every, pair)], counts[:, np.searchsorted(every, key)]
+    of_pair, of_word = (counts[:, np.searchsorted(every, x)].astype(float) for x in (pair, key))
     own_pair, own_word = _own(doc, pair_at, len(pair)), _own(doc, at, len(key))
     first = (np.cumsum(n) - n)[n > 0]
     context, own_context = np.empty((2, len(at))), np.empty(len(at))
     context[:, 1:], own_context[1:] = of_word[:, at[:-1]], own_word[:-1]
     context[:, first], own_context[first] = counts[:, [np.searchsorted(every, START)]], 1
     target_words, words, vocabulary = sums
-    logs = np.empty((2, len(at)))
     for j, (k, total, off) in enumerate(((1.0, target_words, target[doc].astype(float)), (target_words / max(words, 1), words, np.ones(len(at))))):
         share = (k * (of_word[j, at] - off * own_word) + 1) / (k * (total - off * n[doc]) + vocabulary)
-        logs[j] = np.log((k * (of_pair[j, pair_at] - off * own_pair) + mu * share) / (k * (context[j] - off * own_context) + mu))
-    mean = -np.add.reduceat(logs, first, axis=1) / n[n > 0]
-    out = np.zeros((len(n), 2))
-    out[n > 0] = mean.T
-    return n, out
+        logs = np.log((k * (of_pair[j, pair_at] - off * own_pair) + mu * share) / (k * (context[j] - off * own_context) + mu))
+        out[n > 0, j] = -np.add.reduceat(logs, first) / n[n > 0]
+    return out
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -254,17 +261,20 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     answers = stored(_requests(marked, bits).repartitionById(1 << bits, F.col("block")).mapInArrow(_answers, _ANSWER), "lm-answers")
     sums = tuple(int(x or 0) for x in answers.agg(F.sum("target_words"), F.sum("words"), F.sum("distinct_words")).first())
 
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
+
     def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
-        target = np.array(texts.column("target").to_pylist(), bool)
-        text = pa.chunked_array(texts.column("text").chunks, pa.string()).fill_null("").combine_chunks()
-        n, loss = _losses(text, target, answered, sums, mu)
-        none = n == 0
-        columns = [pa.array(x, pa.float64(), mask=none) for x in (loss[:, 0], loss[:, 1], loss[:, 1] - loss[:, 0])]
-        return pa.Table.from_arrays([texts.column("doc_id"), pa.array(n.astype(np.int64)), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+        done = []
+        for batch, n, loss in _losses(texts, answered, sums, mu):
+            columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (loss[:, 0], loss[:, 1], loss[:, 1] - loss[:, 0])]
+            done.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *columns], names=names))
+        if not done:  # answers without texts there are none
+            return pa.Table.from_arrays([texts.column("doc_id"), *(pa.array([], t) for t in (pa.int64(), *[pa.float64()] * 3))], names=names)
+        return pa.Table.from_batches(done)
 
     replies = answers.where("part is not null and body <> X''").select(F.col("part"), "block", "width", "body")
-    return marked.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, target_loss double, background_loss double, score double")
+    return marked.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(score, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
