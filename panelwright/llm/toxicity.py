@@ -34,7 +34,7 @@ BEGINNINGS = (4, 5, 6)
 #: features of a model.
 FEATURE, SIGNIFICANT, MAX_FEATURES = (12.0, 0.8), (24.0, 0.9), 20_000
 #: Words of a training sequence, sequences at once, and steps of each fit.
-SEGMENT, AT_ONCE, FITS = 32, 4096, (60, 30)
+SEGMENT, AT_ONCE, FITS = 32, 1024, (60, 30)
 HELD_OUT_OF, HELD_OUT = 3, 1
 STRIP = "".join(map(chr, range(48))) + ":;<=>?@[\\]^_`{|}~ «»“”„‘’…¿¡"
 
@@ -331,7 +331,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
         for i in range(0, len(words), SEGMENT):
             part, n = ids[i : i + SEGMENT], min(SEGMENT, len(words) - i)
             if part.any():
-                found.append(part)
+                found.append(part.copy())
                 lengths.append(n)
                 weight.append(1)
                 doc.append(k)
