@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -23,7 +25,17 @@ EVENT_TYPES = ("", "other", "earnings", "guidance", "merger_acquisition", "lawsu
 #: Keywords an answer's schema must not use (fixed values).
 FORBIDDEN = ("anyOf", "oneOf", "allOf", "nullable")
 MOCK_TARGETS, MOCK_EVENTS = ("Apple", "Microsoft", "NVIDIA", "Amazon"), ("partnership", "other", "product_launch")
-DECODED = "source string, targets array<string>, event_type string, error_type string, error_message string"
+DECODED = "source string, targets array<string>, event_type string, error_type string, error_message string, repaired string"
+#: Columns of the tables of a run, in order (fixed values).
+_HEAD = "news_id string, shard_id string, batch_id long, published_date string, cutoff_date string, "
+_SOURCE = "source_ticker string, source_company_name string, request_mode string, "
+RAW = _HEAD + _SOURCE + "raw_content string, repaired_content string, response_repaired boolean, raw_content_sha256 string, status string, error_type string, error_message string, seed long, run_mode string, processed_at_utc string"
+PARSED = _HEAD + "is_warmup boolean, in_evaluation_window boolean, " + _SOURCE + (
+    "extracted_source string, extracted_targets array<string>, extracted_event_type string, is_valid_source boolean, has_valid_targets boolean, valid_target_count long, "
+    "resolved_target_tickers array<string>, unresolved_targets array<string>, resolved_target_count long, has_resolved_targets boolean, self_loop_targets_dropped long, "
+    "target_resolution_json string, raw_content_sha256 string, seed long, run_mode string"
+)
+FAILURES = _HEAD + _SOURCE + "raw_content_sha256 string, error_type string, error_message string, seed long, run_mode string"
 
 
 class DecodeError(ValueError):
@@ -90,30 +102,22 @@ def with_prompt(news: DataFrame, event_types: tuple[str, ...] = EVENT_TYPES, max
     return news.withColumn("prompt", F.array(one("system", F.lit(system)), one("user", user)))
 
 
+#: What a search for braces must see: strings, the last of which may be open, escaped characters, and braces.
+PIECES = re.compile(r'"(?:[^"\\]|\\.)*"?|\\.|[{}]', re.DOTALL)
+FENCE = re.compile(r"```[^\n]*\n(.*)\n[^\n]*```", re.DOTALL)
+
+
 def repaired(answer: str | None) -> str:
     """The answer without a code fence of three lines or more, from the first brace outside a string to its partner; if there is no such
     object, the stripped text."""
     body = (answer or "").strip()
-    lines = body.splitlines()
-    if body.startswith("```") and body.endswith("```") and len(lines) >= 3:
-        body = "\n".join(lines[1:-1]).strip()
-    open_at, depth, quoted, skip = -1, 0, False, False
-    for i, c in enumerate(body):
-        if skip:
-            skip = False
-        elif c == "\\":
-            skip = True
-        elif c == '"':
-            quoted = not quoted
-        elif quoted:
-            continue
-        elif c == "{":
-            open_at, depth = (i, 1) if depth == 0 else (open_at, depth + 1)
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                return body[open_at : i + 1]
-    return body
+    if fence := FENCE.fullmatch(body):
+        body = fence[1].strip()
+    braces = [(m.start(), m[0]) for m in PIECES.finditer(body) if m[0] in ("{", "}")]
+    first = next((k for k, (_, brace) in enumerate(braces) if brace == "{"), len(braces))
+    open_after = accumulate(1 if brace == "{" else -1 for _, brace in braces[first:])
+    end = next((at + 1 for (at, _), still in zip(braces[first:], open_after, strict=True) if not still), None)
+    return body if end is None else body[braces[first][0] : end]
 
 
 def decode(answer: str) -> dict:
@@ -147,12 +151,12 @@ def with_decoded(frame: DataFrame, column: str = "raw_content", repair: bool = T
         for answers in batches:
             rows = []
             for a in answers:
+                body = repaired(a) if repair else a or ""
                 try:
-                    d = decode(repaired(a) if repair else a or "")
-                    rows.append((d["source"], d["targets"], d["event_type"], None, None))
+                    rows.append((*decode(body).values(), None, None, body))
                 except DecodeError as e:
-                    rows.append((None, None, None, "StructuredDecodeError", str(e)))
-            yield pd.DataFrame(rows, columns=["source", "targets", "event_type", "error_type", "error_message"])
+                    rows.append((None, None, None, "StructuredDecodeError", str(e), ""))
+            yield pd.DataFrame(rows, columns=["source", "targets", "event_type", "error_type", "error_message", "repaired"])
 
     return frame.withColumn("decoded", run(F.col(column)))
 
@@ -160,97 +164,120 @@ def with_decoded(frame: DataFrame, column: str = "raw_content", repair: bool = T
 class Client:
     """What with_answers() asks: an object that can be sent to tasks."""
 
-    def answer(self, messages: list[dict], schema: dict, seed: int) -> str:
+    request_mode = ""
+
+    def answer(self, messages: list[dict], schema: dict, seed: int | None) -> str:
         raise NotImplementedError
 
+    def asked(self, messages: list[dict], schema: dict, seed: int | None) -> tuple[str, str]:
+        """The answer, and the way in which it was asked for."""
+        return self.answer(messages, schema, seed), self.request_mode
+
+    def preflight(self, schema: dict | None = None) -> dict:
+        """Whether a run may begin: facts, among them ready."""
+        return {"ready": True, "error": None}
+
 
 class EmptyClient(Client):
     """Always the answer that nothing was found."""
 
-    def answer(self, messages: list[dict], schema: dict, seed: int) -> str:
+    request_mode = "mock"
+
+    def answer(self, messages: list[dict], schema: dict, seed: int | None) -> str:
         return json.dumps({"source": "", "targets": [], "event_type": ""})
 
 
+#: What a request says of the wanted schema, by mode (the interface's field names).
+WANTED: dict[str, Callable[[dict], dict]] = {
+    "structured_outputs": lambda schema: {"response_format": {"type": "json_schema", "json_schema": {"name": "event", "schema": schema, "strict": True}}},
+    "guided_json": lambda schema: {"response_format": {"type": "json_object"}, "guided_json": schema},
+}
+PROBE = [{"role": "user", "content": 'Answer {"source": "", "targets": [], "event_type": "other"}.'}]
+
+
 @dataclass
 class HttpClient(Client):
-    """A server with the usual chat-completions interface. mode auto tries both ways of asking for a schema."""
+    """A server with the usual chat-completions interface. mode auto tries the modes of WANTED in turn."""
 
     base_url: str
     model: str
     api_key: str = "-"
     mode: str = "auto"
-    temperature: float = 0.0
-    top_p: float = 1.0
-    max_tokens: int = 512
+    settings: dict = field(default_factory=lambda: {"temperature": 0.0, "top_p": 1.0, "max_tokens": 512})
     timeout: float = 120.0
     send: Callable[[str, dict | None], dict] | None = None
 
     @property
-    def root(self) -> str:
-        url = self.base_url.rstrip("/")
-        return url if url.endswith("/v1") else f"{url}/v1"
+    def modes(self) -> list[str]:
+        return list(WANTED) if self.mode == "auto" else [self.mode]
 
     def payload(self, messages: list[dict], schema: dict, seed: int | None, mode: str) -> dict:
-        out = {"model": self.model, "messages": messages, "temperature": self.temperature, "top_p": self.top_p, "max_tokens": self.max_tokens}
-        if seed is not None:
-            out["seed"] = seed
-        if mode == "structured_outputs":
-            return out | {"response_format": {"type": "json_schema", "json_schema": {"name": "event", "schema": schema, "strict": True}}}
-        if mode == "guided_json":
-            return out | {"response_format": {"type": "json_object"}, "guided_json": schema}
-        raise ValueError(f"unknown request mode {mode!r}")
-
-    def _call(self, path: str, body: dict | None) -> dict:
+        if mode not in WANTED:
+            raise ValueError(f"unknown request mode {mode!r}")
+        return {"model": self.model, "messages": messages, **self.settings, **({} if seed is None else {"seed": seed}), **WANTED[mode](schema)}
+
+    def _exchange(self, what: str, body: dict | None = None) -> dict:
+        """A JSON answer to a GET, or to a POST of body."""
+        url = re.sub(r"(/v1)?/*$", "/v1/", self.base_url, count=1) + what
         if self.send is not None:
-            return self.send(f"{self.root}/{path}", body)
-        request = urllib.request.Request(f"{self.root}/{path}", json.dumps(body).encode() if body is not None else None, {"Authorization": f"Bearer {self.api_key}", "Content-Type": "application/json"})
+            return self.send(url, body)
+        headers = {"Authorization": f"Bearer {self.api_key}", "Content-Type": "application/json"}
         try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as response:
+            with urllib.request.urlopen(urllib.request.Request(url, body and json.dumps(body).encode(), headers), timeout=self.timeout) as response:
                 return json.load(response)
         except (urllib.error.URLError, OSError, ValueError) as e:
-            raise ClientError(f"{path}: {e}") from e
+            raise ClientError(f"{what}: {e}") from e
 
-    def models(self) -> list[str]:
-        return [str(m["id"]) for m in self._call("models", None).get("data", []) if m.get("id")]
+    def asked(self, messages: list[dict], schema: dict, seed: int | None) -> tuple[str, str]:
+        refusals = {}
+        for mode in self.modes:
+            request = self.payload(messages, schema, seed, mode)
+            try:
+                return _content(self._exchange("chat/completions", request)), mode
+            except NoContent:
+                raise
+            except ClientError as e:
+                refusals[mode] = e
+        raise ClientError("; ".join(f"{mode}: {e}" for mode, e in refusals.items()))
 
-    def preflight(self) -> dict:
-        """Whether the server can be reached and serves the model."""
-        try:
-            hosted = self.models()
-        except ClientError as e:
-            return {"server_reachable": False, "model_resolved": False, "hosted_models": [], "error": str(e), "ready": False}
-        ok = self.model in hosted
-        return {"server_reachable": True, "model_resolved": ok, "hosted_models": hosted, "error": None if ok else f"{self.model} is not served", "ready": ok}
-
-    def probe(self, schema: dict) -> tuple[bool, str | None]:
-        """Whether the server answers one small request."""
+    def answer(self, messages: list[dict], schema: dict, seed: int | None) -> str:
+        return self.asked(messages, schema, seed)[0]
+
+    def preflight(self, schema: dict | None = None) -> dict:
+        """Whether the server can be reached, serves the model and, if a schema is given, answers one small request by it."""
+        facts: dict = {"server_reachable": False, "model_resolved": False, "hosted_models": [], "structured_output": None, "error": None}
         try:
-            self.answer([{"role": "user", "content": 'Answer {"source": "", "targets": [], "event_type": "other"}.'}], schema, 0)
-        except ClientError as e:
-            return False, str(e)
-        return True, None
+            hosted = [str(m["id"]) for m in self._exchange("models").get("data", []) if m.get("id")]
+            facts |= {"server_reachable": True, "hosted_models": hosted, "model_resolved": self.model in hosted}
+            if not facts["model_resolved"]:
+                facts["error"] = f"{self.model} is not served"
+            elif schema is not None:
+                facts["structured_output"] = False
+                decode(repaired(self.answer(PROBE, schema, 0)))
+                facts["structured_output"] = True
+        except (ClientError, DecodeError) as e:
+            facts["error"] = str(e)
+        return facts | {"ready": facts["error"] is None}
 
-    def answer(self, messages: list[dict], schema: dict, seed: int | None) -> str:
-        failed = []
-        for mode in ("structured_outputs", "guided_json") if self.mode == "auto" else (self.mode,):
-            try:
-                body = self._call("chat/completions", self.payload(messages, schema, seed, mode))
-            except ClientError as e:
-                failed.append(f"{mode}: {e}")
-                continue
-            if not body.get("choices"):
-                raise ClientError("the server made no choice")
-            content = body["choices"][0].get("message", {}).get("content", "")
-            if isinstance(content, list):
-                content = "".join(str(c.get("text", "")) for c in content if isinstance(c, dict))
-            if not isinstance(content, str):
-                raise ClientError(f"content of type {type(content).__name__}")
-            return content
-        raise ClientError("; ".join(failed) or "no request was made")
+
+class NoContent(ClientError):
+    """The server answered, but not with a text: asking in another mode is of no use."""
+
+
+def _content(body: dict) -> str:
+    """The text of the first choice; parts are joined."""
+    try:
+        found = body["choices"][0].get("message", {}).get("content", "")
+    except (KeyError, IndexError) as e:
+        raise NoContent("the server made no choice") from e
+    parts = [p.get("text", "") for p in found if isinstance(p, dict)] if isinstance(found, list) else [found]
+    if not all(isinstance(p, str) for p in parts):
+        raise NoContent(f"content of type {type(found).__name__}")
+    return "".join(parts)
 
 
 def with_answers(rows: DataFrame, client: Client, schema: dict) -> DataFrame:
-    """Adds raw_content, client_error and client_message to rows with prompt and row_seed. One row's failure is that row's; each partition has a
+    """Adds raw_content, request_mode, client_error and client_message to rows with prompt and row_seed. One row's failure is that row's; each partition has a
     client of its own and rows are answered in batches as they come."""
     names = rows.columns
 
@@ -259,13 +286,13 @@ def with_answers(rows: DataFrame, client: Client, schema: dict) -> DataFrame:
             out = []
             for prompt, seed in zip(frame["prompt"], frame["row_seed"], strict=True):
                 try:
-                    out.append((client.answer([dict(m) if isinstance(m, dict) else m.asDict() for m in prompt], schema, int(seed)), None, None))
+                    out.append((*client.asked([dict(m) if isinstance(m, dict) else m.asDict() for m in prompt], schema, int(seed)), None, None))
                 except Exception as e:  # whatever goes wrong with a row is recorded with it
-                    out.append((None, type(e).__name__, str(e)))
-            yield pd.concat([frame[names].reset_index(drop=True), pd.DataFrame(out, columns=["raw_content", "client_error", "client_message"], dtype=object)], axis=1)
+                    out.append((None, None, type(e).__name__, str(e)))
+            yield pd.concat([frame[names].reset_index(drop=True), pd.DataFrame(out, columns=["raw_content", "request_mode", "client_error", "client_message"], dtype=object)], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(ask, f"{fields}, raw_content string, client_error string, client_message string")
+    return rows.mapInPandas(ask, f"{fields}, raw_content string, request_mode string, client_error string, client_message string")
 
 
 def with_mock_answers(rows: DataFrame, targets: tuple[str, ...] = MOCK_TARGETS, events: tuple[str, ...] = MOCK_EVENTS, failing: list[str] | None = None) -> DataFrame:
@@ -274,8 +301,8 @@ def with_mock_answers(rows: DataFrame, targets: tuple[str, ...] = MOCK_TARGETS,
     pick = lambda values, shift=0: F.element_at(F.array(*map(F.lit, values)), ((F.col("row_seed") + shift) % len(values) + 1).cast("int"))
     source = F.coalesce(text.optional("source_company_name"), text.optional("source_ticker"), F.lit(""))
     body = F.to_json(F.struct(source.alias("source"), F.array_distinct(F.array(pick(targets), pick(targets, 1))).alias("targets"), pick(events).alias("event_type")))
-    fails = F.col("news_id").isin(failing) if failing else F.lit(False)
-    return rows.withColumns({"raw_content": F.when(~fails, body), "client_error": F.when(fails, "ClientError"), "client_message": F.when(fails, F.concat(F.lit("mock failure of "), F.col("news_id")))})
+    fails = F.coalesce(F.col("news_id").isin(failing), F.lit(False)) if failing else F.lit(False)
+    return rows.withColumns({"raw_content": F.when(~fails, body), "request_mode": F.when(~fails, "mock"), "client_error": F.when(fails, "ClientError"), "client_message": F.when(fails, F.concat(F.lit("mock failure of "), F.col("news_id")))})
 
 
 class Extraction(NamedTuple):
@@ -292,32 +319,46 @@ class ExtractConfig:
 
 
 def extraction(answered: DataFrame, aliases: DataFrame, config: ExtractConfig | None = None) -> DataFrame:
-    """One row for each answered row, with status success or failed, the decoded fields, resolved targets and counts. The tables of
-    split() are selections of it: store it before splitting."""
+    """One row for each answered row with all columns of the tables of split(), which are selections of it: store it before splitting. A row's
+    cutoff is its own date; flags that the news lack are false."""
     config = config or ExtractConfig()
     rows = with_decoded(answered, repair=config.repair)
-    error, message = F.coalesce("client_error", "decoded.error_type"), F.coalesce("client_message", "decoded.error_message")
+    has = lambda c, kind: F.col(c).cast(kind) if c in answered.columns else F.lit(None).cast(kind)
+    error, body = F.coalesce("client_error", "decoded.error_type"), text.or_empty("raw_content")
+    good = error.isNull()
     rows = rows.withColumns(
         {
             "run_mode": F.lit(config.run_mode),
-            "error_type": error,
-            "error_message": message,
-            "status": F.when(error.isNull(), "success").otherwise("failed"),
+            "request_mode": text.or_empty("request_mode"),
+            "raw_content": body,
+            "raw_content_sha256": F.when(body == "", "").otherwise(text.digest(body)),
+            "repaired_content": F.when(good, F.col("decoded.repaired")).otherwise(""),
+            "response_repaired": good & (F.col("decoded.repaired") != text.strip(body)),
+            "error_type": F.coalesce(error, F.lit("")),
+            "error_message": F.coalesce("client_message", "decoded.error_message", F.lit("")),
+            "status": F.when(good, "success").otherwise("failed"),
             "extracted_source": F.col("decoded.source"),
             "extracted_targets": F.coalesce("decoded.targets", F.array().cast("array<string>")),
-            "event_type": F.col("decoded.event_type"),
+            "extracted_event_type": F.col("decoded.event_type"),
             "cutoff_date": F.col("published_date"),
-            "prompt_sha256": text.digest(F.to_json("prompt")) if "prompt" in answered.columns else F.lit(None).cast("string"),
+            "seed": F.col("row_seed"),
+            "source_ticker": text.strip(text.or_empty("source_ticker")),
+            "source_company_name": F.coalesce(text.strip(has("source_company_name", "string")), F.lit("")),
+            "is_warmup": F.coalesce(has("is_warmup", "boolean"), F.lit(False)),
+            "in_evaluation_window": F.coalesce(has("in_evaluation_window", "boolean"), F.lit(False)),
+            "processed_at_utc": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"),
         }
     ).drop("decoded", "client_error", "client_message")
     out = resolve.resolved_lists(rows, aliases, config.resolver)
-    n = F.size("extracted_targets")
-    return out.withColumns({"is_valid_source": F.col("extracted_source").isNotNull(), "has_valid_targets": n > 0, "valid_target_count": n.cast("long"), "resolved_target_count": F.size("resolved_target_tickers").cast("long")})
+    n, m = F.size("extracted_targets"), F.size("resolved_target_tickers")
+    return out.withColumns({"is_valid_source": F.col("extracted_source").isNotNull(), "has_valid_targets": n > 0, "valid_target_count": n.cast("long"), "resolved_target_count": m.cast("long"), "has_resolved_targets": m > 0})
+
+
+def shaped(rows: DataFrame, columns: str) -> DataFrame:
+    """rows with exactly these columns and types, in order; a missing one is an error."""
+    return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in (c.split(" ") for c in columns.split(", "))])
 
 
 def split(rows: DataFrame) -> Extraction:
-    """Raw answers of all rows, parsed rows of the successful ones, and failures."""
-    has = lambda names: [c for c in names if c in rows.columns]
-    common = has(["news_id", "shard_id", "batch_id", "run_mode", "row_seed", "published_date", "source_ticker"])
-    parsed = [*common, *has(["is_mapped", "cutoff_date", "extracted_source", "extracted_targets", "event_type", "is_valid_source", "has_valid_targets", "valid_target_count", "resolved_target_tickers", "unresolved_targets", "resolved_target_count", "self_loops_dropped"])]
-    return Extraction(rows.select(*common, "status", "raw_content", "prompt_sha256"), rows.where("status = 'success'").select(*parsed), rows.where("status = 'failed'").select(*common, "error_type", "error_message"))
+    """Raw answers of all rows, parsed rows of the successful ones, and failures, with the columns of RAW, PARSED and FAILURES."""
+    return Extraction(shaped(rows, RAW), shaped(rows.where("status = 'success'"), PARSED), shaped(rows.where("status = 'failed'"), FAILURES))

@@ -24,10 +24,10 @@ RAW_COLUMNS = {
 TITLE_CHARS = 50
 
 
-def standardized(raw: DataFrame, source_file: str, source_priority: int, window: protocol.Window, row_number: str | None = None, version: str = "v1") -> DataFrame:
-    """A raw file's rows under common names, with times in UTC, provenance and period flags. row_number names a column of raw that
-    orders it; without one rows are numbered by where they were read. Rows before the warm-up, or without a date, are left out."""
-    named = raw.select(*[F.col(a).alias(b) for a, b in RAW_COLUMNS.items()], (F.col(row_number) if row_number else F.monotonically_increasing_id()).cast("long").alias("source_row_number"))
+def standardized(raw: DataFrame, source_file: str, source_priority: int, window: protocol.Window, row_number: str, version: str = "v1") -> DataFrame:
+    """A raw file's rows under common names, with times in UTC, provenance and period flags. row_number names the column of
+    raw that numbers its rows: it decides between equals, so it must not depend on how a file is read. Rows before the warm-up, or without a date, are left out."""
+    named = raw.select(*[F.col(a).alias(b) for a, b in RAW_COLUMNS.items()], F.col(row_number).cast("long").alias("source_row_number"))
     at = protocol.timestamp_utc("published_at")
     out = named.withColumn("published_at", at).withColumn("published_date", protocol.iso_date("published_at")).where(F.col("published_date") >= window.warmup_start)
     bodies = ["body", *text.SUMMARIES]

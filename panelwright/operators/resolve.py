@@ -52,25 +52,33 @@ def resolved(targets: DataFrame, aliases: DataFrame, config: ResolverConfig | No
     return out.drop("__norm", "__k", "__tk", "__t", "__an", "companies", "__a")
 
 
-def resolved_lists(parsed: DataFrame, aliases: DataFrame, config: ResolverConfig | None = None, row_key: str = "news_id") -> DataFrame:
-    """Adds to parsed (with extracted_targets and source_ticker) the ordered lists resolved_target_tickers and unresolved_targets, and
-    self_loops_dropped."""
+#: What target_resolution_json tells of each target.
+RESOLUTION = ("input_target", "normalized_target", "status", "is_resolved", "resolved_ticker", "resolved_price_ticker", "resolved_company_name", "match_type")
+
+
+def resolved_lists(parsed: DataFrame, aliases: DataFrame, config: ResolverConfig | None = None) -> DataFrame:
+    """Adds to parsed (with extracted_targets and source_ticker) the ordered lists resolved_target_tickers and unresolved_targets,
+    self_loop_targets_dropped and target_resolution_json. Each row has its own targets, however often its id is there; null and empty lists give empty ones.
+
+    Targets travel with their row, so the lists are put together by one aggregate and not by a join back."""
     config = config or ResolverConfig()
-    each = parsed.select(row_key, F.col("source_ticker").alias("__s"), F.posexplode("extracted_targets").alias("pos", "target"))
-    rows = resolved(each, aliases, config).groupBy(row_key).agg(F.first("__s").alias("__s"), F.array_sort(F.collect_list(F.struct("pos", "status", "resolved_ticker", "input_target"))).alias("r"))
-    tickers = F.array_distinct(F.transform(F.filter("r", lambda x: x["status"] == "resolved"), lambda x: x["resolved_ticker"]))
-    kept = F.filter(tickers, lambda t: t != text.or_empty("__s")) if config.drop_self_loops else tickers
-    missed = F.array_distinct(F.transform(F.filter("r", lambda x: x["status"].isin("unresolved", "ambiguous")), lambda x: x["input_target"]))
-    lists = rows.select(row_key, kept.alias("__kept"), missed.alias("__missed"), (F.size(tickers) - F.size(kept)).cast("long").alias("__loops"))
-    none = F.array().cast("array<string>")
-    out = parsed.join(lists, row_key, "left")
-    return out.withColumns({"resolved_target_tickers": F.coalesce("__kept", none), "unresolved_targets": F.coalesce("__missed", none), "self_loops_dropped": F.coalesce("__loops", F.lit(0))}).drop("__kept", "__missed", "__loops")
+    names = parsed.columns
+    rows = parsed.select(F.monotonically_increasing_id().alias("__row_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    each = rows.select("__row_id", "__row", F.posexplode_outer("__row.extracted_targets").alias("__pos", "target"))
+    found = resolved(each, aliases, config).groupBy("__row_id").agg(F.first("__row").alias("__row"), F.array_sort(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", *RESOLUTION)))).alias("__r"))
+    tickers = F.array_distinct(F.transform(F.filter("__r", lambda x: x["status"] == "resolved"), lambda x: x["resolved_ticker"]))
+    source = text.or_empty("__row.source_ticker")
+    kept = F.filter(tickers, lambda t: t != source) if config.drop_self_loops else tickers
+    missed = F.array_distinct(F.transform(F.filter("__r", lambda x: x["status"].isin("unresolved", "ambiguous")), lambda x: x["input_target"]))
+    told = F.to_json(F.transform("__r", lambda x: F.struct(*[x[c].alias(c) for c in RESOLUTION])))
+    return found.select("__row.*", kept.alias("resolved_target_tickers"), missed.alias("unresolved_targets"), (F.size(tickers) - F.size(kept)).cast("long").alias("self_loop_targets_dropped"), told.alias("target_resolution_json"))
 
 
-EDGE_COLUMNS = ["news_id", "published_date", "source_ticker", "target_ticker", "event_type", "shard_id", "batch_id", "run_mode", "seed", "cutoff_date", "is_mapped"]
+#: Columns of event edges, in order (fixed values).
+EDGES = "news_id string, published_date string, cutoff_date string, is_warmup boolean, in_evaluation_window boolean, source_ticker string, target_ticker string, event_type string, shard_id string, batch_id long, run_mode string"
 
 
 def edges(parsed: DataFrame) -> DataFrame:
-    """A directed edge from each row's company to each of its resolved targets; null and blank ones are none."""
-    out = parsed.withColumn("target_ticker", F.explode("resolved_target_tickers")).where("target_ticker is not null and target_ticker <> ''")
-    return out.select(*[c for c in EDGE_COLUMNS if c in out.columns])
+    """A directed edge from each row's company to each of its resolved targets, with the columns of EDGES; null and blank targets are none."""
+    out = parsed.withColumn("target_ticker", F.explode("resolved_target_tickers")).where("target_ticker is not null and target_ticker <> ''").withColumn("event_type", F.col("extracted_event_type"))
+    return out.select(*[F.col(name).cast(kind).alias(name) for name, kind in (c.split(" ") for c in EDGES.split(", "))])

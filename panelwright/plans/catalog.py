@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import protocol, text
 from panelwright.operators import aliases, evaluate, extract, graphs, guards, normalize, panel, resolve, sampling, shards
 
-from .oracle import SQL
+from .oracle import MOCKED, SQL
 from .testdata import SPLITS, WINDOW, Tables
 
 LEGACY = {"OLD1": "P1", " ": "P2"}
@@ -31,7 +31,8 @@ def _listed(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _extraction(t: Tables) -> DataFrame:
-    rows = shards.planned(_mapped(t), RUN)
+    day = F.col("published_date")
+    rows = shards.planned(_mapped(t), RUN).withColumns({"is_warmup": protocol.is_warmup(day, WINDOW), "in_evaluation_window": protocol.in_evaluation(day, WINDOW)})
     return extract.extraction(extract.with_mock_answers(rows, RUN.mock_targets, RUN.mock_events, RUN.failing), _alias_table(t))
 
 
@@ -97,16 +98,71 @@ def _map_news(t: Tables) -> DataFrame:
     return out.select("news_id", "source_ticker", "mapping_method", "source_price_ticker", "source_company_name", "mapping_confidence", "is_mapped")
 
 
-def _feasibility(t: Tables) -> DataFrame:
+def _feasibility(t: Tables, targets: tuple[str, ...]) -> DataFrame:
     m = _mapped(t)
     sample = sampling.bottom_k(sampling.eligible(m, "1996-01-01", "1996-12-31"), 100, 7)
-    rows = extract.with_mock_answers(sampling.head_with_seeds(sample, 100, 7), RUN.mock_targets, RUN.mock_events)
+    rows = extract.with_mock_answers(sampling.head_with_seeds(sample, 100, 7), targets, RUN.mock_events)
     d = extract.with_decoded(rows, repair=False).select("news_id", "published_date", F.col("decoded.source").alias("source"), F.col("decoded.targets").alias("targets"))
     n = F.size("targets")
     counted = sampling.candidate_counts(m, ("1995-01-01", "1995-12-31"), ("1996-01-01", "1996-12-31"))
     return sampling.feasibility(d.withColumns({"is_valid_source": F.col("source").isNotNull(), "has_valid_targets": n > 0, "valid_target_count": n}), counted)
 
 
+def _feasibilities(t: Tables) -> DataFrame:
+    """Of mock answers that pass the gate, and of some that do not."""
+    good, bad = (_feasibility(t, targets) for targets in MOCKED)
+    return good.unionByName(bad)
+
+
+def _raw_news(t: Tables) -> DataFrame:
+    """Orders as rows of a raw news file, some with junk for a date."""
+    n = F.col("o_orderkey")
+    made = {
+        "Date": F.when(n % 13 == 0, "junk").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 10:00:00 UTC"))),
+        "Article_title": F.concat(F.lit("T "), F.col("o_orderpriority")),
+        "Article": F.when(n % 5 == 0, " ").otherwise("body"),
+        "Lsa_summary": F.when(n % 7 == 0, "sum"),
+    }
+    return t.raw("orders").select(n.alias("line"), *[made.get(c, F.lit(None)).cast("string").alias(c) for c in normalize.RAW_COLUMNS])
+
+
+def _standardized(t: Tables) -> DataFrame:
+    out = normalize.standardized(_raw_news(t), "a.csv", 2, WINDOW, "line")
+    return out.select("source_row_number", "published_date", "title", "has_content", "is_warmup", "in_evaluation_window", "source_file", "source_priority", "version")
+
+
+def _listed_members(t: Tables) -> DataFrame:
+    i = F.col("p_partkey")
+    added = F.when(i % 9 == 0, F.lit(None)).when(i % 7 == 0, "no date").otherwise(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (i * 17 % 4000).cast("int")), "yyyy-MM-dd"))
+    return normalize.listed_by(t.raw("part").select(i.alias("member"), added.alias("date_added")), "1998-06-30").select("member")
+
+
+def _order_days(t: Tables) -> DataFrame:
+    return t.raw("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("1994-01-01").alias("from_day"))
+
+
+def _without_summaries(news: DataFrame) -> DataFrame:
+    return news.withColumns({c: F.lit(None).cast("string") for c in text.SUMMARIES})
+
+
+def _messages(t: Tables) -> DataFrame:
+    parts = F.split(F.element_at("prompt", 2)["content"], "\nEvent types: [^\n]*\n\n", 2)
+    return extract.with_prompt(_without_summaries(_mapped(t))).select("news_id", F.array_join("prompt.role", "|").alias("roles"), F.element_at(parts, 1).alias("begins"), F.element_at(parts, 2).alias("ends"))
+
+
+def _empty_answers(t: Tables) -> DataFrame:
+    rows = extract.with_prompt(_without_summaries(shards.planned(_mapped(t), RUN)))
+    answered = extract.with_answers(rows, extract.EmptyClient(), extract.answer_schema())
+    return extract.extraction(answered, _alias_table(t)).select("news_id", "status", "extracted_source", "has_valid_targets", "request_mode", "raw_content_sha256")
+
+
+def _ordered_names(t: Tables) -> DataFrame:
+    i = F.col("o_custkey")
+    b, a = (F.concat(F.lit(x), (i % n).cast("string")) for x, n in (("b", 3), ("a", 2)))
+    values = F.array(F.concat(F.lit(" "), b), F.when(i % 2 == 1, a), F.lit(" "), b, F.concat(F.when(i % 2 == 1, a).otherwise(b), F.lit(" ")))
+    return t.raw("orders").select(i).distinct().select("o_custkey", F.array_join(text.distinct_texts(values), "|").alias("names"))
+
+
 def _lineage(t: Tables) -> DataFrame:
     up = t.news()
     sample = sampling.bottom_k(up, 200, 7).withColumn("title", F.when(F.substring("news_id", -1, 1) == "3", "other").otherwise(F.col("title"))).withColumn("news_id", F.when(F.substring("news_id", -2, 2) == "17", F.concat("news_id", F.lit("x"))).otherwise(F.col("news_id")))
@@ -115,13 +171,13 @@ def _lineage(t: Tables) -> DataFrame:
 
 def _self_loops(t: Tables) -> DataFrame:
     rows = shards.planned(_mapped(t), RUN).select("news_id", "source_ticker", F.when(F.col("row_number") % 2 == 0, F.array(F.lower("source_ticker"), F.lit("Supplier#000000001"), F.lit("P5"))).otherwise(F.array(F.lit("p5"))).alias("extracted_targets"))
-    return _listed(resolve.resolved_lists(rows, _alias_table(t)), "resolved_target_tickers").select("news_id", "resolved_target_tickers", "self_loops_dropped")
+    return _listed(resolve.resolved_lists(rows, _alias_table(t)), "resolved_target_tickers").select("news_id", "resolved_target_tickers", F.col("self_loop_targets_dropped").alias("self_loops_dropped"))
 
 
 def _checkpoint(t: Tables) -> DataFrame:
     rows = shards.planned(_mapped(t), RUN)
     results = _extraction(t).where("shard_id <> '1996-03' and not (shard_id = '1996-01' and batch_id > 1)")
-    return shards.checkpoint(rows, results, protocol.months(t.spark, RUN.start, RUN.end))
+    return shards.checkpoint(rows, results, protocol.months(t.spark, RUN.start, RUN.end)).drop("started_at", "finished_at")
 
 
 def _resume(t: Tables) -> DataFrame:
@@ -178,8 +234,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "sample_bottom_k": lambda t: sampling.bottom_k(sampling.eligible(_mapped(t), "1996-01-01", "1996-12-31"), 100, 7).select("news_id", "published_date"),
     "monthly_histogram": lambda t: sampling.monthly_histogram(_mapped(t), "1995-01-01", "1996-12-31"),
     "warmup_official_counts": lambda t: sampling.candidate_counts(_mapped(t), ("1995-01-01", "1995-12-31"), ("1996-01-01", "1996-12-31")),
-    "feasibility_metrics": _feasibility,
-    "stage_gate": lambda t: sampling.gate(_feasibility(t)).select("source_mapping_ratio", "valid_target_ratio", "can_enter"),
+    "feasibility_metrics": _feasibilities,
+    "stage_gate": lambda t: sampling.gate(_feasibilities(t)).select("source_mapping_ratio", "valid_target_ratio", "can_enter"),
     "lineage_check": _lineage,
     "coverage_ratios": lambda t: sampling.coverage(_mapped(t)),
     "yearly_counts": lambda t: sampling.yearly(_mapped(t)),
@@ -189,9 +245,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "json_decode": _json,
     "shard_batches": lambda t: shards.planned(_mapped(t), RUN).select("news_id", "shard_id", "row_number", "batch_id", "row_seed"),
     "shard_plan": lambda t: shards.plan_counts(_mapped(t), RUN),
-    "mock_extract": lambda t: _listed(_extraction(t), "extracted_targets", "resolved_target_tickers", "unresolved_targets").select("news_id", "status", "extracted_source", "extracted_targets", "event_type", "resolved_target_tickers", "unresolved_targets"),
-    "mock_failures": lambda t: extract.split(_extraction(t)).failures.select("news_id", "shard_id", "error_type", "error_message"),
-    "edges": lambda t: resolve.edges(extract.split(_extraction(t)).parsed).select("news_id", "published_date", "source_ticker", "target_ticker", "event_type"),
+    "mock_extract": lambda t: _listed(_extraction(t), "extracted_targets", "resolved_target_tickers", "unresolved_targets").select("news_id", "status", "extracted_source", "extracted_targets", F.col("extracted_event_type").alias("event_type"), "resolved_target_tickers", "unresolved_targets", "seed", "request_mode", "raw_content_sha256", "response_repaired", "resolved_target_count", "has_resolved_targets", "self_loop_targets_dropped"),
+    "mock_failures": lambda t: extract.split(_extraction(t)).failures,
+    "edges": lambda t: resolve.edges(extract.split(_extraction(t)).parsed),
     "self_loop_drop": _self_loops,
     "checkpoint_shards": _checkpoint,
     "checkpoint_totals": lambda t: shards.totals(_checkpoint(t)),
@@ -205,6 +261,17 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "rank_ic": lambda t: evaluate.information(_scores(t)),
     "rank_ic_summary": lambda t: evaluate.information_summary(evaluate.information(_scores(t)).withColumn("year", F.substring("date", 1, 4)), ["year"]),
     "topk_portfolio": lambda t: evaluate.portfolio(_scores(t), 5),
+    "news_standardized": _standardized,
+    "universe_listed": _listed_members,
+    "guard_bounds": lambda t: guards.counts(_order_days(t), [guards.not_after("day", "1998-01-01", allow_equal=False), guards.not_before("day", "1993-06-01"), guards.relation("day", "from_day", ">=")]),
+    "cutoff_filter": lambda t: guards.up_to(_order_days(t), "day", "1996-06-30").select("o_orderkey", (F.col("day") < "1996-06-30").alias("before_the_day")),
+    "guard_features": lambda t: guards.counts(panel.features(t.prices(), t.index()), guards.feature_rules("1999-12-31")),
+    "guard_samples": lambda t: guards.counts(_samples(t), guards.sample_rules("2000-06-30", "1997-01-01")),
+    "feature_window_ends": lambda t: panel.features(t.prices(), t.index()).select("as_of_date", "ticker", "feature_window_end_date"),
+    "sample_seeds": lambda t: sampling.head_with_seeds(sampling.eligible(_mapped(t), "1996-01-01", "1996-12-31"), 50, 7, 1000).select("news_id", "row_seed"),
+    "prompt_messages": _messages,
+    "empty_answers": _empty_answers,
+    "ordered_names": _ordered_names,
     "portfolio_performance": lambda t: evaluate.performance(evaluate.portfolio(_scores(t), 5)),
 }
 

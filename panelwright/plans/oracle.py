@@ -73,17 +73,19 @@ aliases AS (SELECT ticker, price_ticker, company_name, cik, alias, alias_normali
 PLAN = """planned AS (SELECT *, rn // 16 AS batch_id, 7 + rn AS row_seed FROM (
   SELECT *, substr(published_date, 1, 7) AS shard_id, row_number() OVER (PARTITION BY substr(published_date, 1, 7) ORDER BY published_date, news_id) - 1 AS rn
   FROM mapped WHERE is_mapped AND source_ticker <> '' AND published_date BETWEEN '1995-01-01' AND '2001-12-31'))"""
-#: Both mock targets of each row, found by name; s2 is a ticker, the numbered names are aliases, nobody is neither.
-MOCK = """mock AS (SELECT *, ['Supplier#000000001', 's2', 'Supplier#000000003', 'nobody'][row_seed % 4 + 1] AS t1, ['Supplier#000000001', 's2', 'Supplier#000000003', 'nobody'][(row_seed + 1) % 4 + 1] AS t2,
-  ['partnership', 'other', 'product_launch'][row_seed % 3 + 1] AS event_type, news_id IN ('n17', 'n33', 'n400') AS failed FROM planned),
-found AS (SELECT *, CASE t1 WHEN 's2' THEN 'S2' WHEN 'nobody' THEN '' WHEN 'Supplier#000000001' THEN 'S1' ELSE 'S3' END AS r1, CASE t2 WHEN 's2' THEN 'S2' WHEN 'nobody' THEN '' WHEN 'Supplier#000000001' THEN 'S1' ELSE 'S3' END AS r2 FROM mock)"""
+#: Both mock targets of each row, and what the aliases say of them: a known ticker goes before a name that one company has.
+MOCK = f"""mock AS (SELECT *, ['Supplier#000000001', 's2', 'Supplier#000000003', 'nobody'][row_seed % 4 + 1] AS t1, ['Supplier#000000001', 's2', 'Supplier#000000003', 'nobody'][(row_seed + 1) % 4 + 1] AS t2,
+  ['partnership', 'other', 'product_launch'][row_seed % 3 + 1] AS event_type, news_id IN ('n17', 'n33', 'n400') AS failed, {_W.format("published_date")} AS is_warmup, {_E.format("published_date")} AS in_evaluation_window FROM planned),
+one_of AS (SELECT alias_normalized AS a, min(ticker) AS ticker FROM aliases WHERE alias_type <> 'ticker' AND length(alias_normalized) >= 4 GROUP BY 1 HAVING count(DISTINCT ticker) = 1),
+names AS (SELECT n.t, coalesce(max(u.ticker), max(o.ticker), '') AS r FROM (SELECT t1 AS t FROM mock UNION SELECT t2 FROM mock) n LEFT JOIN uni u ON upper(u.ticker) = upper(n.t) LEFT JOIN one_of o ON o.a = {_norm("n.t")} GROUP BY n.t),
+found AS (SELECT m.*, a.r AS r1, b.r AS r2, list_distinct([x FOR x IN [a.r, b.r] IF x <> '']) AS rs, coalesce(nullif(source_company_name, ''), source_ticker) AS src FROM mock m JOIN names a ON a.t = t1 JOIN names b ON b.t = t2)"""
 _M = _with(UNI, NEWS, MAPPED)
 _F = _with(TICKS, PX, IX, MKT, RET, FEAT)
-_CHECK = """results AS (SELECT * FROM mock WHERE shard_id <> '1996-03' AND NOT (shard_id = '1996-01' AND batch_id > 1)),
+_CHECK = """results AS (SELECT *, len([x FOR x IN rs IF x <> source_ticker]) AS k FROM found WHERE shard_id <> '1996-03' AND NOT (shard_id = '1996-01' AND batch_id > 1)),
 months AS (SELECT strftime(m, '%Y-%m') AS shard_id FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m)),
-state AS (SELECT m.shard_id, coalesce(p.n, 0) AS rows, coalesce(p.b, 0) AS batches, coalesce(r.n, 0) AS processed, coalesce(r.s, 0) AS success, coalesce(r.f, 0) AS failure, coalesce(r.b, 0) AS batches_done
+state AS (SELECT m.shard_id, coalesce(p.n, 0) AS rows, coalesce(p.b, 0) AS batches, coalesce(r.n, 0) AS processed, coalesce(r.s, 0) AS success, coalesce(r.f, 0) AS failure, coalesce(r.b, 0) AS batches_done, coalesce(r.e, 0) AS resolved_edge_count, r.l AS last_batch
   FROM months m LEFT JOIN (SELECT shard_id, count(*) AS n, count(DISTINCT batch_id) AS b FROM planned GROUP BY 1) p USING (shard_id)
-  LEFT JOIN (SELECT shard_id, count(*) AS n, count(*) FILTER (NOT failed) AS s, count(*) FILTER (failed) AS f, count(DISTINCT batch_id) AS b FROM results GROUP BY 1) r USING (shard_id)),
+  LEFT JOIN (SELECT shard_id, count(*) AS n, count(*) FILTER (NOT failed) AS s, count(*) FILTER (failed) AS f, count(DISTINCT batch_id) AS b, CAST(sum(CASE WHEN failed THEN 0 ELSE k END) AS BIGINT) AS e, max(batch_id) AS l FROM results GROUP BY 1) r USING (shard_id)),
 checked AS (SELECT *, CASE WHEN rows = processed THEN 'completed' WHEN processed > 0 THEN 'partial' ELSE 'pending' END AS state FROM state)"""
 EV = """ev AS (SELECT strftime(ts, '%Y-%m-%d') AS published_date, 'U' || (user_id % 20) AS s, 'U' || ((user_id * 7 + event_id) % 40) AS t FROM events),
 cal AS (SELECT date, row_number() OVER (ORDER BY date) AS day FROM (SELECT DISTINCT published_date AS date FROM ev) WHERE substr(date, 9, 2) NOT IN ('06', '07', '13', '14')),
@@ -96,12 +98,24 @@ def _graph(weight: str, k: int) -> str:
 graph AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_date, source_ticker ORDER BY weight DESC, target_ticker) AS rank FROM weights) WHERE rank <= {k})"""
 
 
-FEASIBLE = """cand AS (SELECT * FROM mapped WHERE is_mapped AND published_date BETWEEN '1996-01-01' AND '1996-12-31'),
+def _feasible(*targets: str) -> str:
+    values = "[" + ", ".join(f"'{t}'" for t in targets) + "]"
+    return f"""cand AS (SELECT * FROM mapped WHERE is_mapped AND published_date BETWEEN '1996-01-01' AND '1996-12-31'),
 smp AS (SELECT *, 7 + row_number() OVER (ORDER BY published_date, news_id) - 1 AS row_seed FROM (SELECT * FROM cand ORDER BY sha256('7:' || news_id), news_id LIMIT 100)),
-res AS (SELECT substr(published_date, 1, 7) AS m, CASE WHEN source_company_name <> '' THEN source_company_name ELSE source_ticker END AS source, row_seed % 4 AS a, (row_seed + 1) % 4 AS b FROM smp),
-deg AS (SELECT m, source, count(DISTINCT x) AS d FROM (SELECT m, source, a AS x FROM res UNION ALL SELECT m, source, b FROM res) GROUP BY ALL),
-feas AS (SELECT (SELECT count(*) FROM res) AS processed_rows, 1.0 AS source_mapping_ratio, 1.0 AS valid_target_ratio, 2.0 AS avg_valid_target_count, round((SELECT avg(d) FROM deg), 6) AS monthly_avg_out_degree,
-  round((SELECT count(*) FROM cand) / 12, 6) AS news_density, (SELECT count(DISTINCT source) FROM res) AS active_source_nodes, 'sufficient' AS coverage_conclusion)"""
+res AS (SELECT substr(published_date, 1, 7) AS m, trim(coalesce(nullif(source_company_name, ''), source_ticker, '')) AS source,
+  list_distinct([x FOR x IN [trim({values}[row_seed % {len(targets)} + 1]), trim({values}[(row_seed + 1) % {len(targets)} + 1])] IF x <> '']) AS ts FROM smp),
+deg AS (SELECT m, source, count(DISTINCT x) AS d FROM (SELECT m, source, unnest(ts) AS x FROM res WHERE source <> '') GROUP BY ALL),
+feas AS (SELECT count(*) AS processed_rows, round(avg(CASE WHEN source <> '' THEN 1 ELSE 0 END), 6) AS source_mapping_ratio, round(avg(CASE WHEN len(ts) > 0 THEN 1 ELSE 0 END), 6) AS valid_target_ratio, round(avg(len(ts)), 6) AS avg_valid_target_count,
+  round((SELECT coalesce(avg(d), 0) FROM deg), 6) AS monthly_avg_out_degree, round((SELECT count(*) FROM cand) / 12, 6) AS news_density, count(DISTINCT CASE WHEN source <> '' AND len(ts) > 0 THEN source END) AS active_source_nodes,
+  CASE WHEN bool_or(len(ts) > 0) THEN 'sufficient' ELSE 'insufficient' END AS coverage_conclusion FROM res)"""
+
+
+def _gate(*targets: str) -> str:
+    return _with(UNI, NEWS, MAPPED, _feasible(*targets)) + "SELECT source_mapping_ratio, valid_target_ratio, source_mapping_ratio >= 0.8 AND valid_target_ratio >= 0.25 AND monthly_avg_out_degree >= 1.0 AND coverage_conclusion = 'sufficient' AS can_enter FROM feas"
+
+
+#: Mock targets of the feasibility queries: with the second ones too few rows have targets.
+MOCKED = (("Supplier#000000001", "s2", "Supplier#000000003", "nobody"), ("", " ", "", " ", "s2", "", " ", "", " ", ""))
 SCORES = "scores AS (SELECT as_of_date AS date, ticker, ret_5 AS s, label_ret_1d AS y FROM full_feat JOIN lab USING (as_of_date, ticker) WHERE feature_complete)"
 IC = """ranked AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY s) + (count(*) OVER (PARTITION BY date, s) - 1) / 2 AS rs, rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2 AS ry FROM scores),
 ics AS (SELECT date, count(*) AS n, round(CASE WHEN stddev_samp(s) * stddev_samp(y) > 0 THEN covar_samp(s, y) / (stddev_samp(s) * stddev_samp(y)) END, 6) AS ic,
@@ -152,8 +166,8 @@ SELECT count(*) FILTER (a > DATE '2000-12-31') AS r0, count(*) FILTER (e IS NULL
     "sample_bottom_k": _M + "SELECT news_id, published_date FROM mapped WHERE is_mapped AND published_date BETWEEN '1996-01-01' AND '1996-12-31' ORDER BY sha256('7:' || news_id), news_id LIMIT 100",
     "monthly_histogram": _M + "SELECT substr(published_date, 1, 7) AS month, count(*) AS n FROM mapped WHERE is_mapped AND published_date BETWEEN '1995-01-01' AND '1996-12-31' GROUP BY 1",
     "warmup_official_counts": _M + "SELECT count(*) FILTER (is_mapped AND published_date BETWEEN '1995-01-01' AND '1995-12-31') AS warmup_candidates, count(*) FILTER (is_mapped AND published_date BETWEEN '1996-01-01' AND '1996-12-31') AS official_candidates FROM mapped",
-    "feasibility_metrics": _with(UNI, NEWS, MAPPED, FEASIBLE) + "SELECT * FROM feas",
-    "stage_gate": _with(UNI, NEWS, MAPPED, FEASIBLE) + "SELECT source_mapping_ratio, valid_target_ratio, source_mapping_ratio >= 0.8 AND valid_target_ratio >= 0.25 AND monthly_avg_out_degree >= 1.0 AND coverage_conclusion = 'sufficient' AS can_enter FROM feas",
+    "feasibility_metrics": " UNION ALL ".join(f"SELECT * FROM ({_with(UNI, NEWS, MAPPED, _feasible(*x))}SELECT * FROM feas)" for x in MOCKED),
+    "stage_gate": " UNION ALL ".join(f"SELECT * FROM ({_gate(*x)})" for x in MOCKED),
     "lineage_check": _with(NEWS, """s AS (SELECT * FROM news ORDER BY sha256('7:' || news_id), news_id LIMIT 200),
 t AS (SELECT CASE WHEN news_id LIKE '%17' THEN NULL ELSE source_file END AS f, CASE WHEN news_id LIKE '%17' THEN 0 ELSE 1 END AS hit, CASE WHEN news_id LIKE '%17' OR news_id LIKE '%3' THEN 0 ELSE 1 END AS same FROM s)""") + "SELECT count(*) AS sample_rows, round(avg(hit), 6) AS match_ratio, round(avg(hit), 6) AS date_match_ratio, round(avg(same), 6) AS title_match_ratio, count(DISTINCT f) AS source_files FROM t",
     "coverage_ratios": _M + "SELECT source_file, count(*) AS n, count(*) FILTER (is_mapped) AS mapped, round(avg(CAST(is_mapped AS INT)), 6) AS mapped_ratio, round(avg(CASE WHEN trim(ticker_raw) <> '' THEN 1 ELSE 0 END), 6) AS ticker_ratio, round(avg(CASE WHEN trim(coalesce(body, '')) <> '' THEN 1 ELSE 0 END), 6) AS body_ratio FROM mapped GROUP BY 1",
@@ -161,18 +175,24 @@ t AS (SELECT CASE WHEN news_id LIKE '%17' THEN NULL ELSE source_file END AS f, C
     "news_share": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, BN, SAMPLES) + "SELECT split, count(*) AS n, round(avg(CAST(has_mapped_news AS INT)), 6) AS news_ratio, CAST(sum(mapped_news_count_1d) AS BIGINT) AS news, max(mapped_news_count_1d) AS most FROM samples GROUP BY 1",
     "news_count_distribution": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, BN, SAMPLES) + "SELECT mapped_news_count_1d, count(*) AS n FROM samples GROUP BY 1",
     "prompt_text": _with(NEWS) + "SELECT news_id, substr('Title: ' || title || CASE WHEN body IS NOT NULL THEN chr(10) || 'Body: ' || body WHEN news_id LIKE '%5' THEN chr(10) || 'Summary: summary_textrank' ELSE '' END, 1, 4000) AS article FROM news",
-    "json_decode": """SELECT event_id, CASE WHEN event_id % 6 < 3 THEN event_type END AS source, CASE WHEN event_id % 6 < 3 THEN 'A' || event_id || '|B' END AS targets, CAST(NULL AS VARCHAR) AS event_type,
-  CASE WHEN event_id % 6 >= 3 THEN 'StructuredDecodeError' END AS error_type FROM events""",
+    "json_decode": """WITH b AS (SELECT event_id, '{"source": " ' || event_type || '", "targets": ["A' || event_id || '", "", "B", "A' || event_id || '"], "event_type": ""}' AS body FROM events),
+a AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN 'Here it is: ' || body || ' as asked.' WHEN 3 THEN 'no object' WHEN 4 THEN '{"source": "x", "extra": 1}' ELSE '[1]' END AS answer FROM b),
+o AS (SELECT event_id, regexp_extract(answer, '[{].*[}]', 0, 's') AS j FROM a),
+k AS (SELECT event_id, CASE WHEN j <> '' THEN CASE WHEN len([x FOR x IN json_keys(j) IF x NOT IN ('source', 'targets', 'event_type')]) = 0 THEN j END END AS j FROM o),
+v AS (SELECT *, [trim(x) FOR x IN CAST(json_extract(j, '$.targets') AS VARCHAR[]) IF trim(x) <> ''] AS ts FROM k)
+SELECT event_id, nullif(trim(json_extract_string(j, '$.source')), '') AS source, array_to_string(list_filter(ts, lambda x, i: list_position(ts, x) = i), '|') AS targets, nullif(trim(json_extract_string(j, '$.event_type')), '') AS event_type, CASE WHEN j IS NULL THEN 'StructuredDecodeError' END AS error_type FROM v""",
     "shard_batches": _with(UNI, NEWS, MAPPED, PLAN) + "SELECT news_id, shard_id, rn AS row_number, batch_id, row_seed FROM planned",
     "shard_plan": _with(UNI, NEWS, MAPPED, PLAN, "months AS (SELECT strftime(m, '%Y-%m') AS shard_id FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m))") + "SELECT shard_id, count(news_id) AS rows, count(DISTINCT batch_id) AS batches FROM months LEFT JOIN planned USING (shard_id) GROUP BY 1",
-    "mock_extract": _with(UNI, NEWS, MAPPED, PLAN, MOCK) + """SELECT news_id, CASE WHEN failed THEN 'failed' ELSE 'success' END AS status, CASE WHEN NOT failed THEN coalesce(nullif(source_company_name, ''), source_ticker) END AS extracted_source, CASE WHEN failed THEN '' ELSE t1 || '|' || t2 END AS extracted_targets, CASE WHEN NOT failed THEN event_type END AS event_type,
-  CASE WHEN failed THEN '' ELSE array_to_string([x FOR x IN [r1, r2] IF x <> '' AND x <> source_ticker], '|') END AS resolved_target_tickers, CASE WHEN NOT failed AND (r1 = '' OR r2 = '') THEN 'nobody' ELSE '' END AS unresolved_targets FROM found""",
-    "mock_failures": _with(UNI, NEWS, MAPPED, PLAN, MOCK) + "SELECT news_id, shard_id, 'ClientError' AS error_type, 'mock failure of ' || news_id AS error_message FROM found WHERE failed",
-    "edges": _with(UNI, NEWS, MAPPED, PLAN, MOCK) + "SELECT news_id, published_date, source_ticker, r AS target_ticker, event_type FROM (SELECT *, r1 AS r FROM found UNION ALL SELECT *, r2 FROM found) WHERE NOT failed AND r <> '' AND r <> source_ticker",
+    "mock_extract": _with(UNI, NEWS, MAPPED, PLAN, ALIASES, MOCK, "kept_targets AS (SELECT *, [x FOR x IN CASE WHEN r1 = '' THEN [r2] WHEN r2 = '' OR r1 = r2 THEN [r1] ELSE [r1, r2] END IF x <> '' AND x <> source_ticker] AS k FROM found)") + """SELECT news_id, CASE WHEN failed THEN 'failed' ELSE 'success' END AS status, CASE WHEN NOT failed THEN src END AS extracted_source, CASE WHEN failed THEN '' ELSE t1 || '|' || t2 END AS extracted_targets, CASE WHEN NOT failed THEN event_type END AS event_type,
+  CASE WHEN failed THEN '' ELSE array_to_string(k, '|') END AS resolved_target_tickers, CASE WHEN failed THEN '' ELSE array_to_string([x FOR x IN [CASE WHEN r1 = '' THEN t1 END, CASE WHEN r2 = '' THEN t2 END] IF x IS NOT NULL], '|') END AS unresolved_targets, row_seed AS seed, CASE WHEN failed THEN '' ELSE 'mock' END AS request_mode,
+  CASE WHEN failed THEN '' ELSE sha256('{"source":"' || src || '","targets":["' || t1 || '","' || t2 || '"],"event_type":"' || event_type || '"}') END AS raw_content_sha256, false AS response_repaired, CAST(CASE WHEN failed THEN 0 ELSE len(k) END AS BIGINT) AS resolved_target_count,
+  NOT failed AND len(k) > 0 AS has_resolved_targets, CAST(CASE WHEN failed THEN 0 ELSE len(rs) - len(k) END AS BIGINT) AS self_loop_targets_dropped FROM kept_targets""",
+    "mock_failures": _with(UNI, NEWS, MAPPED, PLAN, ALIASES, MOCK) + "SELECT news_id, shard_id, batch_id, published_date, published_date AS cutoff_date, source_ticker, source_company_name, '' AS request_mode, '' AS raw_content_sha256, 'ClientError' AS error_type, 'mock failure of ' || news_id AS error_message, row_seed AS seed, 'mock' AS run_mode FROM found WHERE failed",
+    "edges": _with(UNI, NEWS, MAPPED, PLAN, ALIASES, MOCK) + "SELECT news_id, published_date, published_date AS cutoff_date, is_warmup, in_evaluation_window, source_ticker, target_ticker, event_type, shard_id, batch_id, 'mock' AS run_mode FROM (SELECT *, unnest(rs) AS target_ticker FROM found WHERE NOT failed) WHERE target_ticker <> source_ticker",
     "self_loop_drop": _with(UNI, NEWS, MAPPED, PLAN) + """SELECT news_id, array_to_string([x FOR x IN CASE WHEN rn % 2 = 0 AND source_ticker <> 'P5' THEN ['S1', 'P5'] WHEN rn % 2 = 0 THEN ['S1'] ELSE ['P5'] END IF x <> source_ticker], '|') AS resolved_target_tickers,
   CASE WHEN rn % 2 = 0 OR source_ticker = 'P5' THEN 1 ELSE 0 END AS self_loops_dropped FROM planned""",
-    "checkpoint_shards": _with(UNI, NEWS, MAPPED, PLAN, MOCK, _CHECK) + "SELECT * FROM checked",
-    "checkpoint_totals": _with(UNI, NEWS, MAPPED, PLAN, MOCK, _CHECK) + "SELECT count(*) AS shards, count(*) FILTER (state = 'completed') AS completed_shards, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(success) AS BIGINT) AS success, CAST(sum(failure) AS BIGINT) AS failure FROM checked",
+    "checkpoint_shards": _with(UNI, NEWS, MAPPED, PLAN, ALIASES, MOCK, _CHECK) + "SELECT * FROM checked",
+    "checkpoint_totals": _with(UNI, NEWS, MAPPED, PLAN, ALIASES, MOCK, _CHECK) + "SELECT count(*) AS shards, count(*) FILTER (state = 'completed') AS completed_shards, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(success) AS BIGINT) AS success, CAST(sum(failure) AS BIGINT) AS failure, CAST(sum(resolved_edge_count) AS BIGINT) AS edges FROM checked",
     "resume_anti_join": _with(UNI, NEWS, MAPPED, PLAN) + "SELECT news_id, shard_id, batch_id FROM planned WHERE batch_id % 2 <> 0",
     "semantic_graph_topk": _with(EV, _graph("CAST(count(*) AS DOUBLE)", 5)) + "SELECT graph_date, source_ticker, target_ticker, weight, rank FROM graph",
     "semantic_graph_decayed": _with(EV, _graph("sum(exp(-0.1 * (graph_day - day)))", 3)) + "SELECT graph_date, source_ticker, target_ticker, weight, rank FROM graph",
@@ -191,4 +211,16 @@ c AS (SELECT a.graph_date, a.ticker AS source_ticker, b.ticker AS target_ticker,
     "topk_portfolio": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, SCORES, PORTFOLIO) + "SELECT * FROM ports",
     "portfolio_performance": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, SCORES, PORTFOLIO, "p AS (SELECT *, sum(long_short) OVER (ORDER BY date) AS level FROM ports), q AS (SELECT *, greatest(max(level) OVER (ORDER BY date), 0) AS peak FROM p)")
     + "SELECT count(*) AS days, round(avg(long_short) * 252, 6) AS annual_return, round(stddev_samp(long_short) * sqrt(252.0), 6) AS annual_volatility, round(avg(long_short) / stddev_samp(long_short) * sqrt(252.0), 6) AS sharpe, round(max(peak - level), 6) AS max_drawdown FROM q",
+    "news_standardized": f"""WITH r AS (SELECT *, CASE WHEN o_orderkey % 13 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders)
+SELECT o_orderkey AS source_row_number, d AS published_date, 'T ' || o_orderpriority AS title, o_orderkey % 5 <> 0 OR o_orderkey % 7 = 0 AS has_content, {_W.format("d")} AS is_warmup, {_E.format("d")} AS in_evaluation_window, 'a.csv' AS source_file, 2 AS source_priority, 'v1' AS version FROM r WHERE d >= '1995-01-01'""",
+    "universe_listed": "SELECT p_partkey AS member FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 7 = 0 OR DATE '1990-01-01' + CAST(p_partkey * 17 % 4000 AS INTEGER) <= DATE '1998-06-30'",
+    "guard_bounds": "SELECT count(*) FILTER (NOT d < '1998-01-01') AS r0, count(*) FILTER (d < '1993-06-01') AS r1, count(*) FILTER (d IS NULL OR NOT d >= '1994-01-01') AS r2 FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)",
+    "cutoff_filter": "SELECT o_orderkey, o_orderdate < TIMESTAMP '1996-06-30' AS before_the_day FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1996-06-30'",
+    "guard_features": _with(TICKS, PX) + "SELECT count(*) FILTER (date > '1999-12-31') AS r0, 0 AS r1 FROM px",
+    "guard_samples": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, BN, SAMPLES) + "SELECT count(*) FILTER (as_of_date < '1997-01-01') AS r0, count(*) FILTER (as_of_date > '2000-06-30') AS r1, count(*) FILTER (as_of_date <> cutoff_date) AS r2, count(*) FILTER (NOT as_of_date < label_start_date) AS r3, count(*) FILTER (NOT label_start_date <= label_end_date) AS r4 FROM samples",
+    "feature_window_ends": _with(TICKS, PX) + "SELECT date AS as_of_date, ticker, date AS feature_window_end_date FROM px",
+    "sample_seeds": _M + "SELECT news_id, 7 + 1000 + row_number() OVER (ORDER BY published_date, news_id) - 1 AS row_seed FROM (SELECT * FROM mapped WHERE is_mapped AND published_date BETWEEN '1996-01-01' AND '1996-12-31' ORDER BY published_date, news_id LIMIT 50)",
+    "prompt_messages": _with(UNI, NEWS, MAPPED) + "SELECT news_id, 'system|user' AS roles, 'Date: ' || published_date || chr(10) || 'Possible source, to be checked against the article: ' || coalesce(nullif(source_company_name, ''), nullif(source_ticker, ''), 'unknown') AS begins, 'Title: ' || title || coalesce(chr(10) || 'Body: ' || body, '') AS ends FROM mapped",
+    "empty_answers": _with(UNI, NEWS, MAPPED, PLAN) + "SELECT news_id, 'success' AS status, CAST(NULL AS VARCHAR) AS extracted_source, false AS has_valid_targets, 'mock' AS request_mode, sha256('{\"source\": \"\", \"targets\": [], \"event_type\": \"\"}') AS raw_content_sha256 FROM planned",
+    "ordered_names": "SELECT o_custkey, array_to_string([x FOR x IN ['b' || o_custkey % 3, 'a' || o_custkey % 2] IF x <> 'a0'], '|') AS names FROM (SELECT DISTINCT o_custkey FROM orders)",
 }

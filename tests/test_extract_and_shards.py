@@ -53,7 +53,11 @@ def test_http_client_falls_back():
 
     c = extract.HttpClient("http://h:1/", "m", send=send)
     assert c.answer([], {"type": "object"}, 3) == '{"source": ""}' and [x[1].get("seed") for x in calls] == [3, 3] and calls[0][0] == "http://h:1/v1/chat/completions"
-    assert c.preflight()["ready"] and not extract.HttpClient("http://h/v1", "other", send=send).preflight()["ready"] and c.probe({})[0]
+    assert c.preflight()["ready"] and not extract.HttpClient("http://h/v1", "other", send=send).preflight()["ready"]
+    assert c.preflight({"type": "object"}) == {"server_reachable": True, "model_resolved": True, "hosted_models": ["m"], "structured_output": True, "error": None, "ready": True}
+    mute = extract.HttpClient("http://h", "m", send=lambda u, b: {"data": [{"id": "m"}], "choices": [{"message": {"content": "no"}}]}).preflight({})
+    assert not mute["ready"] and mute["structured_output"] is False
+    assert c.asked([], {}, 3) == ('{"source": ""}', "guided_json")
     assert c.payload([], {"a": 1}, None, "structured_outputs")["response_format"]["json_schema"]["strict"]
     with pytest.raises(ValueError):
         c.payload([], {}, 1, "other")
@@ -81,9 +85,9 @@ def test_run_and_resume(spark, world, tmp_path):
     folder = f"file://{tmp_path}/run"
     first = shards.run(spark, news, alias, folder, CONFIG)
     assert (first["shards"], first["processed"], first["success"], first["failure"]) == (5, 4, 3, 1) and first["edges"] > 0
-    assert spark.read.parquet(f"{folder}/edges").where("source_ticker = target_ticker").count() == 0
+    assert shards.table(spark, folder, "edges").where("source_ticker = target_ticker").count() == 0
     assert shards.run(spark, news, alias, folder, CONFIG) == first
-    assert {r["error_message"] for r in spark.read.parquet(f"{folder}/failures").collect()} == {"mock failure of n4"}
+    assert {r["error_message"] for r in shards.table(spark, folder, "failures").collect()} == {"mock failure of n4"}
     state = {r["shard_id"]: r["state"] for r in spark.read.parquet(f"{folder}/checkpoint").collect()}
     assert set(state.values()) == {"completed"} and sorted(state) == ["2015-09", "2015-10", "2015-11", "2015-12", "2016-01"]
     half = f"file://{tmp_path}/half"
@@ -103,7 +107,56 @@ def test_modes_and_gate(spark, world, tmp_path):
     real = shards.run(spark, news, alias, f"file://{tmp_path}/real", shards.RunConfig(**{**CONFIG.__dict__, "mode": "real"}), client=extract.EmptyClient())
     assert (real["success"], real["edges"]) == (4, 0)
     allfail = shards.run(spark, news, alias, f"file://{tmp_path}/fail", shards.RunConfig(**{**CONFIG.__dict__, "failing": ["n1", "n2", "n3", "n4"]}))
-    assert (allfail["failure"], allfail["edges"]) == (4, 0) and spark.read.parquet(f"file://{tmp_path}/fail/extractions").count() == 0
+    assert (allfail["failure"], allfail["edges"]) == (4, 0) and shards.table(spark, f"file://{tmp_path}/fail", "extractions").count() == 0
+
+
+class Dying(extract.EmptyClient):
+    """Answers all rows but those of one day, where the process ends as a killed one does: no row of its job is committed."""
+
+    def asked(self, messages, schema, seed):
+        if "2016-01-06" in messages[1]["content"]:
+            raise KeyboardInterrupt
+        return super().asked(messages, schema, seed)
+
+
+class NotReady(extract.EmptyClient):
+    def preflight(self, schema=None):
+        return {"ready": False, "error": "no server"}
+
+
+def test_a_run_that_dies_keeps_what_it_committed(spark, world, tmp_path):
+    news, alias = world
+    folder = f"file://{tmp_path}/dies"
+    real = shards.RunConfig(**{**CONFIG.__dict__, "mode": "real", "batch_size": 1, "batches_per_commit": 1})
+    with pytest.raises(RuntimeError, match="not ready"):
+        shards.run(spark, news, alias, folder, real, client=NotReady())
+    with pytest.raises(Exception, match="KeyboardInterrupt"):
+        shards.run(spark, news, alias, folder, real, client=Dying())
+    kept = {r["news_id"]: r["processed_at_utc"] for r in spark.read.parquet(f"{folder}/results").collect()}
+    assert set(kept) == {"n1", "n2", "n3"}
+    done = shards.run(spark, news, alias, folder, real, client=extract.EmptyClient())
+    assert (done["processed"], done["success"], done["completed_shards"]) == (4, 4, 5)
+    raw = shards.table(spark, folder, "raw")
+    assert raw.columns == [c.split(" ")[0] for c in extract.RAW.split(", ")] and len(raw.columns) == 18
+    assert {r["news_id"]: r["processed_at_utc"] for r in raw.collect() if r["news_id"] in kept} == kept
+    assert [len(shards.table(spark, folder, t).columns) for t in shards.TABLES] == [18, 25, 13, 11]
+    last = {r["shard_id"]: (r["last_batch"], r["resolved_edge_count"]) for r in spark.read.parquet(f"{folder}/checkpoint").collect()}
+    assert last["2015-09"] == (1, 0) and last["2015-10"] == (None, 0)
+
+
+def test_rows_of_one_id_keep_their_own_answers(spark, world, tmp_path):
+    news, alias = world
+    twice = news.where("news_id = 'n3'").unionByName(news.where("news_id = 'n5'").selectExpr("'n3' as news_id", "published_date", "title", "body", "summary_lsa", "summary_luhn", "summary_textrank", "summary_lexrank", "'AAPL' as source_ticker", "'Apple Inc.' as source_company_name", "is_mapped")).unionByName(news.where("news_id = 'n4'").selectExpr("cast(null as string) as news_id", "published_date", "title", "body", "summary_lsa", "summary_luhn", "summary_textrank", "summary_lexrank", "source_ticker", "source_company_name", "is_mapped"))
+    folder = f"file://{tmp_path}/twice"
+    got = shards.run(spark, twice, alias, folder, CONFIG)
+    assert got["processed"] == got["success"] == 3
+    rows = {(r["news_id"], r["source_ticker"]): r for r in shards.table(spark, folder, "extractions").collect()}
+    assert set(rows) == {("n3", "NVDA"), ("n3", "AAPL"), (None, "AMZN")}
+    for r in rows.values():
+        told = json.loads(r["target_resolution_json"])
+        assert [x["input_target"] for x in told] == r["extracted_targets"] and len(r["extracted_targets"]) == 2
+        assert r["resolved_target_tickers"] == [x["resolved_ticker"] for x in told if x["resolved_ticker"] != r["source_ticker"]]
+        assert r["self_loop_targets_dropped"] == 2 - len(r["resolved_target_tickers"])
 
 
 def test_mock_equals_its_rule(spark, world):

@@ -77,8 +77,10 @@ def test_resolver(spark, universe):
     assert got == {0: ("resolved", "AAPL", "exact_alias"), 1: ("resolved", "MSFT", "exact_ticker"), 2: ("ambiguous", "", "ambiguous_alias"), 3: ("empty", "", ""), 4: ("empty", "", ""), 5: ("empty", "", ""), 6: ("unresolved", "", "no_match"), 7: ("resolved", "T", "exact_alias")}
     parsed = spark.createDataFrame([("n", "AAPL", ["Apple", "msft", "Microsoft", "Acme", "Twin"]), ("m", "T", None)], "news_id string, source_ticker string, extracted_targets array<string>")
     out = {r["news_id"]: r for r in resolve.resolved_lists(parsed, a).collect()}
-    assert (out["n"]["resolved_target_tickers"], out["n"]["unresolved_targets"], out["n"]["self_loops_dropped"]) == (["MSFT"], ["Acme", "Twin"], 1)
-    assert out["m"]["resolved_target_tickers"] == [] and resolve.edges(resolve.resolved_lists(parsed, a)).count() == 1
+    assert (out["n"]["resolved_target_tickers"], out["n"]["unresolved_targets"], out["n"]["self_loop_targets_dropped"]) == (["MSFT"], ["Acme", "Twin"], 1)
+    assert out["m"]["resolved_target_tickers"] == [] and out["m"]["target_resolution_json"] == "[]"
+    whole = resolve.resolved_lists(parsed, a).selectExpr("*", "'2016-01-01' published_date", "'2016-01-01' cutoff_date", "false is_warmup", "true in_evaluation_window", "'other' extracted_event_type", "'2016-01' shard_id", "0 batch_id", "'mock' run_mode")
+    assert [r["target_ticker"] for r in resolve.edges(whole).collect()] == ["MSFT"]
 
 
 def test_gate_and_sampling(spark):
