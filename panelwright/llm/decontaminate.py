@@ -128,6 +128,7 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination() of documents by benchmark; nulls, repeats and empty tables as there."""
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 

@@ -44,6 +44,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_duplicates() of documents; nulls, repeats and empty tables as there."""
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 

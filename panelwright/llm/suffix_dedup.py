@@ -476,4 +476,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated_passages() of documents; nulls, repeats and empty tables as there."""
     return repeated_passages(read_table(spark, sf_dir, "documents"))
