@@ -81,7 +81,7 @@ def coverage(news: DataFrame, by: str = "source_file") -> DataFrame:
 
 
 def yearly(news: DataFrame) -> DataFrame:
-    """Rows and mapped rows of each year and source, with what each source adds to the years the others have too."""
+    """Rows and mapped rows of each year and source."""
     return news.groupBy(F.substring("published_date", 1, 4).alias("year"), "source_file").agg(F.count("*").alias("n"), F.count_if(protocol.true("is_mapped")).alias("mapped"))
 
 
