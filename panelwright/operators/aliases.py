@@ -53,6 +53,10 @@ class MappingConfig:
     legacy: dict[str, str] = field(default_factory=dict)
     whole_words: bool = False
     version: str = "v1"
+    #: Most rows without a code whose text is looked at, in order of scan_order, in each of scan_by's groups; None: all rows.
+    scan_limit: int | None = None
+    scan_by: list[str] = field(default_factory=list)
+    scan_order: list[str] = field(default_factory=lambda: ["news_id"])
 
 
 def mapped_by_code(news: DataFrame, universe: DataFrame, legacy: dict[str, str]) -> DataFrame:
@@ -96,13 +100,20 @@ def first_alias(c: Column, probes: DataFrame, whole_words: bool = False) -> Colu
 
 def mapped_by_text(news: DataFrame, aliases: DataFrame, config: MappingConfig) -> DataFrame:
     """Maps the rows without a source_ticker to the first alias, by rank, that their text contains. Aliases of the kind ticker take part
-    like any other that is long enough. Every such row is looked at."""
+    like any other that is long enough. Every such row is looked at, unless config.scan_limit says less."""
     probes = probe_list(aliases, config.alias_min_length)
     body = text.normalized_alias(text.joined(config.text_columns))
-    rank = F.when(F.col("source_ticker").isNull(), first_alias(F.when(F.col("source_ticker").isNull(), body), probes, config.whole_words))
+    looked_at = F.col("source_ticker").isNull()
+    if config.scan_limit is not None:
+        # rows with a code, often most of a group, have no place in it: they are spread by hash
+        apart = F.when(~looked_at, F.pmod(F.xxhash64(*config.scan_order), F.lit(1024)))
+        place = F.row_number().over(Window.partitionBy(*config.scan_by, apart).orderBy(*config.scan_order))
+        news = news.withColumn("__scan", place <= config.scan_limit)
+        looked_at = looked_at & F.col("__scan")
+    rank = F.when(looked_at, first_alias(F.when(looked_at, body), probes, config.whole_words))
     found = probes.select(F.col("rank").alias("__rank"), F.col("ticker").alias("__ticker"))
     out = news.withColumn("__r", rank).join(F.broadcast(found), F.col("__r") == F.col("__rank"), "left")
-    return out.withColumn("mapping_method", F.when(F.col("__ticker").isNotNull() & F.col("source_ticker").isNull(), "alias_text").otherwise(F.col("mapping_method"))).withColumn("source_ticker", F.coalesce("source_ticker", "__ticker")).drop("__r", "__rank", "__ticker")
+    return out.withColumn("mapping_method", F.when(F.col("__ticker").isNotNull() & F.col("source_ticker").isNull(), "alias_text").otherwise(F.col("mapping_method"))).withColumn("source_ticker", F.coalesce("source_ticker", "__ticker")).drop("__r", "__rank", "__ticker", "__scan")
 
 
 def finished(news: DataFrame, universe: DataFrame, version: str) -> DataFrame:

@@ -16,11 +16,11 @@ def _correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def information(rows: DataFrame, score: str = "score", label: str = "label", least: int = 3) -> DataFrame:
+def information(rows: DataFrame, score: str = "score", label: str = "label", least: int = 3, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """date, n, ic, rank_ic: correlation of scores and labels across the companies of each date, of values and of average ranks."""
-    used = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select("date", F.col(score).alias("s"), F.col(label).alias("y"))
-    ranked = used.withColumns({"rs": _average_rank("s", ["date"]), "ry": _average_rank("y", ["date"])})
-    out = ranked.groupBy("date").agg(F.count("*").alias("n"), F.round(_correlation("s", "y"), 6).alias("ic"), F.round(_correlation("rs", "ry"), 6).alias("rank_ic"))
+    used = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(score).alias("s"), F.col(label).alias("y"))
+    ranked = used.withColumns({"rs": _average_rank("s", [*by]), "ry": _average_rank("y", [*by])})
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(_correlation("s", "y"), 6).alias("ic"), F.round(_correlation("rs", "ry"), 6).alias("rank_ic"))
     return out.where(F.col("n") >= least)
 
 
@@ -33,6 +33,16 @@ def information_summary(daily: DataFrame, by: list[str]) -> DataFrame:
     return daily.groupBy(*by).agg(*columns)
 
 
+def decay(scores: DataFrame, daily: DataFrame, horizons: tuple[int, ...] = (1, 2, 5, 10, 20)) -> DataFrame:
+    """horizon, days and the summary of ic and rank_ic: scores (date, ticker, score) against the log return of close over the next
+    `horizon` rows of daily (date, ticker, close). All returns come of one sort of each ticker."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    ahead = [F.struct(F.lit(h).alias("horizon"), F.ln(F.lead("close", h).over(w) / F.col("close")).alias("label")) for h in horizons]
+    returns = daily.where("close > 0").select("date", "ticker", F.array(*ahead).alias("ahead"))
+    rows = scores.select("date", "ticker", "score").join(returns, ["date", "ticker"]).select("date", "score", F.inline("ahead"))
+    return information_summary(information(rows, by=("date", "horizon")), ["horizon"])
+
+
 def portfolio(rows: DataFrame, k: int, score: str = "score", label: str = "label") -> DataFrame:
     """date, n, top, bottom, long_short: mean label of the k companies with the highest and the lowest score; ties go by ticker."""
     used = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())

@@ -70,6 +70,12 @@ def news(sources: list[DataFrame]) -> DataFrame:
     return collapsed(out)
 
 
+def gaps_of(news: DataFrame) -> DataFrame:
+    """One row: rows, and how many of them lack a url, code, body or any content."""
+    blank = lambda c: F.count_if(text.strip(text.or_empty(c)) == "").alias(f"without_{c}")
+    return news.agg(F.count("*").alias("rows"), blank("url"), blank("ticker_raw"), blank("body"), F.count_if(~F.col("has_content")).alias("without_content"))
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -85,6 +85,16 @@ def yearly(news: DataFrame) -> DataFrame:
     return news.groupBy(F.substring("published_date", 1, 4).alias("year"), "source_file").agg(F.count("*").alias("n"), F.count_if(protocol.true("is_mapped")).alias("mapped"))
 
 
+def gap_fill(news: DataFrame, base: str, filler: str) -> DataFrame:
+    """For each year, the rows of source `base`, those of `filler`, and how many of the latter are later than all of base: the gap they fill.
+    Without any row of base all of filler fills it. Rows without a date are in no year."""
+    ends = news.where(F.col("source_file") == base).agg(F.max("published_date").alias("ends"))
+    rows = news.where(F.col("source_file").isin(base, filler) & F.col("published_date").isNotNull()).join(F.broadcast(ends))  # one row
+    mine, other = F.col("source_file") == base, F.col("source_file") == filler
+    late = other & F.coalesce(F.col("published_date") > F.col("ends"), F.lit(True))
+    return rows.groupBy(F.substring("published_date", 1, 4).alias("year")).agg(F.count_if(mine).alias("base_rows"), F.count_if(other).alias("filler_rows"), F.count_if(late).alias("filled"))
+
+
 def news_share(samples: DataFrame) -> DataFrame:
     """How many samples of each split have news, and how much."""
     return samples.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg(F.col("has_mapped_news").cast("int")), 6).alias("news_ratio"), F.sum("mapped_news_count_1d").alias("news"), F.max("mapped_news_count_1d").alias("most"))

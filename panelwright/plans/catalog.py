@@ -93,6 +93,12 @@ def _contains(t: Tables) -> DataFrame:
     return aliases.mapped_by_text(news, a, aliases.MappingConfig()).select("doc_id", "source_ticker", "mapping_method")
 
 
+def _limited_scan(t: Tables) -> DataFrame:
+    """News mapped as map_news does, but of each file only the first 40 rows without a code have their text looked at."""
+    config = aliases.MappingConfig(legacy=LEGACY, scan_limit=40, scan_by=["source_file"])
+    return aliases.map_news(t.news(), t.universe(), _alias_table(t), config).select("news_id", "source_ticker", "mapping_method")
+
+
 def _map_news(t: Tables) -> DataFrame:
     out = aliases.map_news(t.news(), t.universe(), _alias_table(t), aliases.MappingConfig(legacy=LEGACY))
     return out.select("news_id", "source_ticker", "mapping_method", "source_price_ticker", "source_company_name", "mapping_confidence", "is_mapped")
@@ -272,6 +278,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "prompt_messages": _messages,
     "empty_answers": _empty_answers,
     "ordered_names": _ordered_names,
+    "rank_ic_decay": lambda t: evaluate.decay(_scores(t).drop("label"), t.prices()),
+    "gap_fill": lambda t: sampling.gap_fill(t.news(), "F", "O"),
+    "news_gaps": lambda t: normalize.gaps_of(normalize.standardized(_raw_news(t), "a.csv", 2, WINDOW, "line")),
+    "alias_scan_limit": _limited_scan,
     "portfolio_performance": lambda t: evaluate.performance(evaluate.portfolio(_scores(t), 5)),
 }
 

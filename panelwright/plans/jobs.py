@@ -10,9 +10,10 @@ from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelwright.functions import protocol
-from panelwright.operators import aliases, extract, panel, sampling, shards
+from panelwright.operators import aliases, extract, normalize, panel, sampling, shards
 from panelwright.session import local_session
 from panelwright.sources import tables
 
@@ -33,6 +34,24 @@ def map_news(spark: SparkSession, news: str, universe_csv: str, alias_path: str,
     return {"rows_read": spark.read.parquet(news).count()} | aliases.mapping_stats(spark.read.parquet(out)).first().asDict()
 
 
+def ingest(spark: SparkSession, sources: list[tuple[str, str, int]], out: str, window: protocol.Window | None = None, rows_per_file: int | None = None, overwrite: bool = False) -> dict:
+    """Writes the news of raw CSV files, given as (path, name, priority), under common names, one row of each key. Each path is one file: fields
+    may hold line breaks, so a file is one task's, which numbers its rows in order. Columns the engine has no name for are left out."""
+    window = window or protocol.Window()
+    parts = []
+    for path, name, priority in sources:
+        numbered = tables.strings(spark, path, missing=False).withColumn("__row", F.monotonically_increasing_id())
+        if len(numbered.inputFiles()) != 1:
+            raise ValueError(f"{path} must be one file")
+        numbered = numbered.where(F.col("__row") < rows_per_file) if rows_per_file is not None else numbered
+        absent = {c: F.lit(None).cast("string") for c in normalize.RAW_COLUMNS if c not in numbered.columns}
+        parts.append(normalize.standardized(numbered.withColumns(absent), name, priority, window, "__row"))
+    tables.write(normalize.news(parts), out, overwrite)
+    kept = {r["source_file"]: r["n"] for r in spark.read.parquet(out).groupBy("source_file").agg(F.count("*").alias("n")).collect()}
+    read = {name: p.count() for (_, name, _), p in zip(sources, parts, strict=True)}
+    return {"rows_in_period": sum(read.values()), "rows_written": sum(kept.values()), "duplicates_removed": sum(read.values()) - sum(kept.values()), "by_file": {n: {"in_period": read[n], "written": kept.get(n, 0)} for n in read}}
+
+
 def _made(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at path, made first if it is missing."""
     if not tables.exists(spark, path):
@@ -102,6 +121,16 @@ def recompute_gate(path: str, out: str | None = None) -> dict:
     return report
 
 
+def rewrite_report(spark: SparkSession, path: str, sample: str, upstream: str, out: str | None = None) -> dict:
+    """A feasibility report with gate and lineage computed anew from the tables, written with its Markdown over the old one or to `out`."""
+    lineage = sampling.lineage(spark.read.parquet(sample), spark.read.parquet(upstream)).first().asDict()
+    report = reports.with_gate(tables.config(path)) | {"lineage": lineage, "created": reports.now()}
+    target = Path(out or path)
+    tables.write_json(str(target), report)
+    target.with_suffix(".md").write_text(reports.markdown("feasibility", report), encoding="utf-8")
+    return report
+
+
 def preflight(client: extract.HttpClient | None) -> dict:
     """What the driver can tell of its surroundings: accelerators, and the server."""
     gpu = shutil.which("nvidia-smi")
@@ -152,6 +181,15 @@ def main(args: list[str] | None = None) -> None:
     g = jobs.add_parser("gate")
     g.add_argument("path")
     g.add_argument("--out")
+    n = jobs.add_parser("ingest")
+    n.add_argument("out")
+    n.add_argument("--source", nargs=3, action="append", required=True, metavar=("PATH", "NAME", "PRIORITY"))
+    n.add_argument("--rows-per-file", type=int)
+    n.add_argument("--overwrite", action="store_true")
+    r = jobs.add_parser("rewrite-report")
+    for x in ("path", "sample", "upstream"):
+        r.add_argument(x)
+    r.add_argument("--out")
     o = vars(p.parse_args(args))
     job = o.pop("job")
     if job == "gate":
@@ -163,6 +201,10 @@ def main(args: list[str] | None = None) -> None:
         base = shards.RunConfig(mode=o.pop("mode"), max_shards=o.pop("max_shards"), batches_per_shard=o.pop("max_batches_per_shard"))
         base = base if seed < 0 else replace(base, seed=seed)
         print(full_extract(spark, config=small(base) if o.pop("small") else base, **o))
+    elif job == "ingest":
+        print(ingest(spark, [(path, name, int(priority)) for path, name, priority in o.pop("source")], **o))
+    elif job == "rewrite-report":
+        print(rewrite_report(spark, **o)["stage_gate"])
     elif job == "feasibility":
         print(feasibility(spark, **o, **({} if seed < 0 else {"seed": seed})))
     else:

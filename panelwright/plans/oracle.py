@@ -223,4 +223,19 @@ SELECT o_orderkey AS source_row_number, d AS published_date, 'T ' || o_orderprio
     "prompt_messages": _with(UNI, NEWS, MAPPED) + "SELECT news_id, 'system|user' AS roles, 'Date: ' || published_date || chr(10) || 'Possible source, to be checked against the article: ' || coalesce(nullif(source_company_name, ''), nullif(source_ticker, ''), 'unknown') AS begins, 'Title: ' || title || coalesce(chr(10) || 'Body: ' || body, '') AS ends FROM mapped",
     "empty_answers": _with(UNI, NEWS, MAPPED, PLAN) + "SELECT news_id, 'success' AS status, CAST(NULL AS VARCHAR) AS extracted_source, false AS has_valid_targets, 'mock' AS request_mode, sha256('{\"source\": \"\", \"targets\": [], \"event_type\": \"\"}') AS raw_content_sha256 FROM planned",
     "ordered_names": "SELECT o_custkey, array_to_string([x FOR x IN ['b' || o_custkey % 3, 'a' || o_custkey % 2] IF x <> 'a0'], '|') AS names FROM (SELECT DISTINCT o_custkey FROM orders)",
+    "alias_scan_limit": _with(UNI, NEWS, MAPPED, ALIASES, f"""probes AS (SELECT *, row_number() OVER (ORDER BY length(alias_normalized) DESC, CAST(is_primary AS VARCHAR) DESC, ticker, alias_type, alias) AS rank FROM aliases WHERE length(alias_normalized) >= 4),
+open AS (SELECT news_id, {_norm("title || ' ' || coalesce(body, '')")} AS t FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY news_id) AS place FROM mapped WHERE NOT is_mapped) WHERE place <= 40),
+hit AS (SELECT news_id, arg_min(ticker, rank) AS ticker FROM open JOIN probes ON contains(t, alias_normalized) GROUP BY news_id),
+final AS (SELECT m.news_id, coalesce(nullif(m.source_ticker, ''), hit.ticker) AS st, CASE WHEN hit.ticker IS NOT NULL THEN 'alias_text' ELSE mapping_method END AS mm FROM mapped m LEFT JOIN hit USING (news_id))""")
+    + "SELECT news_id, coalesce(st, '') AS source_ticker, mm AS mapping_method FROM final",
+    "rank_ic_decay": _with(TICKS, PX, IX, MKT, RET, FEAT, LAB, SCORES, """ahead AS (SELECT date, ticker, h AS horizon, ln(later.close / px.close) AS y FROM
+  (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM px) px CROSS JOIN (VALUES (1), (2), (5), (10), (20)) hs(h)
+  JOIN (SELECT ticker AS lt, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS li FROM px) later ON lt = px.ticker AND li = px.i + h),
+all_h AS (SELECT date, horizon, s, ahead.y FROM (SELECT date, ticker, s FROM scores) JOIN ahead USING (date, ticker)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY horizon, date ORDER BY s) + (count(*) OVER (PARTITION BY horizon, date, s) - 1) / 2 AS rs, rank() OVER (PARTITION BY horizon, date ORDER BY y) + (count(*) OVER (PARTITION BY horizon, date, y) - 1) / 2 AS ry FROM all_h),
+ics AS (SELECT horizon, date, round(CASE WHEN stddev_samp(s) * stddev_samp(y) > 0 THEN covar_samp(s, y) / (stddev_samp(s) * stddev_samp(y)) END, 6) AS ic,
+  round(CASE WHEN stddev_samp(rs) * stddev_samp(ry) > 0 THEN covar_samp(rs, ry) / (stddev_samp(rs) * stddev_samp(ry)) END, 6) AS rank_ic FROM ranked GROUP BY horizon, date HAVING count(*) >= 3)""")
+    + "SELECT horizon, count(*) AS days, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, round(avg(rank_ic), 6) AS rank_ic_mean, round(stddev_samp(rank_ic), 6) AS rank_ic_std, round(avg(rank_ic) / stddev_samp(rank_ic), 6) AS rank_ic_ir FROM ics GROUP BY 1",
+    "gap_fill": _with(NEWS) + "SELECT substr(published_date, 1, 4) AS year, count(*) FILTER (source_file = 'F') AS base_rows, count(*) FILTER (source_file = 'O') AS filler_rows, count(*) FILTER (source_file = 'O' AND published_date > (SELECT max(published_date) FROM news WHERE source_file = 'F')) AS filled FROM news WHERE source_file IN ('F', 'O') GROUP BY 1",
+    "news_gaps": "SELECT count(*) AS rows, count(*) AS without_url, count(*) AS without_ticker_raw, count(*) FILTER (o_orderkey % 5 = 0) AS without_body, count(*) FILTER (o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0) AS without_content FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderdate >= DATE '1995-01-01'",
 }

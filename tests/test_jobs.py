@@ -1,9 +1,10 @@
 import json
 
+import pandas as pd
 import pytest
 
 from panelwright.functions import protocol
-from panelwright.operators import extract, shards
+from panelwright.operators import extract, normalize, shards
 from panelwright.plans import jobs, reports
 
 from .test_extract_and_shards import CONFIG, world  # noqa: F401
@@ -51,3 +52,39 @@ def test_gate_is_recomputed(tmp_path):
     assert json.loads(path.read_text())["stage_gate"] == {"complete": True, "can_enter": True}
     assert not reports.can_enter(good | {"valid_target_ratio": "x"}) and not reports.can_enter(None) and not reports.can_enter(good | {"monthly_avg_out_degree": None})
     assert not reports.with_gate({"metrics": good})["stage_gate"]["can_enter"]
+
+
+def test_two_raw_files_are_ingested(spark, tmp_path):
+    columns = list(normalize.RAW_COLUMNS)
+    line = lambda **x: {c: x.get(c, "") for c in columns}
+    first = [line(Date="2015-09-01 10:00:00 UTC", Article_title="t", Url="http://u"), line(Date="2014-01-01", Article_title="old"), line(Date="2016-02-01", Article_title='two\nlines, "quoted"', Article="b")]
+    second = [line(Date="2015-09-01 11:00:00 UTC", Article_title="t", Url="http://u", Article="body wins"), line(Date="2024-01-05", Article_title="late")]
+    pd.DataFrame(first).to_csv(tmp_path / "a.csv", index=False)
+    pd.DataFrame(second).drop(columns=["Publisher"]).to_csv(tmp_path / "b.csv")  # a column more, and one less
+    sources = [(str(tmp_path / "a.csv"), "a.csv", 2), (str(tmp_path / "b.csv"), "b.csv", 1)]
+    got = jobs.ingest(spark, sources, str(tmp_path / "news"))
+    assert got == {"rows_in_period": 4, "rows_written": 3, "duplicates_removed": 1, "by_file": {"a.csv": {"in_period": 2, "written": 1}, "b.csv": {"in_period": 2, "written": 2}}}
+    rows = {r["title"]: r for r in spark.read.parquet(str(tmp_path / "news")).collect()}
+    assert set(rows) == {"t", 'two\nlines, "quoted"', "late"} and rows["t"]["body"] == "body wins" and rows["t"]["is_warmup"]
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        jobs.ingest(spark, sources, str(tmp_path / "news"))
+    assert jobs.ingest(spark, sources, str(tmp_path / "news"), rows_per_file=1, overwrite=True)["rows_written"] == 1
+    assert jobs.ingest(spark, sources, str(tmp_path / "none"), rows_per_file=0)["rows_written"] == 0
+    (tmp_path / "many").mkdir()
+    for x in "ab":
+        (tmp_path / "many" / f"{x}.csv").write_text((tmp_path / f"{x}.csv").read_text())
+    with pytest.raises(ValueError, match="one file"):
+        jobs.ingest(spark, [(str(tmp_path / "many"), "x", 1)], str(tmp_path / "other"))
+
+
+def test_report_is_rewritten(spark, tmp_path):
+    schema = "news_id string, published_date string, title string, source_file string"
+    spark.createDataFrame([("1", "2016-01-01", "a", "f"), ("2", "2016-01-02", "b", "g")], schema).write.parquet(str(tmp_path / "up"))
+    spark.createDataFrame([("1", "2016-01-01", "a", "f"), ("3", "2016-01-02", "b", "g")], schema).write.parquet(str(tmp_path / "sample"))
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps({"metrics": {}, "lineage": {"match_ratio": 1.0}, "stage_gate": {"complete": True, "can_enter": True}}))
+    got = jobs.rewrite_report(spark, str(path), str(tmp_path / "sample"), str(tmp_path / "up"))
+    assert got["lineage"]["match_ratio"] == 0.5 and not got["stage_gate"]["can_enter"] and json.loads(path.read_text())["lineage"] == got["lineage"]
+    assert "match_ratio: 0.5" in (tmp_path / "r.md").read_text()
+    jobs.rewrite_report(spark, str(path), str(tmp_path / "up"), str(tmp_path / "up"), str(tmp_path / "new.json"))
+    assert json.loads((tmp_path / "new.json").read_text())["lineage"]["match_ratio"] == 1.0 and json.loads(path.read_text())["lineage"]["match_ratio"] == 0.5
