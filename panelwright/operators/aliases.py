@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,26 +77,42 @@ def mapped_by_code(news: DataFrame, universe: DataFrame, legacy: dict[str, str])
     return out.withColumn("source_ticker", F.coalesce("__t", "__p", "__l")).withColumn("mapping_method", method).drop("__key", "__t", "__p", "__l")
 
 
+#: The automaton a worker built last, by the name of its aliases.
+_BUILT: dict[str, Any] = {}
+
+
+def automaton_of(name: str, sent: Broadcast) -> Any:
+    """The automaton of the aliases sent, each with its rank and ticker; None without any."""
+    if name not in _BUILT:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for alias, found in sent.value.items():
+            made.add_word(alias, found)
+        made.make_automaton()
+        _BUILT.clear()
+        _BUILT[name] = made if len(made) else None
+    return _BUILT[name]
+
+
 def first_alias(c: Column, probes: DataFrame, whole_words: bool = False) -> Column:
-    """The least rank of the aliases that the normalised text c contains, or null. All aliases are looked for in one pass over the text,
-    whatever their number."""
-    if probes.count() > MAX_ALIASES:
+    """The ticker of the first alias by rank that the normalised text c contains, or null. All aliases are looked for in one pass over the text,
+    whatever their number. They are read once, sent as one broadcast variable, and each worker builds its automaton once."""
+    listed = probes.select("alias_normalized", "rank", "ticker").limit(MAX_ALIASES + 1).collect()
+    if len(listed) > MAX_ALIASES:
         raise ValueError("too many aliases to send to every task")
-    listed = [(r["alias_normalized"], r["rank"]) for r in probes.select("alias_normalized", "rank").collect()]
-    best: dict[str, int] = {}
-    for alias, rank in listed:
-        best[f" {alias} " if whole_words else alias] = min(rank, best.get(alias, rank))
+    best: dict[str, tuple[int, str]] = {}
+    for r in listed:
+        alias = f" {r['alias_normalized']} " if whole_words else r["alias_normalized"]
+        best[alias] = min((r["rank"], r["ticker"]), best.get(alias, (r["rank"], r["ticker"])))
+    sent, name = probes.sparkSession.sparkContext.broadcast(best), uuid.uuid4().hex
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("string")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for alias, rank in best.items():
-            automaton.add_word(alias, rank)
-        automaton.make_automaton()
+        automaton = automaton_of(name, sent)
         for texts in batches:
-            yield pd.Series([min((r for _, r in automaton.iter(f" {t} " if whole_words else t)), default=None) if t and best else None for t in texts], dtype="Int64")
+            hits = [min((x for _, x in automaton.iter(f" {t} " if whole_words else t)), default=None) if t and automaton else None for t in texts]
+            yield pd.Series([x and x[1] for x in hits], dtype=object)
 
     return find(c)
 
@@ -110,10 +129,8 @@ def mapped_by_text(news: DataFrame, aliases: DataFrame, config: MappingConfig) -
         place = F.row_number().over(Window.partitionBy(*config.scan_by, apart).orderBy(*config.scan_order))
         news = news.withColumn("__scan", place <= config.scan_limit)
         looked_at = looked_at & F.col("__scan")
-    rank = F.when(looked_at, first_alias(F.when(looked_at, body), probes, config.whole_words))
-    found = probes.select(F.col("rank").alias("__rank"), F.col("ticker").alias("__ticker"))
-    out = news.withColumn("__r", rank).join(F.broadcast(found), F.col("__r") == F.col("__rank"), "left")
-    return out.withColumn("mapping_method", F.when(F.col("__ticker").isNotNull() & F.col("source_ticker").isNull(), "alias_text").otherwise(F.col("mapping_method"))).withColumn("source_ticker", F.coalesce("source_ticker", "__ticker")).drop("__r", "__rank", "__ticker", "__scan")
+    out = news.withColumn("__ticker", F.when(looked_at, first_alias(F.when(looked_at, body), probes, config.whole_words)))
+    return out.withColumn("mapping_method", F.when(F.col("__ticker").isNotNull() & F.col("source_ticker").isNull(), "alias_text").otherwise(F.col("mapping_method"))).withColumn("source_ticker", F.coalesce("source_ticker", "__ticker")).drop("__ticker", "__scan")
 
 
 def finished(news: DataFrame, universe: DataFrame, version: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +44,69 @@ def static_semantic(edges: DataFrame, splits: DataFrame) -> DataFrame:
     return edges.join(train, F.col("published_date").between(F.col("split_start"), F.col("split_end"))).select("split", "source_ticker", "target_ticker").distinct()
 
 
-def price(returns: DataFrame, span: int = 60, k: int = 10) -> DataFrame:
+def _block(rows: pd.DataFrame, span: int) -> pd.DataFrame:
+    """The companies of a block in order, and their returns as one matrix of a row each; days without a return are NaN."""
+    rows = rows.sort_values("ticker")
+    matrix = np.full((len(rows), span), np.nan)
+    for i, (ages, values) in enumerate(zip(rows["ages"], rows["values"], strict=True)):
+        matrix[i, ages] = values
+    return pd.DataFrame({"graph_date": rows["graph_date"].iloc[:1], "block": rows["block"].iloc[:1], "tickers": [rows["ticker"].tolist()], "returns": [matrix.tobytes()]})
+
+
+def _correlations(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Absolute correlation of each row of x with each of y over the days that both have; NaN below `least` days or without deviation."""
+
+    def centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        have = ~np.isnan(m)
+        mean = np.where(have, m, 0).sum(1) / np.maximum(have.sum(1), 1)
+        return np.where(have, m - mean[:, None], 0), have.astype(float)
+
+    (a, ha), (b, hb) = centred(x), centred(y)
+    n = ha @ hb.T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sa, sb = a @ hb.T, ha @ b.T
+        saa, sbb = (a * a) @ hb.T, ha @ (b * b).T
+        va, vb = saa - sa * sa / n, sbb - sb * sb / n
+        # what is left of a difference of equal sums is no deviation
+        va, vb = np.where(va > 1e-12 * saa, va, np.nan), np.where(vb > 1e-12 * sbb, vb, np.nan)
+        out = np.abs(a @ b.T - sa * sb / n) / np.sqrt(va * vb)
+    return np.where(n >= least, out, np.nan)
+
+
+def price(returns: DataFrame, span: int = 60, k: int = 10, block: int = 1024) -> DataFrame:
     """graph_date, source_ticker, target_ticker, weight, rank: absolute correlations of ret_1 over the last `span` trading days of each
-    snapshot, the k highest of each company. Both companies must have half of the days in common. The pairs of a day are
-    made by a join on the day, and sums over them are combined in the tasks that make them."""
+    snapshot, the k highest of each company. Both companies must have half of the days in common. A company has one return a day.
+
+    Companies are put in blocks of about `block`; what is joined are pairs of blocks, each a matrix of `block` x `span` numbers, and each pair
+    passes on the k best of each of its companies. Ties go by ticker."""
     days = returns.select(F.col("as_of_date").alias("date"))
     calendar = days.distinct().withColumn("day", F.row_number().over(Window.orderBy("date")))
     s = F.broadcast(snapshots(days))
     rows = returns.where("ret_1 is not null").select(F.col("as_of_date").alias("date"), "ticker", "ret_1").join(F.broadcast(calendar), "date")
-    rows = rows.join(s, (F.col("day") <= F.col("graph_day")) & (F.col("day") > F.col("graph_day") - span)).select("graph_date", "day", "ticker", "ret_1")
-    a, b = rows.select("graph_date", "day", F.col("ticker").alias("source_ticker"), F.col("ret_1").alias("x")), rows.select("graph_date", "day", F.col("ticker").alias("target_ticker"), F.col("ret_1").alias("y"))
-    pairs = a.join(b, ["graph_date", "day"]).where("source_ticker < target_ticker")
-    both = pairs.groupBy("graph_date", "source_ticker", "target_ticker").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("c"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"))
-    value = F.round(F.abs(F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))), 6)
-    one = both.where(F.col("n") >= span // 2).select("graph_date", "source_ticker", "target_ticker", value.alias("weight")).where("weight is not null")
-    out = one.unionByName(one.select("graph_date", F.col("target_ticker").alias("source_ticker"), F.col("source_ticker").alias("target_ticker"), "weight"))
+    rows = rows.join(s, (F.col("day") <= F.col("graph_day")) & (F.col("day") > F.col("graph_day") - span))
+    each = F.collect_list(F.struct((F.col("graph_day") - F.col("day")).alias("age"), "ret_1")).alias("r")
+    vectors = rows.groupBy("graph_date", "ticker").agg(each).select("graph_date", "ticker", F.col("r.age").alias("ages"), F.col("r.ret_1").alias("values"))
+    blocks = max(1, -(-returns.select("ticker").distinct().count() // block))
+    numbered = vectors.withColumn("block", F.pmod(F.xxhash64("ticker"), F.lit(blocks)))
+    packed = numbered.groupBy("graph_date", "block").applyInPandas(lambda g: _block(g, span), "graph_date string, block long, tickers array<string>, returns binary")
+    other = packed.select("graph_date", *[F.col(c).alias(f"other_{c}") for c in ("block", "tickers", "returns")])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrix = lambda data: np.frombuffer(data).reshape(-1, span)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                sources, targets = np.array(r.tickers, dtype=object), np.array(r.other_tickers, dtype=object)
+                weights = np.round(_correlations(matrix(r.returns), matrix(r.other_returns), span // 2), 6)
+                if r.block == r.other_block:
+                    np.fill_diagonal(weights, np.nan)
+                top = np.argsort(-weights, axis=1, kind="stable")[:, :k]  # targets are in order; NaN comes last
+                source = np.repeat(np.arange(len(sources)), top.shape[1])
+                target = top.ravel()
+                value = weights[source, target]
+                some = ~np.isnan(value)
+                yield pd.DataFrame({"graph_date": r.graph_date, "source_ticker": sources[source[some]], "target_ticker": targets[target[some]], "weight": value[some]})
+
+    out = packed.join(other, "graph_date").mapInPandas(best, "graph_date string, source_ticker string, target_ticker string, weight double")
     return _top(out, k, F.col("weight")).select("graph_date", "source_ticker", "target_ticker", "weight", "rank")
 
 

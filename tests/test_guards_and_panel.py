@@ -1,9 +1,11 @@
 import math
+import random
 
+import pandas as pd
 import pytest
 
 from panelwright.functions import protocol
-from panelwright.operators import guards, panel
+from panelwright.operators import graphs, guards, panel
 from panelwright.operators.guards import LeakageError
 
 
@@ -83,3 +85,29 @@ def test_news_counts_and_samples(spark):
     assert max(r["label_end_date"] for r in rows) == "2016-02-20"
     assert {r["split"] for r in rows if r["as_of_date"] == "2016-02-07"} == {"S1", "S2"}
     assert panel.sample_index(panel.features(daily, daily), panel.forward_returns(daily), None, splits, w, tickers={"Z"}).count() == 0
+
+
+def test_price_graph_does_not_depend_on_blocks(spark):
+    r = random.Random(3)
+    days = [f"2020-0{m}-{d:02d}" for m in (1, 2) for d in range(1, 29)]
+    rows = [(d, f"T{i:02d}", None if r.random() < 0.2 else 0.01 if i == 3 else r.choice([0.0, 0.01, -0.02])) for d in days for i in range(23)]
+    rows = [(d, t, 0.5 * x if t == "T01" and x is not None else x) for d, t, x in rows] + [("2020-02-28", "NEW", 0.1)]
+    returns = spark.createDataFrame(rows, "as_of_date string, ticker string, ret_1 double")
+    got = [sorted(map(tuple, graphs.price(returns, span=40, k=4, block=n).collect())) for n in (1024, 5)]
+    assert got[0] == got[1]
+    by = {(t, d): x for d, t, x in rows if x is not None}
+    last = {"2020-01-28": days[:28], "2020-02-28": days[16:56]}
+    want = []
+    for at, window in last.items():
+        for a in sorted({t for t, _ in by}):
+            found = []
+            for b in sorted({t for t, _ in by} - {a}):
+                both = [(by[a, d], by[b, d]) for d in window if (a, d) in by and (b, d) in by]
+                x, y = (pd.Series([p[i] for p in both], dtype=float) for i in (0, 1))
+                if len(both) >= 20 and x.nunique() > 1 and y.nunique() > 1:
+                    found.append((-round(abs(x.corr(y)), 6), b))
+            want += [(at, a, b, -w, n + 1) for n, (w, b) in enumerate(sorted(found)[:4])]
+    want.sort()
+    assert [(*x[:3], x[4]) for x in got[0]] == [(*x[:3], x[4]) for x in want] and len(want) > 80
+    assert [x[3] for x in got[0]] == pytest.approx([x[3] for x in want], abs=2e-6)
+    assert graphs.price(returns.limit(0)).count() == 0
