@@ -4,6 +4,8 @@ import hashlib
 
 import corpus_pipeline as P
 from panelwright.llm import suffix_dedup as S
+from panelwright.llm.decontaminate import contamination, drop_contaminated
+from panelwright.llm.secrets import fitted, redact, secrets
 
 from .test_suffix_dedup import brute as brute_passages
 
@@ -31,3 +33,24 @@ def test_passages_at_the_ends_of_the_byte_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(map(tuple, S.repeated_passages(docs, bucket_bytes=20, hot_docs=1).collect()), key=str) == brute_passages(rows)
     assert sorted(map(tuple, S.repeated_passages(docs, bucket_bytes=20).collect()), key=str) == brute_passages(rows)
+
+
+def test_contamination_in_a_very_long_text_with_clashing_columns(spark):
+    """250,000 words with one passage at the end; columns named as those the operator makes; a repeated row; the same item twice."""
+    item = " ".join(f"q{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, "Word " * 250_000 + item.upper(), 5, "a", True), (2, "short", 6, "b", None), (2, "short", 6, "b", None), (3, None, None, None, None)], "doc_id long, text string, n_words int, item_id string, contaminated boolean")
+    items = spark.createDataFrame([(7, item, "x"), (7, item, "x"), (8, None, "y"), (9, "", "z")], "item_id long, text string, doc_id string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in contamination(docs, items).collect()))
+    assert got == [(1, 250_014, 14, 1, True), (2, 1, 0, 0, False), (2, 1, 0, 0, False), (3, 0, 0, 0, False)]
+    kept = drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 2, 3]
+
+
+def test_secrets_of_repeated_rows_and_clashing_columns(spark):
+    text = "password = hunter22 and AKIA" + "Q7" * 10
+    docs = spark.createDataFrame([(1, text, "a", 1), (1, text, "a", 1), (1, None, "b", 2), (None, "", "c", 3)], "doc_id long, text string, spans string, n int")
+    model = fitted(docs)
+    found = [(r["doc_id"], len([s for s in r["spans"] if s[0] != "markov"])) for r in secrets(docs, *model).collect()]
+    assert sorted(found, key=str) == [(1, 0), (1, 2), (1, 2), (None, 0)]
+    out = redact(docs, *model)
+    assert out.columns == docs.columns and sorted((r["text"] or "").count("[secret]") for r in out.collect()) == [0, 0, 2, 2]
