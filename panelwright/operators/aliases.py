@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import text
+from panelwright.sources.tables import stored
 
 from .joins import dimension
 
 #: Corporate suffixes, lower case; a parameter of the functions below.
 SUFFIXES = ["co", "company", "corp", "corporation", "group", "holding", "holdings", "inc", "incorporated", "llc", "ltd", "limited", "nv", "plc", "sa", "the"]
-#: Aliases are few (a handful for each company); above this many the contains-join refuses to send them to every task.
-MAX_ALIASES = 2_000_000
+#: Characters of the words in one automaton, 30 to 60 bytes each in a worker. Up to so many go to every task; more are dealt to several automata.
+AUTOMATON_CHARS = 4_000_000
+#: Characters of the texts that meet an automaton in one task, if there are several.
+BLOCK_CHARS = 16_000_000
+#: Characters of a word's beginning, by which the words are dealt: 37^3 beginnings at most.
+START = 3
 
 
 def alias_table(universe: DataFrame, suffixes: list[str] | None = None, include_ticker: bool = True) -> DataFrame:
@@ -43,10 +51,18 @@ def alias_metadata(aliases: DataFrame) -> DataFrame:
     return aliases.agg(F.count("*").alias("row_count"), F.count_distinct("ticker").alias("ticker_count"))
 
 
-def probe_list(aliases: DataFrame, min_length: int = 4) -> DataFrame:
-    """Aliases to look for in texts with their rank: longer first, then primary ones, then in table order (ticker, type, alias)."""
-    order = Window.orderBy(F.char_length("alias_normalized").desc(), F.col("is_primary").cast("string").desc(), "ticker", "alias_type", "alias")
-    return aliases.where(F.char_length("alias_normalized") >= min_length).withColumn("rank", F.row_number().over(order))
+#: The order in which aliases that a text contains are preferred: longer first, then primary ones, then by ticker, type and alias.
+ORDER = ["shorter", "lesser", "ticker", "alias_type", "alias"]
+
+
+def probe_list(aliases: DataFrame, min_length: int = 4, whole_words: bool = False) -> DataFrame:
+    """The words to look for in normalised texts, each once, with the first alias, by ORDER, that has this form. Normalised texts hold a-z, 0-9
+    and blanks only, so an alias with anything else is in none of them."""
+    form, pad = F.col("alias_normalized"), F.lit(" " if whole_words else "")
+    lesser = F.when(F.col("is_primary"), 0).when(~F.col("is_primary"), 1).otherwise(2)
+    first = F.min(F.struct((-F.char_length(form)).alias("shorter"), lesser.alias("lesser"), *ORDER[2:]))
+    kept = aliases.where((F.char_length(form) >= min_length) & form.rlike("^[a-z0-9 ]+$"))
+    return kept.groupBy(F.concat(pad, form, pad).alias("word")).agg(first.alias("a")).select("word", "a.*")
 
 
 @dataclass(frozen=True)
@@ -77,51 +93,112 @@ def mapped_by_code(news: DataFrame, universe: DataFrame, legacy: dict[str, str])
     return out.withColumn("source_ticker", F.coalesce("__t", "__p", "__l")).withColumn("mapping_method", method).drop("__key", "__t", "__p", "__l")
 
 
-#: The automaton a worker built last, by the name of its aliases.
+def in_order(words: pa.Table) -> pa.Table:
+    return words.take(pc.sort_indices(words, sort_keys=[(c, "ascending") for c in ORDER], null_placement="at_start"))
+
+
+def automaton_of(words: list[str]) -> Any:
+    """Finds words in a text, each with its place in the list; None without any."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for place, word in enumerate(words):
+        made.add_word(word, place)
+    made.make_automaton()
+    return made if len(made) else None
+
+
+def least_place(automaton: Any, t: str | None) -> int | None:
+    return min((place for _, place in automaton.iter(t)), default=None) if t and automaton else None
+
+
+#: The automaton and the tickers a worker made last, by the name of its aliases.
 _BUILT: dict[str, Any] = {}
 
 
-def automaton_of(name: str, sent: Broadcast) -> Any:
-    """The automaton of the aliases sent, each with its rank and ticker; None without any."""
+def sent_automaton(name: str, sent: Broadcast) -> Any:
     if name not in _BUILT:
-        import ahocorasick
-
-        made = ahocorasick.Automaton()
-        for alias, found in sent.value.items():
-            made.add_word(alias, found)
-        made.make_automaton()
+        words, tickers = sent.value
         _BUILT.clear()
-        _BUILT[name] = made if len(made) else None
+        _BUILT[name] = automaton_of(words.to_pylist()), tickers.to_pylist()
     return _BUILT[name]
 
 
-def first_alias(c: Column, probes: DataFrame, whole_words: bool = False) -> Column:
-    """The ticker of the first alias by rank that the normalised text c contains, or null. All aliases are looked for in one pass over the text,
-    whatever their number. They are read once, sent as one broadcast variable, and each worker builds its automaton once."""
-    listed = probes.select("alias_normalized", "rank", "ticker").limit(MAX_ALIASES + 1).collect()
-    if len(listed) > MAX_ALIASES:
-        raise ValueError("too many aliases to send to every task")
-    best: dict[str, tuple[int, str]] = {}
-    for r in listed:
-        alias = f" {r['alias_normalized']} " if whole_words else r["alias_normalized"]
-        best[alias] = min((r["rank"], r["ticker"]), best.get(alias, (r["rank"], r["ticker"])))
-    sent, name = probes.sparkSession.sparkContext.broadcast(best), uuid.uuid4().hex
+def first_alias(c: Column, probes: DataFrame) -> Column:
+    """The ticker of the first alias, by ORDER, whose word the text c contains, or null. All aliases are looked for in one pass over the text. They
+    are read once, sent as one broadcast variable, and each worker builds its automaton once."""
+    listed = in_order(probes.toArrow())
+    sent, name = probes.sparkSession.sparkContext.broadcast((listed["word"].combine_chunks(), listed["ticker"].combine_chunks())), uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = automaton_of(name, sent)
+        automaton, tickers = sent_automaton(name, sent)
         for texts in batches:
-            hits = [min((x for _, x in automaton.iter(f" {t} " if whole_words else t)), default=None) if t and automaton else None for t in texts]
-            yield pd.Series([x and x[1] for x in hits], dtype=object)
+            places = [least_place(automaton, t) for t in texts]
+            yield pd.Series([None if i is None else tickers[i] for i in places], dtype=object)
 
     return find(c)
 
 
+def dealt(chars: dict[str, int]) -> tuple[dict[str, tuple[int, int]], int]:
+    """For each beginning of a word the first of its automata and how many it has, and the number of all automata, of AUTOMATON_CHARS at most
+    (about so, where one beginning needs several). chars: those of the words that begin so."""
+    out, n, filled = {}, 0, 0
+    for start in sorted(chars):
+        if chars[start] > AUTOMATON_CHARS:
+            need = -(-chars[start] // AUTOMATON_CHARS)
+            n, filled = n + (filled > 0), 0
+            out[start], n = (n, need), n + need
+        else:
+            if filled + chars[start] > AUTOMATON_CHARS:
+                n, filled = n + 1, 0
+            out[start], filled = (n, 1), filled + chars[start]
+    return out, n + (filled > 0)
+
+
+def first_aliases(texts: DataFrame, probes: DataFrame, chars: dict[str, int]) -> DataFrame:
+    """key and ticker of those texts (key, text) that contain a word: what first_alias says, for any number of aliases. The words are dealt to
+    automata by how they begin, and a text goes to those automata of which it contains a beginning, in blocks; one task holds one of them at a time."""
+    spark = texts.sparkSession
+    places, _ = dealt(chars)
+    wide, sent = max(map(len, places)), spark.sparkContext.broadcast(places)
+    blocks = -(-(texts.agg(F.sum(F.char_length("text"))).first()[0] or 1) // BLOCK_CHARS)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = sent.value
+        for batch in batches:
+            found = []
+            for t in batch.column("text").to_pylist():
+                met = places.keys() & {t[i : i + wide] for i in range(len(t) - wide + 1)}
+                found.append(sorted({first + i for first, n in map(places.get, met) for i in range(n)}))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["key", "text", "automata"])
+
+    def answered(texts: pa.Table, words: pa.Table) -> pa.Table:
+        words = in_order(words)
+        automaton = automaton_of(words["word"].to_pylist()) if len(texts) else None
+        found = [least_place(automaton, t.as_py()) for t in texts["text"]]
+        hits = pa.array([i is not None for i in found], pa.bool_())
+        out = words.select(ORDER).take(pa.array([i for i in found if i is not None], pa.int64()))
+        return out.add_column(0, "key", texts["key"].filter(hits))
+
+    starts = spark.createDataFrame([(s, first, n) for s, (first, n) in places.items()], "start string, first int, n int")
+    word = probes.withColumn("start", F.substring("word", 1, wide)).join(F.broadcast(starts), "start")
+    word = word.select("word", *ORDER, (F.col("first") + F.pmod(F.xxhash64("word"), F.col("n"))).cast("int").alias("automaton"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    sides = texts.mapInArrow(routed, "key string, text string, automata array<int>").select("key", "text", F.explode("automata").alias("automaton"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
+    one = sides.groupBy("automaton", "block").cogroup(word.groupBy("automaton", "block")).applyInArrow(answered, "key string, shorter int, lesser int, ticker string, alias_type string, alias string")
+    return one.groupBy("key").agg(F.min(F.struct(*ORDER)).alias("a")).select("key", "a.ticker")
+
+
 def mapped_by_text(news: DataFrame, aliases: DataFrame, config: MappingConfig) -> DataFrame:
-    """Maps the rows without a source_ticker to the first alias, by rank, that their text contains. Aliases of the kind ticker take part
-    like any other that is long enough. Every such row is looked at, unless config.scan_limit says less."""
-    probes = probe_list(aliases, config.alias_min_length)
+    """Maps the rows without a source_ticker to the first alias, by ORDER, that their text contains. Aliases of the kind ticker take part
+    like any other that is long enough. Every such row is looked at, unless config.scan_limit says less. Aliases are stored once in the shared folder;
+    too many for one automaton are dealt to several, each different text is looked up once, and what is found is joined to the rows."""
+    probes = stored(probe_list(aliases, config.alias_min_length, config.whole_words), "aliases")
+    size = F.char_length("word")
+    starts = probes.groupBy(F.substring("word", 1, START).alias("start")).agg(F.sum(size).alias("chars"), F.min(size).alias("least")).collect()
     body = text.normalized_alias(text.joined(config.text_columns))
+    if config.whole_words:
+        body = F.concat(F.lit(" "), body, F.lit(" "))
     looked_at = F.col("source_ticker").isNull()
     if config.scan_limit is not None:
         # rows with a code, often most of a group, have no place in it: they are spread by hash
@@ -129,7 +206,17 @@ def mapped_by_text(news: DataFrame, aliases: DataFrame, config: MappingConfig) -
         place = F.row_number().over(Window.partitionBy(*config.scan_by, apart).orderBy(*config.scan_order))
         news = news.withColumn("__scan", place <= config.scan_limit)
         looked_at = looked_at & F.col("__scan")
-    out = news.withColumn("__ticker", F.when(looked_at, first_alias(F.when(looked_at, body), probes, config.whole_words)))
+    if sum(r["chars"] for r in starts) <= AUTOMATON_CHARS:
+        out = news.withColumn("__ticker", F.when(looked_at, first_alias(F.when(looked_at, body), probes)))
+    else:
+        chars, wide = Counter(), min(START, *(r["least"] for r in starts))
+        for r in starts:
+            chars[r["start"][:wide]] += r["chars"]
+        texts = news.where(looked_at).select(body.alias("text")).where("text <> ''").distinct().select(text.digest("text").alias("key"), "text")
+        found = stored(first_aliases(stored(texts, "texts"), probes, chars), "found").select(F.col("key").alias("__found"), F.col("ticker").alias("__ticker"))
+        # rows that are not looked at, often most, match nothing: they are spread by hash
+        key = F.when(looked_at, text.digest(body)).otherwise(F.xxhash64("source_ticker", *config.text_columns).cast("string"))
+        out = news.withColumn("__key", key).join(dimension(found), F.col("__key") == F.col("__found"), "left").drop("__key", "__found")
     return out.withColumn("mapping_method", F.when(F.col("__ticker").isNotNull() & F.col("source_ticker").isNull(), "alias_text").otherwise(F.col("mapping_method"))).withColumn("source_ticker", F.coalesce("source_ticker", "__ticker")).drop("__ticker", "__scan")
 
 

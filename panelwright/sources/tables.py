@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,21 @@ def typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the folder that spark.checkpoint.dir names, which a cluster must set, and read again: lineage ends there. In a
+    single process a temporary folder will do."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="panelwright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, path: str, overwrite: bool = False, partition_by: list[str] | None = None) -> None:
     """Refuses to replace a table unless told to."""
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")

@@ -1,7 +1,9 @@
 import json
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.functions import protocol, text
 from panelwright.operators import aliases, normalize, resolve, sampling
@@ -70,6 +72,31 @@ def test_mapping_by_code_then_alias(spark, universe):
     assert words.where("news_id = '5'").first()["mapping_method"] == "none"
 
 
+@pytest.mark.parametrize("whole_words", [False, True])
+@pytest.mark.parametrize("one_holds", [12, 60, 10**6])
+def test_any_number_of_aliases(spark, monkeypatch, whole_words, one_holds):
+    """More aliases than one automaton holds give what a search for each alias gives."""
+    monkeypatch.setattr(aliases, "MAX_ALIASES", 5, raising=False)
+    monkeypatch.setattr(aliases, "AUTOMATON_CHARS", one_holds, raising=False)
+    monkeypatch.setattr(aliases, "BLOCK_CHARS", 100, raising=False)
+    names = ["red bolt", "red bolt", "red", "red ring", "bolt", "ed", "ring x9", "r\u00e9d", None, "b", "bolt a", "bolt b", "bolt c"]
+    rows = [(f"T{i % 7}", n, n, ("company_name", "ticker")[i % 2], (True, False, None)[i % 3]) for i, n in enumerate(names)] + [(f"P{i}", f"P{i}", f"p{i}", "ticker", False) for i in range(100, 140)]
+    table = spark.createDataFrame(rows, "ticker string, alias string, alias_normalized string, alias_type string, is_primary boolean")
+    titles = ["Red bolt", "a red  ring", "cured", "P117 and p1390", "bolt", "", None, "none", "ring-x9 bolt b", "b", "p10 p100p", "RED BOLT", "bolt c bolt a"] * 3
+    news = spark.createDataFrame([(i, t, "Z" if i % 9 == 8 else None) for i, t in enumerate(titles)], "i int, title string, source_ticker string").withColumn("mapping_method", F.when(F.col("source_ticker").isNotNull(), "ticker_raw"))
+
+    def first(t):
+        t = " ".join(re.findall("[a-z0-9]+", (t or "").lower()))
+        found = [r for r in rows if r[2] and len(r[2]) >= 2 and (f" {r[2]} " in f" {t} " if whole_words else r[2] in t)]
+        return min(((-len(r[2]), {True: 0, False: 1, None: 2}[r[4]], r[0], r[3], r[1]) for r in found), default=(0, 0, None))[2]
+
+    out = aliases.mapped_by_text(news, table, aliases.MappingConfig(text_columns=["title"], alias_min_length=2, whole_words=whole_words))
+    want = {i: ("Z", "ticker_raw") if i % 9 == 8 else (first(t), "alias_text" if first(t) else None) for i, t in enumerate(titles)}
+    assert {r["i"]: (r["source_ticker"], r["mapping_method"]) for r in out.collect()} == want and out.columns == news.columns
+    none = aliases.mapped_by_text(news, table.limit(0), aliases.MappingConfig(text_columns=["title"]))
+    assert none.count() == len(titles) and none.where("mapping_method = 'alias_text'").count() == 0
+
+
 def test_resolver(spark, universe):
     a = aliases.alias_table(universe)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["Apple", "msft", "Twin", " ", None, "--", "Acme", "AT&T"])], "i int, target string")
