@@ -97,6 +97,17 @@ def test_any_number_of_aliases(spark, monkeypatch, whole_words, one_holds):
     assert none.count() == len(titles) and none.where("mapping_method = 'alias_text'").count() == 0
 
 
+def test_scan_limit_with_many_aliases(spark, monkeypatch):
+    """Of each file the first rows without a code are looked at, also where the aliases are dealt to several automata."""
+    monkeypatch.setattr(aliases, "MAX_ALIASES", 5, raising=False)
+    monkeypatch.setattr(aliases, "AUTOMATON_CHARS", 50, raising=False)
+    table = spark.createDataFrame([(f"P{i}", f"P{i}", f"p{i}", "ticker", False) for i in range(1000, 1040)], "ticker string, alias string, alias_normalized string, alias_type string, is_primary boolean")
+    news = spark.createDataFrame([(f"n{i:02d}", "ab"[i % 2], f"of p{1000 + i % 7}", "Z" if i % 3 == 0 else None) for i in range(40)], "news_id string, source_file string, title string, source_ticker string").withColumn("mapping_method", F.lit(None).cast("string"))
+    out = aliases.mapped_by_text(news, table, aliases.MappingConfig(text_columns=["title"], scan_limit=3, scan_by=["source_file"]))
+    looked_at = {i for f in (0, 1) for i in [i for i in range(40) if i % 2 == f and i % 3][:3]}
+    assert {r["news_id"]: r["source_ticker"] for r in out.collect()} == {f"n{i:02d}": "Z" if i % 3 == 0 else f"P{1000 + i % 7}" if i in looked_at else None for i in range(40)}
+
+
 def test_resolver(spark, universe):
     a = aliases.alias_table(universe)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["Apple", "msft", "Twin", " ", None, "--", "Acme", "AT&T"])], "i int, target string")
