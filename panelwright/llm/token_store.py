@@ -33,6 +33,8 @@ LEAST, MOST, BITS = 128, 2048, 9
 #: Pre-tokens that a worker remembers in each of two generations, some 200 bytes each, beside other stages and where it does nothing else. It decides
 #: the speed only.
 KNOWN, KNOWN_ALONE = 100_000, 600_000
+#: Bytes of text that a worker handles at once, beside other stages and where it does nothing else: it takes some 25 times as many meanwhile.
+SLICE, SLICE_ALONE = 1 << 20, 4 << 20
 #: Digests of sent chunks that a task remembers: some 25 MB.
 SENT = 200_000
 #: A chunk that a task has not sent before, with a number that no other chunk row has.
@@ -84,7 +86,7 @@ def _width(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int, known_words: int = KNOWN) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int, known_words: int = KNOWN, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of the batches and the chunks of each of their documents."""
     width = _width(path)
     size, end = int(width[2]), np.array([end_id], width).tobytes()
@@ -95,7 +97,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int, known_wo
 
     known = pretokens(path, width, packed, size=known_words)
     gear = _gear(max(tokenizer(path).get_vocab_size(), end_id + 1))
-    for part, texts in text_parts(batches):
+    for part, texts in text_parts(batches, most=most):
         words, at, n = split_texts(texts)
         values = [*known.values_of(words), end]
         at = np.insert(at, np.cumsum(n), len(words))  # the end id is a word after each text's last
@@ -113,7 +115,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str, end_id: int, known_wo
         yield part, found
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, known_words: int = KNOWN) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, known_words: int = KNOWN, most: int = SLICE) -> None:
     """Encodes every row of docs into a new store at path.
 
     Null texts are empty: their only id is the end id. Rows that share an id stand in the order of their ids' digests; equal
@@ -128,7 +130,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()  # bounded; whatever this or another task sends again is dropped below
         at = TaskContext.get().partitionId() << 40
-        for part, found in _chunked(batches, tokenizer_path, end_id, known_words):
+        for part, found in _chunked(batches, tokenizer_path, end_id, known_words, most):
             digests, lens, new = [], [], []
             for pieces in found:
                 digests.append([hashlib.sha256(p).digest() for p in pieces])
@@ -322,14 +324,14 @@ def read_ids(spark: SparkSession, path: str, width: str, doc_ids: DataFrame) ->
     return lists.mapInArrow(joined, f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def token_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, known_words: int = KNOWN) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, known_words: int = KNOWN, most: int = SLICE) -> DataFrame:
     """Writes docs to a new store in the shared folder and returns what read_store() finds there; nulls, repeats and empty tables as in
     write_store()."""
     path = shared_path(docs.sparkSession, "token-store")
-    write_store(docs, path, tokenizer_path, id_col, text_col, end_id, known_words)
+    write_store(docs, path, tokenizer_path, id_col, text_col, end_id, known_words, most)
     return read_store(docs.sparkSession, path, _width(tokenizer_path))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token_store() of documents; nulls, repeats and empty tables as there."""
-    return token_store(read_table(spark, sf_dir, "documents"), vocabulary_path(), known_words=KNOWN_ALONE)
+    return token_store(read_table(spark, sf_dir, "documents"), vocabulary_path(), known_words=KNOWN_ALONE, most=SLICE_ALONE)

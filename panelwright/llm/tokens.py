@@ -62,8 +62,8 @@ def text_rows(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int
 WORD = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: How special strings begin, which the library takes as they are.
 SPECIAL = b"<|"
-#: Words in one string for the library, and words in one call.
-JOINED, BATCH = 128, 1 << 16
+#: Words in one string for the library, and words in one call: what it returns of a word takes some hundred times the word's bytes.
+JOINED, BATCH = 128, 1 << 13
 
 
 def piece_lengths(ids: np.ndarray, stops: np.ndarray) -> list[int]:
@@ -156,8 +156,11 @@ class PreTokens(dict):
         self.update(zip(rest, self._each([w.decode() for w in rest]), strict=True))
 
     def _each(self, words: list[str]):
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)] if words else []
-        return self.of(np.array([i for x in found for i in x], np.int64), np.cumsum([len(x) for x in found], dtype=np.int64))
+        values = []
+        for i in range(0, len(words), BATCH):
+            found = [e.ids for e in self.library.encode_batch_fast(words[i : i + BATCH], add_special_tokens=False)]
+            values += self.of(np.array([i for x in found for i in x], np.int64), np.cumsum([len(x) for x in found], dtype=np.int64))
+        return values
 
     def _mark(self, mark: str):
         if mark not in self.marks:
@@ -191,7 +194,8 @@ def pretokens(path: str, kind: str, of, fixed: dict | None = None, size: int = C
 
 @cache
 def word_tokenizer(path: str) -> tuple:
-    """For lower-case words of letters: the tokenizer without the steps that change nothing in them, and whether each id ends a word.
+    """For lower-case words of letters: the tokenizer without the steps that change nothing in them, and whether each id ends a word. Both
+    tokenizers have one model in memory.
 
     (None, None) unless the tokenizer normalises by NFC, white space and lower case, splits by a pattern and into bytes, and marks word ends.
     """
@@ -203,12 +207,14 @@ def word_tokenizer(path: str) -> tuple:
         return None, None
     if not all(t["content"].startswith(SPECIAL.decode()) for t in spec.get("added_tokens", [])):
         return None, None
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     to_bytes = spec["pre_tokenizer"]["pretokenizers"][1]
-    fast = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, to_bytes]}}))
-    ends = np.zeros(fast.get_vocab_size(), bool)
-    for token, i in fast.get_vocab().items():
+    fast = Tokenizer(tokenizer(path).model)
+    fast.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=to_bytes["add_prefix_space"], use_regex=to_bytes.get("use_regex", True))])
+    vocabulary = fast.get_vocab()
+    ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    for token, i in vocabulary.items():
         ends[i] = token.endswith(suffix)
     return fast, ends
 

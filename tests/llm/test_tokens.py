@@ -1,9 +1,11 @@
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pytest
 
-from panelwright.llm import token_store
+from panelwright.llm import token_store, tokens
 from panelwright.llm.tokens import token_counts, tokenizer, vocabulary_path
 
 TEXTS = ["Hello, World's  end\tit's", None, "", " \n", "a\x1cb\x1d c\x85d e f", "<|endoftext|>x <|startoftext|> y<|END", "ΑΣ ΑΣ' Straße É é ́x", "tea" * 5000, "word " * 4000 + "last", "日本語 テキスト 123 4½ ²", "İ ı ſ K", "hello, world's", "word " * 3000, "'super ('tis \"quoted\", 's' don't' (it's) ##x## <|startoftext|> <|x <|startoftext|>. -a- ÿ- $ª", "word, ###word ### " * 40]
@@ -85,3 +87,44 @@ def test_combined_crcs():
     offsets = np.append(0, np.cumsum(sizes))
     got = token_store.combined_crc32(np.array([zlib.crc32(p) for p in parts]), lens, offsets)
     assert got.tolist() == [zlib.crc32(b"".join(parts[a:b])) for a, b in zip(offsets, offsets[1:])]
+
+
+def test_calls_of_the_library_are_bounded():
+    path, most = vocabulary_path(), []
+
+    class Watched:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **how):
+            most.append(sum(len(x.split()) for x in texts))
+            return self.library.encode_batch_fast(texts, **how)
+
+    words = [w for i in range(20_000) for w in (f"{i}é日".encode(), "".join(chr(97 + int(c)) for c in str(i)).encode())]
+    known = tokens.PreTokens(path, tokens.piece_lengths)
+    known.library, known.fast = Watched(known.library), Watched(known.fast)
+    assert known.values_of(words) == [len(x) for x in tokenizer(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    assert sum(most) >= len(words) and max(most) <= 1 << 13
+
+
+#: How many MB more than before a process takes at most while it makes chunks of 4,000 texts, and the digest of the chunks.
+WORKER = """
+import hashlib, random, resource
+import pyarrow as pa
+from panelwright.llm import token_store, tokens
+r = random.Random(3)
+texts = [" ".join("".join(r.choices("abcdefghijklmnopé1", k=r.randrange(2, 8))) for _ in range(500)) for _ in range(4000)]
+batches = [pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts[i : i + 1000])], names=["doc_id", "text"]) for i in range(0, 4000, 1000)]
+top = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+before, digest = top(), hashlib.sha256()
+for part, found in token_store._chunked(iter(batches), tokens.vocabulary_path(), 1):
+    for pieces in found:
+        digest.update(b"".join(pieces) + b".")
+print(top() - before, digest.hexdigest())
+"""
+
+
+def test_memory_of_a_worker_beside_other_stages():
+    mb, digest = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, check=True).stdout.split()
+    assert int(mb) < 150
+    assert digest == "e5bafa384c8938968897f34e3c109c5daf6a52ace8d2a6db2e40673887ab20fb"  # the chunks that slices of 4 MB gave
